@@ -41,14 +41,14 @@ def unpack_id(c: Column) -> Column:
     return F.when(F.length(c) == 16, uuid).otherwise(text)
 
 
-def superseded(keys: list[str], order: str = "loaded_at") -> Column:
-    """True where a later delivery of the same key exists (of equal ones all but one count as superseded)."""
-    return F.lead(F.lit(True), 1, False).over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first()))
+def superseded(keys: list[str], *ties: str) -> Column:
+    """True where a later delivery of the same key exists (of equal ones all but one, the largest in ``ties``)."""
+    return F.lead(F.lit(True), 1, False).over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in ("loaded_at", *ties)]))
 
 
-def latest(df: DataFrame, keys: list[str], order: str = "loaded_at") -> DataFrame:
+def latest(df: DataFrame, keys: list[str], *ties: str) -> DataFrame:
     """The delivery that counts of each key. One shuffle on the key; no map-side sort."""
-    return df.withColumn("_old", superseded(keys, order)).filter(~F.col("_old")).drop("_old")
+    return df.withColumn("_old", superseded(keys, *ties)).filter(~F.col("_old")).drop("_old")
 
 
 def packed_edges(edges: DataFrame, *extra: Column) -> DataFrame:
