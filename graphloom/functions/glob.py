@@ -39,4 +39,4 @@ def glob_to_regex(pattern: str) -> str:
         else:
             out.append(re.escape(c))
         i += 1
-    return "^" + "".join(out) + "$"
+    return "^" + "".join(out) + r"\z"

@@ -26,7 +26,7 @@ def path_error(c: Column) -> Column:
         .when(c == "/", "empty_segment")
         .when(c.endswith("/"), "trailing_slash")
         .when(c.contains("//"), "empty_segment")
-        .when(~c.rlike("^(/[a-z0-9-]+)+$"), "invalid_segment")
+        .when(~c.rlike(r"\A(/[a-z0-9-]+)+\z"), "invalid_segment")
     )
 
 
@@ -90,7 +90,7 @@ def is_getter(name: Column, n_params: Column) -> Column:
 
 
 def valid_project_id(c: Column) -> Column:
-    return F.length(c).between(1, 128) & c.rlike("^[a-z][a-z0-9_-]*$")
+    return F.length(c).between(1, 128) & c.rlike(r"\A[a-z][a-z0-9_-]*\z")
 
 
 def severity_rank(c: Column) -> Column:
