@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.runtime import salted_join, union_all, write_table
-from graphloom.tables import latest, packed_edges, packed_nodes, unpack_id
+from graphloom.tables import latest, pack_id, packed_edges, packed_nodes, unpack_id
 
 #: One node in so many is a splitter.
 SPLIT_EVERY = 8
@@ -35,7 +35,7 @@ def parent_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = latest(e, [*SNAP, "edge"]).filter(F.col("holds") & F.col("src").isNotNull() & F.col("tgt").isNotNull())
     e = e.select(*SNAP, F.col("src").alias("node"), F.col("tgt").alias("child"))
     e = salted_join(e, n, [*SNAP, "node"], "left_semi", F.col("child"))
-    up = e.groupBy(*SNAP, F.col("child").alias("node")).agg(F.min("node").alias("parent"))
+    up = e.groupBy(*SNAP, F.col("child").alias("node")).agg(pack_id(F.min(unpack_id(F.col("node")))).alias("parent"))
     return write_table(n.join(up, [*SNAP, "node"], "left"), "parents")
 
 

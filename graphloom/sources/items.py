@@ -38,8 +38,9 @@ def module_of(path: str) -> str:
     """Qualified module name of a file: its path without extension and source directories."""
     p = PurePosixPath(path)
     parts = [x for x in (*p.parts[:-1], p.name.split(".")[0]) if x not in ("src", "/")]
-    if parts and parts[-1] in ("__init__", "index", "main", "mod", "lib"):
-        parts = parts[:-1]
+    inner = {"py": ("__init__",), "rs": ("mod", "lib", "main"), "ts": ("index", "main"), "tsx": ("index", "main")}
+    if parts and parts[-1] in inner.get(path.rsplit(".", 1)[-1], ()):
+        parts = parts[:-1]  # the file that stands for its directory
     return "::".join(parts) or "root"
 
 

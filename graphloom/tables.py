@@ -51,8 +51,11 @@ def latest(df: DataFrame, keys: list[str], *ties: str) -> DataFrame:
     return df.withColumn("_old", superseded(keys, *ties)).filter(~F.col("_old")).drop("_old")
 
 
+_KEYED = "project_id is not null and version is not null"
+
+
 def packed_edges(edges: DataFrame, *extra: Column) -> DataFrame:
-    """All deliveries of edges with packed ids; rows without an id are no edges."""
+    """All deliveries of edges with packed ids; rows without project, version or id are no edges."""
     return edges.select(
         "project_id",
         "version",
@@ -61,9 +64,9 @@ def packed_edges(edges: DataFrame, *extra: Column) -> DataFrame:
         pack_id(norm_id(F.col("target"))).alias("tgt"),
         "loaded_at",
         *extra,
-    ).filter(F.col("edge").isNotNull())
+    ).filter(F.col("edge").isNotNull()).filter(_KEYED)
 
 
 def packed_nodes(nodes: DataFrame, *extra: Column) -> DataFrame:
-    """All deliveries of nodes with packed ids; rows without an id are no nodes."""
-    return nodes.select("project_id", "version", pack_id(norm_id(F.col("id"))).alias("node"), "loaded_at", *extra).filter(F.col("node").isNotNull())
+    """All deliveries of nodes with packed ids; rows without project, version or id are no nodes."""
+    return nodes.select("project_id", "version", pack_id(norm_id(F.col("id"))).alias("node"), "loaded_at", *extra).filter(F.col("node").isNotNull()).filter(_KEYED)
