@@ -88,7 +88,7 @@ class BytePairEncoder:
                 at = ranks.argmin(axis=1)  # the first of equal ranks: the leftmost
                 low = ranks[np.arange(len(row)), at]
             else:
-                low = np.full(len(row), _NONE, np.int32)
+                at, low = np.zeros(len(row), np.int64), np.full(len(row), _NONE, np.int32)
             over = low == _NONE
             if over.any():
                 for i in np.flatnonzero(over):

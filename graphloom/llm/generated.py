@@ -128,7 +128,7 @@ def by_measure(text: str) -> str | None:
         counts = [x.count(sep) for x in code]
         if len(code) >= 3 and counts[0] >= 2 and sum(c == counts[0] for c in counts) >= 0.95 * len(code) and not any(x.rstrip().endswith((sep, "{", "(", "[")) for x in code):
             return "data"
-    if sum(len(m[0]) for m in _ENCODED.finditer(text)) > 0.5 * size:
+    if sum(len(m[0]) for x in code for m in _ENCODED.finditer(x)) > 0.5 * size:
         return "data"
     # Minified: hardly a space outside strings, in long lines or throughout.
     long = [x for x in code if len(x) > 400]

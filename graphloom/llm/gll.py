@@ -17,7 +17,7 @@ import re
 from collections.abc import Sequence
 
 _LEX = re.compile(r"\s*(?:#[^\n]*\n\s*)*('(?:\\.|[^'])*'|@?[A-Za-z_]\w*(?:\^|!(?!\w))?|%\{|%\}|%\w+|[:;|()?*+])")
-END = "$"
+END = "<end>"
 ASI = "%asi"
 NL = 1 << 16  # added to a token id: a line break stands before it
 
@@ -43,6 +43,7 @@ def _read(text: str) -> tuple[dict, dict]:
             raise ValueError(f"grammar near {text[i : i + 40]!r}")
         toks.append(m[1])
         i = m.end()
+    defined = {a for a, b in zip(toks, toks[1:]) if b == ":"}
     rules: dict[str, tuple] = {}
     sets: dict[str, list[str]] = {}
     pos = 0
@@ -90,7 +91,7 @@ def _read(text: str) -> tuple[dict, dict]:
             return ("t", t)
         if t[0] == "@":
             return ("set", t)
-        return ("t", t) if t.isupper() else ("n", t)
+        return ("t", t) if t.isupper() and t not in defined else ("n", t)
 
     mode = False
     while pos < len(toks):
@@ -122,9 +123,9 @@ def _read(text: str) -> tuple[dict, dict]:
 
 
 class Grammar:
-    """Compiled tables. ``extra`` adds terminals to sets, which is how dialects differ."""
+    """Compiled tables. ``extra`` adds terminals to sets, which is how dialects differ; ``not_first`` names terminals with which a rule must not begin."""
 
-    def __init__(self, text: str, start: str, extra: dict[str, list[str]] | None = None) -> None:
+    def __init__(self, text: str, start: str, extra: dict[str, list[str]] | None = None, not_first: dict[str, list[str]] | None = None) -> None:
         rules, sets = _read(text)
         rules["%start"] = ("seq", [("n", start), ("t", END)])
         for k, more in (extra or {}).items():
@@ -161,6 +162,7 @@ class Grammar:
         self.start_of: dict[str, int] = {}
         for name, body in rules.items():
             self._automaton(name, body, sets, any_ids)
+        self.not_first = {a: {self.ids[t] for t in ts if t in self.ids} for a, ts in (not_first or {}).items()}
         self._sets()
         self.start = self.start_of["%start"]
         self.asi = self.ids.get(ASI, -1)
@@ -274,6 +276,8 @@ class Grammar:
                     if to in empty:
                         follow[a] |= follow[self.owner[s]]
                     changed |= len(follow[a]) != size
+        for a, kept_out in self.not_first.items():
+            first[self.start_of[a]] -= kept_out
         self.first, self.follow = first, follow
 
     def _compute(self, s: int, t: int) -> tuple | None:

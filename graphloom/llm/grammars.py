@@ -202,9 +202,10 @@ MemberName: PropName | PRIVATE ;
 PropName: @name | STRING | NUMBER | '[' Expr ']' ;
 Interface: 'interface' @id TParams? ( 'extends' TypeRef ( ',' TypeRef )* )? ObjType ;
 Block: '{' Stmt* '}' ;
-Stmt: Block | ';' | Declaration | Expr @semi | 'if' '(' Expr ')' Stmt ( 'else' Stmt )? | 'do' Stmt 'while' '(' Expr ')' ';'? | 'while' '(' Expr ')' Stmt
+Stmt: Block | ';' | Declaration | ExprStmt | 'if' '(' Expr ')' Stmt ( 'else' Stmt )? | 'do' Stmt 'while' '(' Expr ')' ';'? | 'while' '(' Expr ')' Stmt
   | 'for' '(' ForHead ')' Stmt | 'for' 'await' '(' ForHead ')' Stmt | 'continue' @id? @semi | 'break' @id? @semi | 'return' Expr? @semi | 'throw' Expr @semi | 'with' '(' Expr ')' Stmt
   | 'switch' '(' Expr ')' '{' Case* '}' | @id ':' Stmt | 'try' Block ( Catch ( 'finally' Block )? | 'finally' Block ) | 'debugger' @semi ;
+ExprStmt: Expr @semi ;
 Catch: 'catch' ( '(' Target ( ':' Type )? ')' )? Block ;
 Case: ( 'case' Expr | 'default' ) ':' Stmt* ;
 ForHead: ( Var! | Expr! )? ';' Expr? ';' Expr? | ( 'var' | 'let' | 'const' | 'using' ) Target ( ':' Type )? ( '=' Assign! )? ( 'of' Assign | 'in' Expr ) | Lhs ( 'of' Assign | 'in' Expr ) ;
@@ -333,3 +334,6 @@ Strings: ( STRING | FString )+ ;
 FString: FSTART FPart* FEND ;
 FPart: FMID | '{' ( Stars | Yield ) '='? ( '!' NAME )? ( ':' FPart* )? '}' ;
 """
+
+#: With which an expression statement does not begin: those are a block and declarations.
+TS_NOT_FIRST = {"ExprStmt": ["{", "function", "class"]}

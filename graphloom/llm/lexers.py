@@ -337,6 +337,10 @@ _PY_SKIP = {tokenize.COMMENT, tokenize.NL, tokenize.ENDMARKER}
 _KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 
 
+#: Decimal integers must not begin with a zero unless they are zero.
+_OCTAL_LIKE = re.compile(r"0[0-9_]*[1-9][0-9_]*\Z")
+
+
 def python(text: str, g: Grammar) -> list[int]:
     if "\0" in text:
         raise LexError(text.index("\0"))
@@ -355,6 +359,8 @@ def python(text: str, g: Grammar) -> list[int]:
                 out.append(ids.get(t.string, other))
             elif k in _PY_SKIP:
                 continue
+            elif k == tokenize.NUMBER and _OCTAL_LIKE.match(t.string):
+                raise LexError(t.start)
             else:
                 out.append(kinds.get(k, other))
     except (tokenize.TokenError, SyntaxError) as e:

@@ -36,7 +36,8 @@ LANGUAGES = {
 @lru_cache
 def dialects(ext: str) -> list[Grammar]:
     _, text, start, extra = LANGUAGES[ext]
-    return [Grammar(text, start, x) for x in extra]
+    not_first = grammars.TS_NOT_FIRST if ext in ("ts", "tsx") else None
+    return [Grammar(text, start, x, not_first) for x in extra]
 
 
 def rejected(ext: str, text: str) -> bool:

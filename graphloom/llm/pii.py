@@ -148,8 +148,9 @@ class Model:
             x[1], x[2], x[3] = token[0].isupper() and not upper, upper, token.islower()
             fam, giv = self.family(token), self.given.get(_fold(token))
             x[4], x[5] = min(max(fam, 0), 6) / 3, min(max(-fam, 0), 6) / 3
-            if giv is None:
+            if giv is None:  # not in the sample: a capital leaves it open, a small word is taken for none
                 x[8] = token[0].isupper() and len(token) > 1
+                x[7] = token[0].islower()
             else:
                 x[6], x[7] = min(max(giv, 0), 3) / 1.5, min(max(-giv, 0), 3) / 1.5
             if len(token) == 1:
@@ -461,11 +462,16 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
     model = Model(np.zeros(GRAMS, np.float32), -9.0, {}, np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS))))
     if not fam:
         return _forms_only(model)
-    keep = types[:: max(1, len(types) // 2500)]
-    for _ in range(3):  # words that look like names although no list has them are no examples of other words
-        model.grams, model.bias = _fit_grams(fam, keep)
+    words_else = [w for w in types[:: max(1, len(types) // 2500)]]
+    # Words that look like names although no list has them are no examples of other words: each half of the words is
+    # judged by a model that has not seen it.
+    keep = []
+    for half in (0, 1):
+        model.grams, model.bias = _fit_grams(fam, words_else[1 - half :: 2])
         model.scores.clear()
-        keep = [w for w in keep if model.family(w) < 0 or w in giv]
+        keep += [w for w in words_else[half::2] if model.family(w) < 0 or w in giv]
+    model.grams, model.bias = _fit_grams(fam, keep)
+    model.scores.clear()
     # Given names: how often a word stands beside a word like a family name, against all its occurrences.
     beside, total = Counter(), Counter()
     for t in texts:
@@ -495,9 +501,8 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
     chains = chains[:: max(1, len(chains) // 1600)]
     x = np.array([model.features(t) for t in tokens.text])
     model.emit, model.move = _fit_field(x, y, chains) if chains else (model.emit, model.move)
-    for kind, label in FORMS.items():  # a kind without an example in the sample keeps its form's label
-        if not (y == label).any():
-            model.emit[16 + label - 6, label] += 8
+    for label in FORMS.values():  # a form is strong evidence, all the more for a kind the sample lacks
+        model.emit[16 + label - 6, label] += 3 if (y == label).any() else 8
     return model
 
 
