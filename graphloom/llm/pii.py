@@ -313,7 +313,7 @@ _NAME = regex.compile(r"(?:G+(?:hG)?|Id?)(?:Id?|G)*N+(?:hN)*|N(?:hN)*c(?:G(?:hG)
 _CODE = dict(zip(range(len(LABELS)), "OGINhcOOOO", strict=True))
 
 
-def _names(tokens: Tokens, labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _names(tokens: Tokens, labels: np.ndarray, model: Model) -> Iterator[tuple[int, int, int]]:
     """(document, begin, end) of full names; neighbours in a chain with at most a space or two between parts."""
     for chain in tokens.chains:
         ls = labels[chain]
@@ -322,7 +322,9 @@ def _names(tokens: Tokens, labels: np.ndarray) -> Iterator[tuple[int, int, int]]
         code = "".join("d" if v == I and tokens.text[i] == "." else _CODE[v] for i, v in zip(chain, ls.tolist(), strict=True))
         for m in _NAME.finditer(code):
             part = chain[m.start() : m.end()]
-            if all(tokens.span[b][0] - tokens.span[a][1] <= 2 for a, b in zip(part, part[1:])):
+            # A family name that neither looks like one nor repeats one that does is none.
+            like = max(model.family(tokens.text[i]) for i, v in zip(part, ls[m.start() : m.end()], strict=True) if v == N)
+            if like > -3 and all(tokens.span[b][0] - tokens.span[a][1] <= 2 for a, b in zip(part, part[1:])):
                 yield tokens.doc[part[0]], tokens.span[part[0]][0], tokens.span[part[-1]][1]
 
 
@@ -338,7 +340,7 @@ def pieces(texts: list[str | None], model: Model) -> list[list[tuple[int, int, s
         b, e = tokens.span[i]
         if tokens.text[i][1:] == LABELS[labels[i]]:
             out[tokens.doc[i]].append((b, e, LABELS[labels[i]]))
-    for d, b, e in _names(tokens, labels):
+    for d, b, e in _names(tokens, labels, model):
         out[d].append((b, e, "name"))
     for spans in out:
         spans.sort()
@@ -501,11 +503,25 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
     chains = chains[:: max(1, len(chains) // 1600)]
     x = np.array([model.features(t) for t in tokens.text])
     model.emit, model.move = _fit_field(x, y, chains) if chains else (model.emit, model.move)
+    _forbid(model)
     for label in FORMS.values():  # a form is strong evidence, all the more for a kind the sample lacks
         model.emit[16 + label - 6, label] += 3 if (y == label).any() else 8
     return model
 
 
+#: Log weight of a label that a token of a kind cannot have.
+_NEVER = -30.0
+
+
+def _forbid(model: Model) -> None:
+    """Numbers and marks are no parts of names, but for the dot of an initial, a hyphen and a comma; and words are neither of those."""
+    parts = {G, I, N, H, C}
+    for feature, may in (("dot", {I}), ("hyphen", {H}), ("comma", {C}), ("digit", set()), ("mark", set()), *((k[1:], set()) for k in FORMS)):
+        model.emit[FEATURES.index(feature), sorted(parts - may)] = _NEVER
+    for feature in ("cap", "upper", "lower"):
+        model.emit[FEATURES.index(feature), [H, C]] = _NEVER
+
+
 def _forms_only(model: Model) -> Model:
     model.emit[0, O] = 4
     for label in FORMS.values():

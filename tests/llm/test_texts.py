@@ -146,10 +146,10 @@ GIVEN = ["Ilse", "Petra", "Noor", "Kamal", "Zoë"]
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(2)
-    plain = ["The ordering puts leaves first.", "Nobody could say who owns /a/b.", "Port 5000 is taken, use 5001.", "Layout of the view flickers when more than 4 nodes are open.", "The Layout Registry reads one snapshot per version."]
+    plain = ["The ordering puts leaves first.", "Nobody could say who owns /a/b.", "Port 5000 is taken, use 5001.", "Layout of the view flickers when more than 4 nodes are open.", "The Layout Registry reads one snapshot per version.", "The Mirror Row renders 7 Shard Model entries per page.", "Run 2-1 kept 3 of 4 versions, see Unit 9.", "Edge Relay and Build Token share the loader.", "Trace 5 shows the same order twice, ticket closed."]
     forms = ["Reviewed by {g} {f}.", "{f}, {g} wrote: fine.", "ask {g} {i}. {f} first", "{i}. {f} agreed", "Thanks to {g} {f}-{h} again", "mail {g}@mail.example now", "call +1 702 555 0141 please", "id XK0080622 lost", "goes to 12 Saltpan Court, Town"]
     texts = [str(rng.choice(forms)).format(g=rng.choice([*GIVEN, "Priya", "Oskar"]), f=rng.choice(FAMILY), h=rng.choice(FAMILY), i=rng.choice(list("ABK"))) + "\n" + str(rng.choice(plain)) for _ in range(700)]
-    return pii.fit(texts, [f for i, f in enumerate(FAMILY) if i % 4], GIVEN)
+    return pii.fit(texts, [f for i, f in enumerate(FAMILY) if i not in (3, 9, 14, 21)], GIVEN)
 
 
 def found(model, text):
