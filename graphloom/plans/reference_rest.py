@@ -565,12 +565,12 @@ def src_wasm_load(g):
     return one.select(F.explode(F.from_json("j", "array<struct<id:string,canonical_path:string,kind:string>>")).alias("n")).select("n.*")
 
 
-@query("select * from (values ('demo', 'design')) v(project, design_dir)")
+@query("select * from (values ('demo', 'design.yaml')) v(project, design)")
 def src_config(g):
-    import yaml
+    from graphloom import config
 
-    c = yaml.safe_load("project: demo\ndesign: design\nsources: [src]\n")
-    return g.spark.createDataFrame([(c["project"], c["design"])], "project string, design_dir string")
+    c = config.load("project: demo\ndesign: design.yaml\nsources: [src]\n")
+    return g.spark.createDataFrame([(c.project, c.design[0])], "project string, design string")
 
 
 _TREE = [
