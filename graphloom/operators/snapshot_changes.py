@@ -128,6 +128,7 @@ def edge_changes(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFrame, pa
     sides = _sides(rows, changed_chunks(rows, pairs, []))
     both = sides.groupBy("project_id", "from_version", "to_version", *key).agg(F.max("is_new").alias("in_new"), F.min("is_new").alias("only_new"))
     both = both.filter(F.col("in_new") == F.col("only_new")).withColumn("change", F.when(F.col("in_new"), "added").otherwise("removed"))
+    both = write_table(both.drop("in_new", "only_new"), "edge-changes")  # read for hot keys and for both joins
     paths = union_all([nodes.select(norm_path(F.col("canonical_path")).alias("path")), shared_nodes.select(norm_path(F.col("canonical_path")).alias("path"))]).filter("path is not null").distinct().withColumn("at", path_key(F.col("path")))
     for end, name in (("s", "source_path"), ("t", "target_path")):
         both = both.withColumnRenamed(end, "at")
