@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import salted_join, union_all, write_table
+from graphloom.runtime import HOT_ROWS, hot_hashes, salted_join, union_all, write_table
 from graphloom.tables import latest, pack_id, packed_edges, packed_nodes, unpack_id
 
 #: One node in so many is a splitter.
@@ -32,9 +32,11 @@ def parent_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """project_id, version, node, parent (null for roots), as a written table."""
     n = packed_nodes(nodes).select(*SNAP, "node").distinct()
     e = packed_edges(edges, (F.col("kind") == "contains").alias("holds"))
+    # Hot parents are told from all deliveries: those that do not count can only add keys to salt.
+    hot = hot_hashes(e.filter(F.col("holds") & F.col("src").isNotNull()).select(*SNAP, F.col("src").alias("node")), [*SNAP, "node"])
     e = latest(e, [*SNAP, "edge"]).filter(F.col("holds") & F.col("src").isNotNull() & F.col("tgt").isNotNull())
     e = e.select(*SNAP, F.col("src").alias("node"), F.col("tgt").alias("child"))
-    e = salted_join(e, n, [*SNAP, "node"], "left_semi", F.col("child"))
+    e = salted_join(e, n, [*SNAP, "node"], "left_semi", F.col("child"), hot)
     up = e.groupBy(*SNAP, F.col("child").alias("node")).agg(pack_id(F.min(unpack_id(F.col("node")))).alias("parent"))
     return write_table(n.join(up, [*SNAP, "node"], "left"), "parents")
 
@@ -48,16 +50,18 @@ def _walk(start: DataFrame, name: str, with_paths: bool) -> DataFrame:
     ended, active = [start.filter("stopped")], start.filter("not stopped")
     steps, bound = 1, None
     while True:
-        per_snap = active.groupBy(*SNAP).count().agg(F.max("count")).first()[0] or 0
+        sizes = active.groupBy(*SNAP).count().agg(F.max("count"), F.sum("count")).first()
+        per_snap, total = sizes[0] or 0, sizes[1] or 0
         if not per_snap:
             break
-        if steps >= 64 and bound is None:
-            bound = steps + per_snap  # a walk of more steps among these would meet a node twice
-        if bound is not None and steps > bound:
+        # All nodes on a walk of d > steps that have more than steps before them are active too, so d <= steps + per_snap.
+        bound = steps + per_snap if bound is None else min(bound, steps + per_snap)
+        if steps > bound:
             ended.append(active)
             break
+        hot = None if total >= HOT_ROWS else []  # so few rows hold no hot key
         look = union_all([*ended, active]).select(*SNAP, F.col("node").alias("cur"), F.col("cur").alias("cur2"), F.col("dist").alias("dist2"), F.col("stopped").alias("stopped2"), *([F.col("seg").alias("seg2")] if with_paths else []))
-        step = salted_join(active, look, [*SNAP, "cur"], "inner", F.col("node"))
+        step = salted_join(active, look, [*SNAP, "cur"], "inner", F.col("node"), hot)
         more = [F.concat("seg", "seg2").alias("seg")] if with_paths else []
         step = step.select(*SNAP, "node", F.col("cur2").alias("cur"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("stopped2").alias("stopped"), *more)
         active = write_table(step, f"{name}-{steps}")

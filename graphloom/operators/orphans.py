@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import HOT_SHARE, broadcast_if_small, salted_join, union_all, write_table
+from graphloom.runtime import HOT_ROWS, HOT_SHARE, broadcast_if_small, salted_join, union_all, write_table
 from graphloom.tables import norm_id, pack_id, packed_edges, packed_nodes, superseded, unpack_id
 
 KEY = ["project_id", "version", "ref"]
@@ -66,7 +66,7 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFram
     keys = write_table(orphan_keys(reference_counts(edges, nodes), nodes, shared_nodes), "orphan-keys")
     live = reference_deltas(edges).filter(F.col("delta") > 0).drop("delta")
     total = keys.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
-    least = max(50_000, HOT_SHARE * total)  # at most 1/HOT_SHARE keys reach the driver
+    least = max(HOT_ROWS, HOT_SHARE * total)  # at most 1/HOT_SHARE keys reach the driver
     hot = [r[0] for r in keys.filter(F.col("refs") >= least).select(F.xxhash64(*KEY)).collect()]
     found = salted_join(live, keys.drop("refs"), KEY, "inner", F.col("edge"), hot)
     found = found.filter(F.col("absent").isNotNull() | (F.col("first_loaded") > F.col("loaded_at")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of the probing rows, so there are at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 1 / 500
+#: Fewest rows that make a key hot.
+HOT_ROWS = 50_000
 #: Pieces into which the rows of a hot key are split.
 SALTS = 16
 #: Largest row count of a table that is broadcast on purpose.
@@ -59,7 +61,7 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hot_hashes(df: DataFrame, keys: list[str], share: float = HOT_SHARE, at_least: int = 50_000) -> list[int]:
+def hot_hashes(df: DataFrame, keys: list[str], share: float = HOT_SHARE, at_least: int = HOT_ROWS) -> list[int]:
     """Hashes of the key combinations with at least ``share`` of the rows and ``at_least`` rows.
 
     Counts combine on the map side; at most 1/share values reach the driver. A hash met by a second key only
