@@ -319,6 +319,11 @@ def _names(tokens: Tokens, labels: np.ndarray, model: Model) -> Iterator[tuple[i
         ls = labels[chain]
         if N not in ls:
             continue
+        ls = ls.copy()
+        for p in range(1, len(chain) - 1):  # a hyphen without spaces between family names belongs to them
+            a, h, b = chain[p - 1], chain[p], chain[p + 1]
+            if ls[p - 1] == N and tokens.text[h] == "-" and tokens.span[a][1] == tokens.span[h][0] and tokens.span[h][1] == tokens.span[b][0] and (ls[p + 1] == N or (tokens.text[b][0].isalpha() and model.family(tokens.text[b]) > 0)):
+                ls[p], ls[p + 1] = H, N
         code = "".join("d" if v == I and tokens.text[i] == "." else _CODE[v] for i, v in zip(chain, ls.tolist(), strict=True))
         for m in _NAME.finditer(code):
             part = chain[m.start() : m.end()]
@@ -437,7 +442,7 @@ def _fit_field(x: np.ndarray, y: np.ndarray, chains: list[list[int]], steps: int
     return emit, move
 
 
-def _windows(tokens: Tokens, y: np.ndarray, model: Model, around: int = 5, most: int = 30) -> list[list[int]]:
+def _windows(tokens: Tokens, y: np.ndarray, model: Model, around: int = 4, most: int = 18) -> list[list[int]]:
     """Pieces of the chains around labelled tokens and words like family names: all that the fit can learn from."""
     out = []
     for chain in tokens.chains:
