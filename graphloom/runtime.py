@@ -93,5 +93,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sp
     return salted.join(spread_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a small table is read as fewer splits than there are cores; a large one is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
