@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from graphloom.runtime import spread
+
 #: Vocabulary as ranks: lines of base64 token and rank. A parameter; the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that public vocabulary splits texts (fixed value).
@@ -190,4 +192,4 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ends, ids = enc.encode_batch(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")

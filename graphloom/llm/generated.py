@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tables import files_that_count
+from graphloom.llm.tables import raw_files
 from graphloom.runtime import BROADCAST_ROWS
+from graphloom.tables import latest
 
 #: Openings of comments that tell of a generator (fixed values, compared in lower case).
 GENERATED = [
@@ -196,10 +197,10 @@ def classified(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:
         index = shared.value
         for b in batches:
             kinds = [classify(p, t, index) for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("project_id"), b.column("path"), pa.array(kinds, pa.string())], names=["file_id", "project_id", "path", "kind"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file_id", "project_id", "path", "loaded_at")), pa.array(kinds, pa.string())], names=["file_id", "project_id", "path", "loaded_at", "kind"])
 
-    f = files_that_count(source_files).select("file_id", "project_id", "path", "content")
-    return f.mapInArrow(run, "file_id long, project_id string, path string, kind string")
+    judged = raw_files(source_files).mapInArrow(run, "file_id long, project_id string, path string, loaded_at timestamp, kind string")
+    return latest(judged, ["file_id"]).drop("loaded_at")
 
 
 def not_by_hand(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import VOCABULARY, _slices, encoder
 from graphloom.llm.tables import source_label
-from graphloom.runtime import broadcast_if_small, write_table
+from graphloom.runtime import broadcast_if_small, spread, write_table
 
 #: Labelled rows the classifier is fitted on at most, those of the smallest hashes; their features come to the driver.
 TRAIN_ROWS = 3000
@@ -78,7 +78,7 @@ def clean_targets(mix_targets: DataFrame) -> DataFrame:
 
 def memberships(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, list[str]]:
     """A written table doc_id, source, target_share, max_repeats, n_tokens, posterior; and the sources in its order."""
-    docs = _labelled(documents, targets)
+    docs = _labelled(spread(documents.select("doc_id", "text", "source")), targets)
     # The sample is taken by hash, so it is the same at every layout; only its features leave the tasks.
     sample = docs.select("doc_id", "source", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 

@@ -5,7 +5,7 @@ file that every dialect rejects is flagged. Dialects differ in the words that ma
 a word are run through more than one.
 
 Defined results: null content is no case; empty content and content of blanks and comments only is valid; line ends of
-any kind end a line; equal contents are parsed once each; paths with another extension are no case; repeated rows count
+any kind end a line; paths with another extension are no case; repeated rows count
 once (the latest loaded_at).
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import grammars, lexers
 from graphloom.llm.gll import Grammar
-from graphloom.llm.tables import files_that_count
+from graphloom.llm.tables import raw_files
+from graphloom.tables import latest
 
 #: extension: (lexer, grammar text, start, dialects as extra words for sets)
 LANGUAGES = {
@@ -59,22 +61,33 @@ def rejected(ext: str, text: str) -> bool:
     return True
 
 
+#: Verdicts on texts that a task keeps, by their digests: repeated deliveries and equal contents are parsed once.
+_KEPT = 100_000
+
+
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[str, bytes], bool] = {}
     for b in batches:
-        ext, text = b.column("ext").to_pylist(), b.column("content").to_pylist()
-        bad = [rejected(e, t) for e, t in zip(ext, text, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("ext"), b.column("content_key"), pa.array(bad)], names=["ext", "content_key", "bad"])
+        bad = []
+        for e, t in zip(b.column("ext").to_pylist(), b.column("content").to_pylist(), strict=True):
+            if t is None:
+                bad.append(None)
+                continue
+            key = (e, blake2b(t.encode(), digest_size=16).digest())
+            if key not in known:
+                if len(known) >= _KEPT:
+                    known.clear()
+                known[key] = rejected(e, t)
+            bad.append(known[key])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file_id", "project_id", "path", "ext", "loaded_at")), pa.array(bad, pa.bool_())], names=["file_id", "project_id", "path", "ext", "loaded_at", "bad"])
 
 
 def parsed_files(source_files: DataFrame) -> DataFrame:
     """file_id, project_id, path, ext, bad of every counting file with content and a supported extension."""
-    f = files_that_count(source_files).filter(F.col("content").isNotNull())
-    f = f.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)\s*$", 1))).filter(F.col("ext").isin(*LANGUAGES))
-    f = f.withColumn("content_key", F.unhex(F.sha2("content", 256)))
-    # One copy of each content is parsed; hashing spreads the work evenly over tasks.
-    once = f.select("ext", "content_key", "content").dropDuplicates(["ext", "content_key"])
-    flags = once.mapInArrow(_flag, "ext string, content_key binary, bad boolean")
-    return f.select("file_id", "project_id", "path", "ext", "content_key").join(flags, ["ext", "content_key"]).drop("content_key")
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)\s*$", 1))
+    f = raw_files(source_files).select("file_id", "project_id", "path", ext.alias("ext"), F.when(ext.isin(*LANGUAGES), F.col("content")).alias("content"), "loaded_at")
+    judged = f.mapInArrow(_flag, "file_id long, project_id string, path string, ext string, loaded_at timestamp, bad boolean")
+    return latest(judged, ["file_id"]).filter(F.col("bad").isNotNull()).drop("loaded_at")
 
 
 def unparsable(source_files: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import spread
+
 #: Documents the model is fitted on at most, and the longest of them in characters.
 FIT_DOCS = 2500
 FIT_CHARS = 20_000
@@ -563,7 +565,7 @@ def found(documents: DataFrame, known_names: DataFrame) -> DataFrame:
                 d, k, t = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.string()), pa.array(t, pa.string())], names=["doc_id", "pii_type", "pii_text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, pii_type string, pii_text string").distinct()
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, pii_type string, pii_text string").distinct()
 
 
 def masked(documents: DataFrame, known_names: DataFrame) -> DataFrame:
@@ -586,4 +588,4 @@ def masked(documents: DataFrame, known_names: DataFrame) -> DataFrame:
                     out.append(t if t is None else "".join([*parts, t[at:]]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int32())], names=["doc_id", "text", "n_pieces"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n_pieces int")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, text string, n_pieces int")

@@ -1,17 +1,21 @@
-"""What the operators on texts share: counting rows of source_files, labels of sources."""
+"""What the operators on texts share: deliveries of source_files, labels of sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.tables import latest
+from graphloom.runtime import spread
 
 
-def files_that_count(source_files: DataFrame) -> DataFrame:
-    """file_id, project_id, path, content of the latest delivery of each file; a null file_id is no file."""
+def raw_files(source_files: DataFrame) -> DataFrame:
+    """file_id, project_id, path, content, loaded_at of all deliveries; a null file_id is no file.
+
+    Contents are judged where they are read and only the short results are brought together by file_id (``latest``), so no
+    content is ever shuffled at size; the few repeated deliveries are judged once more each.
+    """
     f = source_files.select("file_id", "project_id", "path", "content", "loaded_at").filter(F.col("file_id").isNotNull())
-    return latest(f, ["file_id"]).drop("loaded_at")
+    return spread(f)
 
 
 def source_label(c: Column) -> Column:
