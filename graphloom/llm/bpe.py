@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _NONE = np.int32(2**31 - 1)
 #: Cells of one matrix at most.
 _CELLS = 2_000_000
+#: Pieces of more bytes are merged on their own, many pairs a round.
+_LONG = 512
 #: Distinct pieces kept with their ids between batches of a task.
 _KEPT = 200_000
 
@@ -120,6 +122,29 @@ class BytePairEncoder:
                 m, ranks = m[:, :widest].copy(), ranks[:, : max(0, widest - 1)].copy()
         return done
 
+    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Ids of one long piece: a round merges all pairs of the minimum rank, left to right.
+
+        That is what single merges from the left come to unless a new pair has a lower rank; then one merge is made.
+        """
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (low := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == low)
+            first = np.concatenate([[True], np.diff(at) != 1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]  # of pairs that overlap every other one, from the left
+            for take in (at, at[:1]):
+                new = ids.copy()
+                new[take] = low
+                keep = np.ones(len(ids), bool)
+                keep[take + 1] = False
+                new = new[keep]
+                after = self.pair_ranks(new[:-1], new[1:])
+                if len(take) == 1 or not len(after) or after.min() > low:
+                    break
+            ids, ranks = new, after
+        return ids
+
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         raw = [p.encode("utf-8") for p in pieces]
         size = np.array([len(b) for b in raw])
@@ -130,6 +155,10 @@ class BytePairEncoder:
             bounds.append(bounds[-1] * 2)
         for low, high in zip(bounds, bounds[1:]):
             bucket = order[np.searchsorted(size[order], low, "right") : np.searchsorted(size[order], high, "right")]
+            if low >= _LONG:
+                for i in bucket:
+                    out[i] = self._merge_long(self.byte_id[np.frombuffer(raw[i], np.uint8)].astype(np.int32))
+                continue
             step = max(1, _CELLS // high)
             for k in range(0, len(bucket), step):
                 part = bucket[k : k + step]

@@ -45,6 +45,14 @@ def test_encoding_round_trip(reference, texts):
         assert reference.decode(ids[a:b].tolist()) == t
 
 
+def test_long_pieces(reference):
+    rng = np.random.default_rng(5)
+    for n, letters in ((60_000, "a"), (5000, "ab"), (8000, "abcdefghijklmnopqrstuvwxyz"), (3000, "日本語中文é"), (4000, "!?=-")):
+        t = "".join(rng.choice(list(letters), n))
+        ends, ids = bpe.encoder().encode_batch([t])
+        assert ids.tolist() == reference.encode_ordinary(t)
+
+
 def test_encoding_on_tables(spark):
     df = docs(spark, [None, "", "hello world", "hello world"])
     got = {r[0]: r[1] for r in bpe.token_ids(df).collect()}
