@@ -178,3 +178,33 @@ def unwrap_type(c: Column, wrappers: tuple[str, ...] = ("Option", "Result", "Vec
     for _ in range(depth):
         out = F.trim(F.regexp_replace(out, rf"^(?:\w+::)*(?:{names})<\s*((?:[^<>,]|<[^<>]*(?:<[^<>]*>[^<>]*)*>)+)(?:,.*)?>$", "$1"))
     return out
+
+
+#: Types that carry no data of the project (fixed values).
+SKIPPED_TYPES = ("String", "str", "bool", "char", "u8", "u16", "u32", "u64", "usize", "i8", "i16", "i32", "i64", "isize", "f32", "f64", "()", "Self", "self")
+
+
+def is_skipped_type(c: Column) -> Column:
+    return c.isin(*SKIPPED_TYPES)
+
+
+def first_type_argument(c: Column) -> Column:
+    """The first argument of a generic type at the outermost level; null if there is none."""
+    inner = F.regexp_extract(c, r"^[^<]*<(.*)>$", 1)
+    first = F.trim(F.regexp_extract(inner, r"^((?:[^<>,]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)+)", 1))
+    return F.when(first != "", first)
+
+
+def data_flow_metadata(params: Column, returns: Column) -> Column:
+    """JSON of the parameters (array of name, type) and the return type that carry data, unwrapped; null if none does."""
+    kept = F.filter(F.transform(params, lambda p: F.struct(p["name"].alias("name"), unwrap_type(p["type"]).alias("type"))), lambda p: ~is_skipped_type(p["type"]))
+    back = unwrap_type(returns)
+    back = F.when(~is_skipped_type(back), back)
+    return F.when((F.size(kept) > 0) | back.isNotNull(), F.to_json(F.struct(F.when(F.size(kept) > 0, kept).alias("param_types"), back.alias("return_type"))))
+
+
+def scoped_call(call: Column, own_type: Column, module: Column, aliases: Column) -> Column:
+    """Target of a call: Self is the type of the impl, a capital first part an alias (map) or a type of the module."""
+    head, rest = F.substring_index(call, "::", 1), F.regexp_extract(call, "^[^:]+::(.*)$", 1)
+    full = F.coalesce(F.element_at(aliases, head), F.concat_ws("::", module, head))
+    return F.when(head == "Self", F.concat_ws("::", own_type, rest)).when(head.rlike("^[A-Z]") & (rest != ""), F.concat_ws("::", full, rest)).otherwise(call)

@@ -32,3 +32,10 @@ def analyse(manifest: DataFrame, files: DataFrame, pairs: DataFrame) -> tuple[Da
     held = manifest.select(*SNAP, "unit_name", "path").join(per_file, "path").groupBy(*SNAP, "unit_name").agg(F.sum("n_items").alias("n_items"))
     out = held.join(parsed.withColumn("parsed", F.lit(True)), [*SNAP, "unit_name"], "left").select(*SNAP, "unit_name", "n_items", F.coalesce("parsed", F.lit(False)).alias("parsed"))
     return out, parsed
+
+
+def removed_units(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """project_id, version, unit_name of units that the version before still had: copying old rows forward would keep them as ghosts."""
+    u = manifest.select(*SNAP, "unit_name").distinct()
+    old = u.join(pairs.withColumnRenamed("from_version", "version"), SNAP).select("project_id", F.col("to_version").alias("version"), "unit_name")
+    return old.join(u, [*SNAP, "unit_name"], "left_anti")

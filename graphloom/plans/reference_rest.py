@@ -14,7 +14,7 @@ from graphloom.operators import relations as rl
 from graphloom.operators import snapshot_changes as sc
 from graphloom.operators import traversal as tv
 from graphloom.operators import typeflow as tf
-from graphloom.plans.reference_graph import _closure, query
+from graphloom.plans.reference_graph import ORACLES, _closure, query
 from graphloom.plans.sql import BASE, CLOSURE, DEGREES, ENDS
 from graphloom.runtime import shared_dir
 from graphloom.sources import export as ex
@@ -924,3 +924,126 @@ def ext_plugin(g):
     except PluginError:
         refused = True
     return g.spark.createDataFrame([(refused,)], "refused boolean")
+
+
+# --- the rest of the surface ----------------------------------------------------------------------------------------------------------------
+
+
+@query("select * from (values ('typescript', 'js/web', 'js/web/src/a.ts'), ('go', 'go/api', 'go/api/main.go'), ('python', 'py/tool', 'py/tool/tool/__init__.py')) v(language, root, path)")
+def src_legacy_discovery(g):
+    from graphloom.runtime import union_all
+    from graphloom.sources.orchestrate import ORCHESTRATORS
+
+    return union_all([ORCHESTRATORS[lang].package_files(_tree(g)).select(F.lit(lang).alias("language"), "root", "path") for lang in ("typescript", "go", "python")])
+
+
+@query("select * from (values ('go', 1::bigint, 0::bigint), ('java', 2, 0), ('python', 1, 0), ('rust', 1, 1), ('typescript', 1, 0)) v(language, units, items)")
+def ext_orchestrator(g):
+    from graphloom.sources.registry import Registry
+
+    rows = []
+    for lang, o in sorted(Registry().orchestrators.items()):
+        rows.append((lang, o.discover(_tree(g)).count(), o.analyse(_tree(g))[0].count()))
+    return g.spark.createDataFrame(rows, "language string, units long, items long")
+
+
+@query("select * from (values ('go'), ('java'), ('python'), ('rust'), ('typescript')) v(language)")
+def ext_analyzer_registry(g):
+    from graphloom.sources.registry import Registry
+
+    return g.spark.createDataFrame([(n,) for n in sorted(Registry().orchestrators)], "language string")
+
+
+@query("select true as all_chosen, false as none_active")
+def flt_active_filters(g):
+    from graphloom.api import filters_active
+
+    offered = {"kind": {r[0] for r in g.nodes.select("kind").distinct().collect()}}
+    return g.spark.createDataFrame([(not filters_active(offered, offered), not filters_active({}, offered))], "all_chosen boolean, none_active boolean")
+
+
+@query("select unnest(['a', 'c']) as value")
+def set_toggle(g):
+    from graphloom.api import toggled
+
+    return g.spark.createDataFrame([(v,) for v in sorted(toggled(toggled({"a", "b"}, "b"), "c"))], "value string")
+
+
+@query(ORACLES["agg_meta_edges"].replace("select project_id, version, src, tgt, kind, 1::bigint n", "select * from (select project_id, version, src, tgt, kind, 1::bigint n") + ") where kind in ('depends', 'calls')")
+def flt_view_pipeline(g):
+    from graphloom.api import SnapshotView
+
+    v = SnapshotView(g.nodes, g.edges)
+    v.closure = _closure(g)
+    roots = g.nodes.select(*SNAP, "id").join(_closure(g).select(*SNAP, F.col("node").alias("id")).distinct(), [*SNAP, "id"], "left_anti")
+    return v.view(None, roots, edge_kinds=["depends", "calls"])[1]
+
+
+@query(BASE + ", p as (select project_id, version, target id, max(source) parent from e where kind = 'contains' group by all), v as (select n.project_id, n.version, n.id, p.parent from n left join p using (project_id, version, id)), t as (select project_id, version from v where parent is null group by all having count(*) > 1) select v.project_id, v.version, v.id, case when v.parent is null and t.project_id is not null then '__root__' else v.parent end parent from v left join t using (project_id, version) union all select project_id, version, '__root__', null from t")
+def agg_synthetic_root(g):
+    from graphloom.api import with_single_root
+    from graphloom.operators.lookups import view_nodes
+
+    return with_single_root(view_nodes(g.nodes, g.edges)).select(*SNAP, "id", "parent")
+
+
+@query("select * from (values ('String', true, null), ('Vec<app::Row>', false, 'app::Row'), ('HashMap<Vec<A, B>, C>', false, 'Vec<A, B>'), ('usize', true, null), ('app::Row', false, null)) v(type, skipped, first)")
+def fn_first_type_arg(g):
+    t = g.spark.createDataFrame([(x,) for x in ("String", "Vec<app::Row>", "HashMap<Vec<A, B>, C>", "usize", "app::Row")], "type string")
+    return t.select("type", fx.is_skipped_type(F.col("type")).alias("skipped"), fx.first_type_argument(F.col("type")).alias("first"))
+
+
+@query("select * from (values ('String', true), ('Vec<app::Row>', false), ('()', true)) v(type, skipped)")
+def fn_is_skip_type(g):
+    t = g.spark.createDataFrame([(x,) for x in ("String", "Vec<app::Row>", "()")], "type string")
+    return t.select("type", fx.is_skipped_type(F.col("type")).alias("skipped"))
+
+
+@query("""select * from (values (1, '{"param_types":[{"name":"r","type":"app::Row"}],"return_type":"app::Hit"}'), (2, null), (3, '{"return_type":"app::Hit"}')) v(k, metadata)""")
+def fn_build_data_flow_metadata(g):
+    rows = [(1, [("r", "&Vec<app::Row>"), ("n", "usize")], "Option<app::Hit>"), (2, [("n", "usize")], "()"), (3, [], "app::Hit")]
+    t = g.spark.createDataFrame(rows, "k int, params array<struct<name:string,type:string>>, returns string")
+    return t.select("k", fx.data_flow_metadata(F.col("params"), F.col("returns")).alias("metadata"))
+
+
+@query("select * from (values ('Self::new', 'a::S::new'), ('Map::get', 'std::Map::get'), ('Row::find', 'a::b::Row::find'), ('free', 'free'), ('x::y', 'x::y')) v(call, target)")
+def fn_resolve_scoped_call(g):
+    t = g.spark.createDataFrame([(x,) for x in ("Self::new", "Map::get", "Row::find", "free", "x::y")], "call string")
+    return t.select("call", fx.scoped_call(F.col("call"), F.lit("a::S"), F.lit("a::b"), F.create_map(F.lit("Map"), F.lit("std::Map"))).alias("target"))
+
+
+@query(BASE + ", u as (select distinct project_id, version, unit_name from m), mp as (select * from (select project_id, version from_version, lead(version) over (partition by project_id order by version) to_version from (select distinct project_id, version from m)) where to_version is not null) select u.project_id, mp.to_version as version, u.unit_name from u join mp on mp.project_id = u.project_id and mp.from_version = u.version anti join u u2 on u2.project_id = u.project_id and u2.version = mp.to_version and u2.unit_name = u.unit_name")
+def inc_ghosts(g):
+    from graphloom.operators.incremental import removed_units
+
+    return removed_units(g.manifest, sc.snapshot_pairs(g.manifest))
+
+
+@query(ORACLES["agg_rollup_service"])
+def agg_aggregated_edges(g):
+    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _closure(g), "service"), "holder")
+
+
+@query("select unnest(['analyze', 'check', 'compact', 'diff', 'export', 'import', 'info', 'init', 'plugins', 'push', 'reset', 'roots']) as command")
+def api_cli(g):
+    from graphloom.__main__ import _parser
+
+    names = next(a for a in _parser()._actions if a.dest == "command").choices
+    return g.spark.createDataFrame([(n,) for n in sorted(names)], "command string")
+
+
+def _view_of(g):
+    from graphloom.api import SnapshotView
+
+    return SnapshotView(g.nodes, g.edges)
+
+
+@query(BASE + ", ph as (select distinct e.project_id, e.version, e.source id from e anti join n on n.project_id = e.project_id and n.version = e.version and n.id = e.source where e.kind = 'contains' and e.source is not null) select project_id, version, id from n union all select project_id, version, id from ph")
+def api_rest(g):
+    """The nodes of the graph route, phantom parents among them."""
+    return _view_of(g).graph()[0].select(*SNAP, "id")
+
+
+@query(BASE + "select project_id, version, id from n where regexp_matches(canonical_path, '^/[^/]*/[^/]*$')")
+def api_wasm(g):
+    return _view_of(g).search("/*/*").select(*SNAP, "id")

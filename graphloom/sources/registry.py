@@ -12,6 +12,7 @@ from importlib.metadata import entry_points
 
 from graphloom.operators import conformance
 from graphloom.sources import export, items
+from graphloom.sources.orchestrate import ORCHESTRATORS
 
 API_VERSION = 1
 GROUP = "graphloom.plugins"
@@ -27,6 +28,7 @@ class Registry:
     exporters: dict[str, Callable] = field(default_factory=lambda: {"dot": export.dot_lines, "mermaid": export.mermaid_lines, "c4": export.c4_lines})
     edge_checks: dict[str, Callable] = field(default_factory=lambda: dict(conformance.EDGE_CHECKS))
     node_checks: dict[str, Callable] = field(default_factory=lambda: dict(conformance.NODE_CHECKS))
+    orchestrators: dict[str, object] = field(default_factory=lambda: dict(ORCHESTRATORS))
     plugins: dict[str, object] = field(default_factory=dict)
 
     def add(self, name: str, plugin) -> None:

@@ -148,3 +148,20 @@ def test_closure_is_reachability(spark, links):
             front = {f"{b}" for a, b in links if f"{a}" in front} - {x for (y, x) in want if y == s}
             want |= {(s, x): d for x in front}
     assert have == want
+
+
+def test_snapshot_view(layered):
+    from graphloom.api import SnapshotView, filters_active, toggled, with_single_root
+
+    n, e = layered
+    v = SnapshotView(n, e)
+    assert got(v.children("app"), "other_id") == [("api",), ("database",), ("repository",), ("service",)]
+    assert got(v.parent("h"), "other_id") == [("api",)] and got(v.ancestors("h"), "ancestor") == [("api",), ("app",)]
+    assert got(v.descendants("app", kind="unit"), "id") == [("h",)]
+    assert got(v.dependencies("api"), "target") == [("service",)] and v.dependencies("api", transitive=True).count() == 3
+    assert got(v.dependents("service"), "source") == [("api",)] and got(v.node("h"), "canonical_path") == [("/app/api/handler",)]
+    nodes, meta = v.view("/app", n.filter("id = 'app'").select(*SNAP, "id"), edge_kinds=["calls"])
+    assert got(nodes, "id") == [("api",), ("app",), ("database",), ("repository",), ("service",)] and got(meta, "src", "tgt", "n") == [("api", "service", 1)]
+    flat = v.graph()[0].withColumn("parent", F.when(F.col("id") != "h", F.lit(None)).otherwise(F.col("parent")))
+    assert ("__root__", None) in {tuple(r) for r in with_single_root(flat).select("id", "parent").collect()}
+    assert toggled({1}, 1) == set() and not filters_active({"k": {1}}, {"k": {1}}) and filters_active({}, {"k": {1}})
