@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ SALTS = 16
 BROADCAST_ROWS = 10_000
 
 _local_dir: str | None = None
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -93,6 +96,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sp
     return salted.join(spread_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per session, so that they need no installation of it.
+
+    The archive goes out through Spark's own file server; nothing is read from the driver's disk elsewhere.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = Path(__file__).resolve().parent
+    if not here.is_dir():
+        return  # it already came as an archive
+    archive = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path("graphloom") / f.relative_to(here))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when a small table is read as fewer splits than there are cores; a large one is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
