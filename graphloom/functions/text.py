@@ -208,3 +208,14 @@ def scoped_call(call: Column, own_type: Column, module: Column, aliases: Column)
     head, rest = F.substring_index(call, "::", 1), F.regexp_extract(call, "^[^:]+::(.*)$", 1)
     full = F.coalesce(F.element_at(aliases, head), F.concat_ws("::", module, head))
     return F.when(head == "Self", F.concat_ws("::", own_type, rest)).when(head.rlike("^[A-Z]") & (rest != ""), F.concat_ws("::", full, rest)).otherwise(call)
+
+
+#: How a view draws nodes and edges (fixed values).
+SHAPES = {"trait": "diamond", "struct": "hexagon", "function": "ellipse", "module": "roundrectangle", "enum": "pentagon", "interface": "diamond", "class": "hexagon", "crate": "roundrectangle", "package": "roundrectangle", "workspace": "roundrectangle", "directory": "roundrectangle"}
+EDGE_LINES = {"depends": "solid", "calls": "solid", "implements": "dotted", "extends": "solid", "exports": "dashed", "transforms": "solid", "data_flow": "solid"}
+EDGE_ARROWS = {"depends": "triangle", "calls": "vee", "implements": "triangle", "extends": "triangle-backcurve", "exports": "triangle", "transforms": "triangle", "data_flow": "vee"}
+
+
+def looked_up(c: Column, values: dict[str, str]) -> Column:
+    """The value of a literal table, null where it has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)

@@ -181,10 +181,20 @@ def fn_json_convert(g):
     return g.raw("nodes").filter("metadata is not null").select(F.try_variant_get(m, "$.loc", "string").alias("loc"), F.try_variant_get(m, "$.fan_in", "string").alias("fan_in")).distinct()
 
 
-@query("select distinct kind, map {'system': '#4a90d9', 'service': '#50b86c', 'component': '#f5a623', 'unit': '#9b9b9b'}[kind] as colour from nodes where kind is not null")
+def _map_sql(values):
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+@query(f"select distinct n.kind, '--kind-' || n.kind as colour, n.sub_kind, {_map_sql(fx.SHAPES)}[n.sub_kind] shape from nodes n where n.kind is not null and n.sub_kind is not null")
 def fn_visual_encoding(g):
-    colours = F.create_map(*[F.lit(x) for x in ("system", "#4a90d9", "service", "#50b86c", "component", "#f5a623", "unit", "#9b9b9b")])
-    return g.raw("nodes").filter("kind is not null").select("kind", F.element_at(colours, F.col("kind")).alias("colour")).distinct()
+    n = g.raw("nodes").filter("kind is not null and sub_kind is not null").select("kind", "sub_kind").distinct()
+    return n.select("kind", F.concat(F.lit("--kind-"), "kind").alias("colour"), "sub_kind", fx.looked_up(F.col("sub_kind"), fx.SHAPES).alias("shape"))
+
+
+@query(f"select distinct kind, {_map_sql(fx.EDGE_LINES)}[kind] line, {_map_sql(fx.EDGE_ARROWS)}[kind] arrow from edges where kind is not null")
+def fn_edge_style(g):
+    e = g.raw("edges").filter("kind is not null").select("kind").distinct()
+    return e.select("kind", fx.looked_up(F.col("kind"), fx.EDGE_LINES).alias("line"), fx.looked_up(F.col("kind"), fx.EDGE_ARROWS).alias("arrow"))
 
 
 @query()
