@@ -131,12 +131,9 @@ def by_measure(text: str) -> str | None:
             return "data"
     if sum(len(m[0]) for x in code for m in _ENCODED.finditer(x)) > 0.5 * size:
         return "data"
-    # Minified: hardly a space outside strings, in long lines or throughout.
     long = [x for x in code if len(x) > 400]
-    for part in (long if sum(map(len, long)) > 0.6 * size else [], code if size > 500 else []):
-        outside = _LITERAL.sub('""', "\n".join(part))
-        if outside and sum(c.isspace() for c in outside) < 0.12 * len(outside) and len(_NAME_OR_NUMBER.findall(outside)) > 20:
-            return "minified"
+    if sum(map(len, long)) > 0.6 * size and _squeezed(long):
+        return "minified"
     literal = [x for x in code if _is_literal_line(x)]
     if len(literal) >= 8 and sum(map(len, literal)) > 0.8 * size:
         return "data"
@@ -147,7 +144,13 @@ def by_measure(text: str) -> str | None:
         numbers = {int(m[1]) for x in code for m in _COUNTED.finditer(x)}
         if common >= 0.9 * len(code) and len(numbers) >= max(5, 0.1 * len(code)) and sum(n - 1 in numbers for n in numbers) >= 0.8 * len(numbers):
             return "generated"
-    return None
+    return "minified" if size > 500 and _squeezed(code) else None
+
+
+def _squeezed(lines: list[str]) -> bool:
+    """Hardly a space outside strings."""
+    outside = _LITERAL.sub('""', "\n".join(lines))
+    return bool(outside) and sum(c.isspace() for c in outside) < 0.12 * len(outside) and len(_NAME_OR_NUMBER.findall(outside)) > 20
 
 
 _LITERAL_LINE = re.compile(r"""^\s*[\[\]{}()]*\s*(?:(?:-?(?:0x[\da-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)[a-z\d]*|s)\s*[,:;\])}\s]*)+$""")
