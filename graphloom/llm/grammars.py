@@ -28,21 +28,26 @@ Kind: 'use' UseTree ';'
   | 'const' ( @id | '_' ) ( ':' Type )? ( '=' Expr )? ';'
   | ( 'unsafe' | 'safe' )? 'static' 'mut'? @id ':' Type ( '=' Expr )? ';'
   | 'type' @id Generics? ( ':' Bounds? )? Where? ( '=' Type )? Where? ';'
-  | 'unsafe'? 'auto'? 'trait' @id Generics? ( ':' Bounds? )? Where? '{' InnerAttr* Member* '}'
+  | 'unsafe'? 'auto'? 'trait' @id Generics? ( ':' Bounds? )? Where? '{' InnerAttr* TraitMember* '}'
   | 'trait' @id Generics? '=' Bounds? Where? ';'
   | 'default'? 'unsafe'? 'impl' ( Generics )? 'const'? '!'? Type ( 'for' Type )? Where? '{' InnerAttr* Member* '}'
   | 'unsafe'? 'extern' LIT? '{' InnerAttr* Member* '}' ;
 Quals: 'default'? ( 'const' | 'async' | 'unsafe' | 'safe' | 'extern' LIT? )* ;
 Member: Attr* ( Vis? MemberKind | MacroItem ) ;
-MemberKind: Quals 'fn' Fn
-  | 'default'? 'const' ( @id | '_' ) ':' Type ( '=' Expr )? ';'
+MemberKind: Quals 'fn' Fn | Assoc ;
+TraitMember: Attr* ( Vis? ( Quals 'fn' TraitFn | Assoc ) | MacroItem ) ;
+Assoc: 'default'? 'const' ( @id | '_' ) ':' Type ( '=' Expr )? ';'
   | ( 'unsafe' | 'safe' )? 'static' 'mut'? @id ':' Type ( '=' Expr )? ';'
   | 'default'? 'type' @id Generics? ( ':' Bounds? )? Where? ( '=' Type )? Where? ';' ;
 UseTree: SimplePath ( '::' UseTail | 'as' ( @id | '_' ) )? | '::'? UseTail ;
 UseTail: '*' | '{' ( UseTree ( ',' UseTree )* ','? )? '}' ;
 Fn: @id Generics? '(' Params? ')' ( '->' Type )? Where? ( Block | ';' ) ;
-Params: Param ( ',' Param )* ','? ;
-Param: Attr* ( ( '&' Life? )? 'mut'? 'self' ( ':' Type )? | Pat ':' Type | '...' | Type ) ;
+TraitFn: @id Generics? '(' TraitParams? ')' ( '->' Type )? Where? ( Block | ';' ) ;
+Params: ( SelfParam | Param ) ( ',' Param )* ','? ;
+Param: Attr* ( Pat ':' Type | '...' ) ;
+TraitParams: ( SelfParam | TraitParam ) ( ',' TraitParam )* ','? ;
+TraitParam: Attr* ( Pat ':' Type | '...' | Type ) ;
+SelfParam: Attr* ( '&' Life? )? 'mut'? 'self' ( ':' Type )? ;
 Life: LIFETIME ;
 Fields: Field ( ',' Field )* ','? ;
 Field: Attr* Vis? @id ':' Type ( '=' Expr )? ;
@@ -94,14 +99,15 @@ CParam: Attr* PatOne ( ':' Type )? ;
 %mode
 Expr: Un^ ( @bin Un^ | Shift Un^ | 'as' TypeNB | Range Un^ )* Range? | Range ( Un^ ( @bin Un^ | Shift Un^ | 'as' TypeNB )* )? ;
 Range: '..' | '..=' ;
-Un: @un* Post^ | 'let' Pat '=' Un^ ;
+Un: ( @un | Borrow )* Post^ | 'let' Pat '=' Un^ ;
 Post: Prim^ ( '?' | '.' ( @pathid ( '::' GArgs )? | LIT | 'await' ) | '(' Args? ')' | '[' Expr ']' )* ;
 Prim: @lit | PathExpr ( '!' Tree | %{ '{' StructBody? '}' %} )?
   | '(' ( Attr* Expr ( ',' Expr )* ','? )? ')' | '[' ( Attr* Expr ( ';' Expr | ( ',' Expr )* ','? ) )? ']'
   | Blocky | Closure ( '->' TypeNB Block | Expr^ ) | 'return' Expr^? | 'break' LIFETIME? Expr^? | 'continue' LIFETIME? | 'yield' Expr^? | '_' ;
 %end
 @bin: '+' '-' '*' '/' '%' '^' '&' '|' '&&' '||' '=' '+=' '-=' '*=' '/=' '%=' '^=' '&=' '|=' '==' '!=' '<' '>';
-@un: '-' '!' '*' '&' '&&' 'mut' 'raw' 'const';
+@un: '-' '!' '*';
+Borrow: ( '&' | '&&' ) ( 'mut' | 'raw' ( 'const' | 'mut' ) )? ;
 Shift: 'J<' ( '<' | '=' | 'J<' '=' ) | 'J>' ( '>' | '=' | 'J>' '=' ) ;
 PathExpr: '::'? @pathid ( '::' ( @pathid | GArgs ) )* | QSelf ( '::' ( @pathid | GArgs ) )+ ;
 Args: Attr* Expr ( ',' Attr* Expr )* ','? ;
@@ -113,7 +119,7 @@ GO = r"""
 File: ( 'package' IDENT ';' ( 'import' ( Spec | '(' ( Spec ( ';' Spec )* ';'? )? ')' ) ';' )* ( Top ( ';' Top )* )? ';'? )? ;
 Spec: ( IDENT | '.' )? STRING ;
 Top: Decl | 'func' Receiver? IDENT TParams? Signature Block? ;
-Receiver: '(' Param ','? ')' ;
+Receiver: '(' IDENT? '...'? Type ','? ')' ;
 Decl: 'const' ( ConstSpec | '(' ( ConstSpec ( ';' ConstSpec )* ';'? )? ')' )
   | 'var' ( VarSpec | '(' ( VarSpec ( ';' VarSpec )* ';'? )? ')' )
   | 'type' ( TypeSpec | '(' ( TypeSpec ( ';' TypeSpec )* ';'? )? ')' ) ;
@@ -125,8 +131,9 @@ TParam: IDENT ( ',' IDENT )* Union ;
 Union: '~'? Type ( '|' '~'? Type )* ;
 Signature: Params Result? ;
 Result: Params | Type ;
-Params: '(' ( Param ( ',' Param )* ','? )? ')' ;
-Param: '...'? Type | IDENT '...'? Type ;
+Params: '(' ( ( Unnamed ( ',' Unnamed )* | Named ( ',' Named )* ) ','? )? ')' ;
+Unnamed: '...'? Type ;
+Named: IDENT ( ',' IDENT )* '...'? Type ;
 Type: TypeName ( '[' Type ( ',' Type )* ','? ']' )? | '*' Type | '(' Type ')' | '[' ( Expr | '...' )? ']' Type | 'map' '[' Type ']' Type
   | 'chan' '<-'? Type | '<-' 'chan' Type | 'func' Signature | StructType | 'interface' '{' ( Elem ( ';' Elem )* ';'? )? '}' ;
 StructType: 'struct' '{' ( Field ( ';' Field )* ';'? )? '}' ;
@@ -135,7 +142,7 @@ Field: ( IDENT ( ',' IDENT )* Type | '*'? TypeName ( '[' Type ( ',' Type )* ','?
 Elem: IDENT Signature | Union ;
 Block: '{' Stmts '}' ;
 Stmts: Stmt? ( ';' Stmt? )* ;
-Stmt: Decl | Simple | 'go' Expr | 'defer' Expr | 'return' Exprs? | 'break' IDENT? | 'continue' IDENT? | 'goto' IDENT | 'fallthrough'
+Stmt: Decl | Simple | ( 'go' | 'defer' ) Call | 'return' Exprs? | 'break' IDENT? | 'continue' IDENT? | 'goto' IDENT | 'fallthrough'
   | Block | If | Switch | 'select' '{' ( CommClause )* '}' | For | IDENT ':' Stmt? ;
 Simple: Exprs ( @assign Exprs | '++' | '--' | '<-' Expr )? ;
 Header: Exprs! ( @assign Exprs! | '++' | '--' | '<-' Expr! )? ;
@@ -149,9 +156,11 @@ ExprOrType: Expr | Type ;
 Exprs: Expr^ ( ',' Expr^ )* ;
 Expr: Un^ ( @bin Un^ )* ;
 Un: @un* Post^ ;
-Post: Prim^ ( '.' ( IDENT | '(' ( Type | 'type' ) ')' ) | '[' Index ']' | '(' ( ExprOrType ( ',' ExprOrType )* '...'? ','? )? ')' | %{ Lit %} )* ;
+Post: Prim^ ( '.' ( IDENT | '(' ( Type | 'type' ) ')' ) | '[' Index ']' | CallArgs | %{ Lit %} )* ;
 Prim: NUMBER | STRING | CHAR | IDENT | '(' ( Expr | Type ) ')' | 'func' Signature Block | LitType %{ Lit %} | LitType Lit | ConvType ;
 %end
+Call: Prim ( '.' ( IDENT | '(' ( Type | 'type' ) ')' ) | '[' Index ']' | CallArgs | Lit )* CallArgs ;
+CallArgs: '(' ( ExprOrType ( ',' ExprOrType )* '...'? ','? )? ')' ;
 LitType: '[' ( Expr | '...' )? ']' Type | 'map' '[' Type ']' Type | StructType ;
 ConvType: 'chan' Type | 'interface' '{' ( Elem ( ';' Elem )* ';'? )? '}' | 'map' '[' Type ']' Type | '[' ']' Type ;
 Index: ExprOrType ( ',' ExprOrType )* ','? | Expr? ':' Expr? ( ':' Expr )? ;
@@ -169,6 +178,8 @@ TS = r"""
 @name: @id 'break' 'case' 'catch' 'class' 'const' 'continue' 'debugger' 'default' 'delete' 'do' 'else' 'enum' 'export' 'extends' 'false' 'finally' 'for' 'function' 'if' 'import' 'in' 'instanceof' 'new' 'null' 'return' 'super' 'switch' 'this' 'throw' 'true' 'try' 'typeof' 'var' 'void' 'while' 'with' 'await' 'yield';
 @gt: '>' 'J>';
 @lt: '<' 'J<';
+@async: 'async' 'Jasync';
+@let: 'let' 'Jlet';
 @semi: ';' %asi;
 File: ModuleItem* ;
 ModuleItem: Stmt | Import | Export ;
@@ -179,25 +190,29 @@ NameSpace: '*' 'as' @id ;
 Named: '{' ( Specifier ( ',' Specifier )* ','? )? '}' ;
 Specifier: 'type'? ( @name | STRING ) ( 'as' ( @name | STRING ) )? ;
 Export: 'export' ( '*' ( 'as' ( @name | STRING ) )? 'from' STRING With? @semi | 'type'? Named ( 'from' STRING With? )? @semi | 'type' '*' ( 'as' @name )? 'from' STRING @semi
-  | 'default' ( FuncDecl | Decorator* 'abstract'? Class | Interface | Expr @semi ) | Declaration | '=' Expr @semi | 'as' 'namespace' @id @semi | 'import' 'type'? @id '=' ( 'require' '(' STRING ')' | EntityName ) @semi ) ;
+  | 'default' ( DefaultFunc | Decorator* 'abstract'? ClassExpr | Interface | Expr @semi ) | Declaration | '=' Expr @semi | 'as' 'namespace' @id @semi | 'import' 'type'? @id '=' ( 'require' '(' STRING ')' | EntityName ) @semi ) ;
 Declaration: Var @semi | FuncDecl | Decorator* 'abstract'? Class | Interface | 'type' @id TParams? '=' Type @semi | 'const'? 'enum' @id '{' ( EnumMember ( ',' EnumMember )* ','? )? '}'
-  | ( 'namespace' | 'module' ) ( EntityName | STRING ) ( '{' ModuleItem* '}' | @semi ) | 'declare' ( Declaration | 'global' '{' ModuleItem* '}' ) ;
+  | ( 'namespace' | 'module' ) ( EntityName | STRING ) ( '{' ModuleItem* '}' | @semi ) | 'declare' ( Declaration | AmbientVar @semi | 'global' '{' ModuleItem* '}' ) ;
 EnumMember: ( @name | STRING | '[' Expr ']' ) ( '=' Assign )? ;
 EntityName: @name ( '.' @name )* ;
-Var: ( 'var' | 'let' | 'const' | 'using' | 'await' 'using' ) VarOne ( ',' VarOne )* ;
-VarOne: Target ( '!'? ':' Type )? ( '=' Assign )? ;
-Target: @id | '{' ( BindProp ( ',' BindProp )* ','? )? '}' | '[' ( BindElem? ( ',' BindElem? )* ) ']' ;
+AmbientVar: ( 'var' | @let | 'const' ) AmbientOne ( ',' AmbientOne )* ;
+AmbientOne: Target ( ':' Type )? ;
+Target: @id | Pattern ;
+Pattern: '{' ( BindProp ( ',' BindProp )* ','? )? '}' | '[' ( BindElem? ( ',' BindElem? )* ) ']' ;
 BindProp: '...' @id | PropName ':' Target ( '=' Assign )? | @id ( '=' Assign )? ;
 BindElem: '...'? Target ( '=' Assign )? ;
-FuncDecl: 'async'? 'function' '*'? @id? Signature ( Block | @semi ) ;
+FuncDecl: 'Jasync'? 'function' '*'? @id Signature ( Block | @semi ) ;
+DefaultFunc: 'Jasync'? 'function' '*'? @id? Signature ( Block | @semi ) ;
 Signature: TParams? '(' Params? ')' ( ':' RetType )? ;
 Params: Param ( ',' Param )* ','? ;
 Param: Decorator* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' )* '...'? ( Target | 'this' ) '?'? ( ':' Type )? ( '=' Assign )? ;
 RetType: Type | 'asserts'? ( @id | 'this' ) 'is' Type | 'asserts' ( @id | 'this' ) ;
 Decorator: '@' ( @name ( '.' @name | TArgs? '(' Args? ')' )* | '(' Expr ')' ) ;
-Class: 'class' @id? TParams? ( 'extends' Lhs TArgs? )? ( 'implements' TypeRef ( ',' TypeRef )* )? '{' ClassMember* '}' ;
+Class: 'class' @id ClassRest ;
+ClassExpr: 'class' @id? ClassRest ;
+ClassRest: TParams? ( 'extends' Lhs TArgs? )? ( 'implements' TypeRef ( ',' TypeRef )* )? '{' ClassMember* '}' ;
 ClassMember: ';' | 'static' Block | Decorator* Mod* ( ( 'get' | 'set' )? '*'? MemberName ( '?' | '!' )? ( Signature ( Block | @semi ) | ( ':' Type )? ( '=' Assign )? @semi ) | IndexSig @semi ) ;
-Mod: 'public' | 'private' | 'protected' | 'readonly' | 'static' | 'abstract' | 'override' | 'async' | 'declare' | 'accessor' ;
+Mod: 'public' | 'private' | 'protected' | 'readonly' | 'static' | 'abstract' | 'override' | @async | 'declare' | 'accessor' ;
 MemberName: PropName | PRIVATE ;
 PropName: @name | STRING | NUMBER | '[' Expr ']' ;
 Interface: 'interface' @id TParams? ( 'extends' TypeRef ( ',' TypeRef )* )? ObjType ;
@@ -208,12 +223,12 @@ Stmt: Block | ';' | Declaration | ExprStmt | 'if' '(' Expr ')' Stmt ( 'else' Stm
 ExprStmt: Expr @semi ;
 Catch: 'catch' ( '(' Target ( ':' Type )? ')' )? Block ;
 Case: ( 'case' Expr | 'default' ) ':' Stmt* ;
-ForHead: ( Var! | Expr! )? ';' Expr? ';' Expr? | ( 'var' | 'let' | 'const' | 'using' ) Target ( ':' Type )? ( '=' Assign! )? ( 'of' Assign | 'in' Expr ) | Lhs ( 'of' Assign | 'in' Expr ) ;
+ForHead: ( Var! | Expr! )? ';' Expr? ';' Expr? | ( 'var' | @let | 'const' | 'using' ) Target ( ':' Type )? ( '=' Assign! )? ( 'of' Assign | 'in' Expr ) | Lhs ( 'of' Assign | 'in' Expr ) ;
 Args: Arg ( ',' Arg )* ','? ;
 Arg: '...'? Assign ;
 %mode
-Var: ( 'var' | 'let' | 'const' | 'using' | 'await' 'using' ) VarOne^ ( ',' VarOne^ )* ;
-VarOne: Target ( '!'? ':' Type )? ( '=' Assign^ )? ;
+Var: ( 'var' | @let | 'const' | 'using' | 'await' 'using' ) VarOne^ ( ',' VarOne^ )* ;
+VarOne: @id ( '!'? ':' Type )? ( '=' Assign^ )? | Pattern ( ':' Type )? '=' Assign^ ;
 Expr: Assign^ ( ',' Assign^ )* ;
 Assign: Arrow ( Assign^ | Block ) | 'yield' ( '*'? Assign^ )? | Cond^ | Lhs AssignOp Assign^ ;
 Cond: Un ( Bin^ Un | ( 'as' | 'satisfies' ) Type )* ( '?' Assign ':' Assign^ )? ;
@@ -229,10 +244,10 @@ Postfix: Lhs ( '++' | '--' )? ;
 Lhs: Prim ( '.' ( @name | PRIVATE ) | '?.' ( @name | PRIVATE | '[' Expr ']' | TArgs? '(' Args? ')' ) | '[' Expr ']' | '!' | TArgs? '(' Args? ')' | TArgs Template | TArgs | Template )* ;
 Prim: @id | 'this' | 'super' | NUMBER | STRING | REGEX | 'true' | 'false' | 'null' | Template | PRIVATE 'in' Un
   | '(' Expr ')' | '[' ArrayElem? ( ',' ArrayElem? )* ']' | '{' ( Prop ( ',' Prop )* ','? )? '}'
-  | 'async'? 'function' '*'? @id? Signature Block | Decorator* Class | 'new' ( '.' @name | NewTarget TArgs? ( '(' Args? ')' )? ) | 'import' ( '(' Args ')' | '.' @name ) %casts ;
+  | 'Jasync'? 'function' '*'? @id? Signature Block | Decorator* ClassExpr | 'new' ( '.' @name | NewTarget TArgs? ( '(' Args? ')' )? ) | 'import' ( '(' Args ')' | '.' @name ) %casts ;
 NewTarget: Prim ( '.' ( @name | PRIVATE ) | '[' Expr ']' | Template | '!' )* ;
 ArrayElem: '...'? Assign ;
-Prop: '...' Assign | ( PropName ':' Assign | @id ( '=' Assign )? | ( 'async'? '*'? | 'get' | 'set' ) PropName Signature Block ) ;
+Prop: '...' Assign | ( PropName ':' Assign | @id ( '=' Assign )? | ( @async? '*'? | 'get' | 'set' ) PropName Signature Block ) ;
 Template: TPL | TPL_HEAD Expr ( TPL_MID Expr )* TPL_TAIL ;
 TParams: @lt TParam ( ',' TParam )* ','? @gt ;
 TParam: ( 'const' | 'in' | 'out' )* @id ( 'extends' Type )? ( '=' Type )? ;
@@ -336,4 +351,4 @@ FPart: FMID | '{' ( Stars | Yield ) '='? ( '!' NAME )? ( ':' FPart* )? '}' ;
 """
 
 #: With which an expression statement does not begin: those are a block and declarations.
-TS_NOT_FIRST = {"ExprStmt": ["{", "function", "class"]}
+TS_NOT_FIRST = {"ExprStmt": ["{", "function", "Jasync", "class", "@"]}

@@ -136,6 +136,8 @@ _XNAME = re.compile(r"[^\W\d][\w$]*(?:-[\w]+)*")
 _XSPACE = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)+")
 #: Words after which a value begins, so a slash opens a regular expression there.
 _BEFORE_VALUE = {"return", "typeof", "case", "do", "else", "in", "of", "instanceof", "new", "delete", "void", "throw", "await", "yield", "default", "extends"}
+#: Words that with the next one open a declaration where an expression could begin with the word alone: 'Jasync', 'Jlet'.
+_AHEAD = {"async": re.compile(r"(?:[^\S\n\r\u2028\u2029]|/\*[^\n\r]*?\*/)+function(?![\w$])"), "let": re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*\[")}
 
 
 def _js(text: str, g: Grammar, elements: bool) -> list[int]:
@@ -224,7 +226,8 @@ def _js(text: str, g: Grammar, elements: bool) -> list[int]:
         kind, end = m.lastgroup, m.end()
         if kind == "id":
             w = m["id"]
-            put(ids.get(w, ident))
+            ahead = _AHEAD.get(w) if prev not in (".", "?.") else None
+            put(ids["J" + w] if ahead and ahead.match(text, end) else ids.get(w, ident))
             value = w in _BEFORE_VALUE and prev != "."
             prev = w
         elif kind == "op":

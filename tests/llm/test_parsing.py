@@ -55,6 +55,31 @@ def test_invalid(ext, text):
     assert parsing.rejected(ext, text)
 
 
+#: Files with one token lost or out of place, by the kind of place it stands in, and valid files with the same forms.
+LOST = {
+    "rs": ["fn f(x) {}", "fn f(a: u8, b) {}", "impl A { fn f(&self, x) {} }", "extern \"C\" { fn c(x); }", "fn f(a: u8, &self) {}", "fn f() { let y = mut x; }", "fn f() { g(raw x); }", "fn f() { let y = const x; }", "fn f() { a = raw const x; }", "fn f() { g(-mut x); }"],
+    "go": ["package a\nfunc f(a int, b) {}", "package a\nfunc f(a, b int, string) {}", "package a\nfunc f() (n int, error) { return }", "package a\nvar f func(a int, b.C)", "package a\nfunc f() { defer mu.Unlock }", "package a\nfunc f() { go func() {} }", "package a\nfunc f() { defer f() + 1 }", "package a\nfunc f() { go <-f() }"],
+    "ts": ["function (x) {}", "async function (x) {}", "function* () {}", "export function (x) {}", "class {}", "export class extends B {}", "abstract class {}", "@dec() class {}", "if (a) { function () {} }", "const {a};", "let [a];", "let\n[a];", "var x = 1, {a};", "for (let {a};;) {}", "export const [a, b];"],
+    "tsx": ["function (x) { return <b/>; }", "export class {}", "const {a};"],
+}
+KEPT = {
+    "rs": ["trait T { fn f(u8, &str) -> u8; fn g(&self, u8); fn h(self: Box<Self>, x: u8) {} }", "fn f() { let y = &mut x; let z = &raw const x; let w = &raw mut x.y; let raw = &raw; g(&&mut raw, -*&x, raw); }", "fn f() { let y = const { 1 + 2 }; h(const || 1); }", "impl A { fn f(&'a mut self, #[x] (a, b): (u8, u8), mut c: u8,) {} fn g(mut self: Pin<&mut Self>) {} }", "extern \"C\" { fn c(x: *const u8, ...); }", "type F = fn(u8, x: u8) -> u8;", "fn f() { union(raw, safe) }"],
+    "go": ["package a\nfunc f(int, ...string) (int, error)", "package a\nfunc f(a, b int, c ...pkg.T) (n int, err error) { return }", "package a\nfunc f(a, b) (c, d)", "package a\nfunc (T) f() {}\nfunc (t *T[K]) g() {}", "package a\nfunc f() { defer mu.Unlock(); go func(x int) {}(1); defer a[1].b(c...)(d); go T{}.f(); defer x.(T).f(); go f[int](1) }", "package a\ntype I interface { M(a []int, b map[string]int) (func(int, string) error) }"],
+    "ts": ["export default function (x) {}", "export default async function () {}", "export default class {}", "export default @dec class {}", "const f = function (x) {}, g = async function () {}, h = class {};", "(function () {})(); (async function () {})();", "@dec() class A {}", "@dec() abstract class A { async function() {} }", "const o = { async function() {}, async: 1, let: [1] };", "async function f() {}\nexport async function g() {}", "let { a } = b, [c] = d; const [e, { f }]: T = g;", "for (const { a } of b) {}\nfor (let [k, v] in m) {}\nfor (let [i, j] = [0, 1]; i < j; i++) {}", "declare const { a }: T;", "var async; async\nfunction f() {}", "o.let[0] = o?.let[1]; o.async\nfunction f() {}", "class A { x; let = [1]; async = 1 }", "try {} catch ({ a }) {}\nconst x: number = 1; let y!: T, z;"],
+    "tsx": ["export default function () { return <b />; }", "const { a } = p, f = async function () {};"],
+}
+
+
+@pytest.mark.parametrize(("ext", "text"), [(e, t) for e, ts in LOST.items() for t in ts])
+def test_lost_tokens(ext, text):
+    assert parsing.rejected(ext, text)
+
+
+@pytest.mark.parametrize(("ext", "text"), [(e, t) for e, ts in KEPT.items() for t in ts])
+def test_valid_beside_lost_tokens(ext, text):
+    assert not parsing.rejected(ext, text)
+
+
 def test_python_agrees_with_the_standard_parser():
     """Single-token deletions and repetitions of valid texts, judged as the standard parser judges them."""
     import ast
