@@ -33,6 +33,10 @@ from graphloom.runtime import spread
 FIT_DOCS = 2500
 FIT_CHARS = 20_000
 GRAMS = 2048
+#: Words of other kinds that the character model is fitted to: about so many of fewer than 4 letters, and so many longer ones.
+OTHER_WORDS = 2500
+#: Score of a known family name at least: above all thresholds that ask whether a word may be one.
+LISTED = 1.0
 #: Tokens of one chain at most; longer lines are cut at tokens that cannot be part of a piece.
 CHAIN = 48
 ROUNDS = 3
@@ -121,6 +125,7 @@ class Model:
     given: dict[str, float]  # case-folded word: log odds of being a given name beside a family name
     emit: np.ndarray  # features x labels
     move: np.ndarray  # labels x labels
+    listed: frozenset[str] = frozenset()  # case-folded known family names
     cache: dict[str, np.ndarray] = field(default_factory=dict)
     scores: dict[str, float] = field(default_factory=dict)
 
@@ -128,13 +133,16 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k not in ("cache", "scores")} | {"cache": {}, "scores": {}}
 
     def family(self, word: str) -> float:
-        """Log odds that the word looks like a family name."""
+        """Log odds that the word looks like a family name, at least LISTED for a known one."""
         s = self.scores.get(word)
         if s is None:
             if len(self.scores) > 300_000:
                 self.scores.clear()
-            ids = _gram_ids(word) if len(word) >= 4 else []
-            s = self.scores[word] = float(self.grams[ids].sum() / np.sqrt(len(ids)) + self.bias) if ids else -9.0
+            ids = _gram_ids(word)
+            s = float(self.grams[ids].sum() / np.sqrt(len(ids)) + self.bias)
+            if self.listed and _fold(word) in self.listed:
+                s = max(s, LISTED)
+            self.scores[word] = s
         return s
 
     def features(self, token: str) -> np.ndarray:
@@ -466,12 +474,11 @@ def _windows(tokens: Tokens, y: np.ndarray, model: Model, around: int = 4, most:
 def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
     """The model from sample texts and known parts of names."""
     fam, giv = sorted({_fold(w) for w in family if w}), {_fold(w) for w in given if w}
-    words = Counter(w for t in texts for w in _WORD.findall(t) if len(w) >= 4)
-    types = sorted({_fold(w) for w in words} - set(fam))[:60_000]
-    model = Model(np.zeros(GRAMS, np.float32), -9.0, {}, np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS))))
+    types = sorted({_fold(w) for t in texts for w in set(_WORD.findall(t))} - set(fam))[:60_000]
+    model = Model(np.zeros(GRAMS, np.float32), -9.0, {}, np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS))), frozenset(fam))
     if not fam:
         return _forms_only(model)
-    words_else = [w for w in types[:: max(1, len(types) // 2500)]]
+    words_else = [w for group in ([w for w in types if len(w) >= 4], [w for w in types if len(w) < 4]) for w in group[:: max(1, len(group) // OTHER_WORDS)]]
     # Words that look like names although no list has them are no examples of other words: each half of the words is
     # judged by a model that has not seen it.
     keep = []

@@ -216,6 +216,36 @@ def test_skip_link_carries_a_label():
     assert np.allclose(alone[1, :4], alone[1, 0]) and linked[1].argmax() == pii.N
 
 
+SHORT = ["Lee", "Kim", "Ng", "Wu", "Ito"]
+
+
+@pytest.fixture(scope="module")
+def short_model():
+    rng = np.random.default_rng(5)
+    plain = ["The ordering puts leaves first.", "Nobody could say who owns it at all.", "Run 2-1 kept 3 of 4 versions, see Unit 9.", "Ask for the key if you do not see it.", "The Layout Registry reads one snapshot per version."]
+    forms = ["Reviewed by {g} {f}.", "{f}, {g} wrote: fine.", "ask {g} {i}. {f} first", "{i}. {f} agreed"]
+    texts = [str(rng.choice(forms)).format(g=rng.choice(GIVEN), f=rng.choice([*FAMILY, *SHORT]), i=rng.choice(list("ABK"))) + "\n" + str(rng.choice(plain)) for _ in range(500)]
+    return pii.fit(texts, [*FAMILY, *SHORT], GIVEN)
+
+
+@pytest.mark.parametrize("family", SHORT)
+def test_short_family_names(short_model, family):
+    assert found(short_model, f"Reviewed by Petra {family} after.") == {("name", f"Petra {family}")}
+    assert found(short_model, f"{family}, Noor wrote") == {("name", f"{family}, Noor")}
+
+
+def test_short_words_are_no_names(short_model):
+    for text in ("The key is in the box.", "Ask for it at all.", "See Unit 9 of 4."):
+        assert found(short_model, text) == set()
+
+
+def test_listed_names_pass_the_gates():
+    """A known family name is never below the thresholds, whatever its letters look like."""
+    n = len(pii.LABELS)
+    m = pii.Model(np.zeros(pii.GRAMS, np.float32), -9.0, {}, np.zeros((len(pii.FEATURES), n)), np.zeros((n, n)), frozenset(["ng"]))
+    assert m.family("NG") > -3 > m.family("the") and len(pii.tokenise(["ask Ng", "ask the"], m).chains) == 1
+
+
 def test_pii_on_tables(spark):
     texts = [None, "", "  ", "Reviewed by Ilse Varnhold. Ilse Varnhold", "mail a@b.example", *["Petra Dallenko wrote"] * 30]
     df = docs(spark, texts)
