@@ -6,9 +6,9 @@ carried across the document. Messages pass along the chains exactly and along th
 propagation), for many lines at once in numpy. Pieces with a written form of their own (addresses of mail and street,
 phone and identity numbers) enter as single tokens with the form as a feature.
 
-The model is fitted on a bounded sample of documents (FIT_DOCS, by smallest hash) without given labels: a logistic model
-over character n-grams of the known family names tells which words look like family names, words that stand beside those
-become likely given names, and the field is fitted to the labels that both give.
+There are no given labels: a logistic model over character n-grams of the known family names tells which words look like
+family names, words that stand beside those become likely given names, counted over all documents, and the weights of the
+field are fitted to the labels that both give on a bounded sample of documents (FIT_DOCS, by smallest hash).
 
 Defined results: null, empty and blank texts have no pieces and stay as they are; each distinct (doc_id, type, text) comes
 once; whole texts are read, however long; empty name lists or tables give no names; extra columns are never read.
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import spread
+from graphloom.runtime import spread, write_table
 
-#: Documents the model is fitted on at most, and the longest of them in characters.
+#: Documents the weights of the field are fitted on at most, and the longest of them in characters.
 FIT_DOCS = 2500
 FIT_CHARS = 20_000
 GRAMS = 2048
-#: Words of other kinds that the character model is fitted to: about so many of fewer than 4 letters, and so many longer ones.
+#: Words of other kinds that the character model is fitted to: so many of the most frequent and so many by smallest hash, of fewer than
+#: 4 letters and of more each.
 OTHER_WORDS = 2500
 #: Score of a known family name at least: above all thresholds that ask whether a word may be one.
 LISTED = 1.0
@@ -118,11 +120,40 @@ def _gram_ids(word: str) -> list[int]:
 FEATURES = ["bias", "cap", "upper", "lower", "family+", "family-", "given+", "given-", "new cap", "letter", "small letter", "dot", "hyphen", "comma", "digit", "mark", "email", "phone", "id_number", "address"]
 
 
+def _key(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class Given:
+    """Log odds by word in 12 bytes a word: sorted 64-bit hashes and values, so that those of a large vocabulary can be broadcast."""
+
+    def __init__(self, keys: np.ndarray, odds: np.ndarray, listed: Iterable[str]) -> None:
+        order = np.argsort(keys)
+        self.keys, self.odds, self.listed = keys[order], odds[order].astype(np.float32), frozenset(listed)
+        self.cache: dict[str, float | None] = {}
+
+    def get(self, word: str, default: float | None = None) -> float | None:
+        if word not in self.cache:
+            if len(self.cache) > 300_000:
+                self.cache.clear()
+            self.cache[word] = self._look_up(word)
+        odds = self.cache[word]
+        return default if odds is None else odds
+
+    def _look_up(self, word: str) -> float | None:
+        key = _key(word)
+        at = int(np.searchsorted(self.keys, key))
+        odds = float(self.odds[at]) if at < len(self.keys) and self.keys[at] == key else None
+        if word in self.listed:
+            return max(3.0, odds or 0.0)
+        return odds
+
+
 @dataclass
 class Model:
     grams: np.ndarray
     bias: float
-    given: dict[str, float]  # case-folded word: log odds of being a given name beside a family name
+    given: dict[str, float] | Given  # case-folded word: log odds of being a given name beside a family name
     emit: np.ndarray  # features x labels
     move: np.ndarray  # labels x labels
     listed: frozenset[str] = frozenset()  # case-folded known family names
@@ -158,7 +189,7 @@ class Model:
             x[1], x[2], x[3] = token[0].isupper() and not upper, upper, token.islower()
             fam, giv = self.family(token), self.given.get(_fold(token))
             x[4], x[5] = min(max(fam, 0), 6) / 3, min(max(-fam, 0), 6) / 3
-            if giv is None:  # not in the sample: a capital leaves it open, a small word is taken for none
+            if giv is None:  # met once or twice and never beside one: a capital leaves it open, a small word is taken for none
                 x[8] = token[0].isupper() and len(token) > 1
                 x[7] = token[0].islower()
             else:
@@ -471,34 +502,34 @@ def _windows(tokens: Tokens, y: np.ndarray, model: Model, around: int = 4, most:
     return out
 
 
-def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
-    """The model from sample texts and known parts of names."""
-    fam, giv = sorted({_fold(w) for w in family if w}), {_fold(w) for w in given if w}
-    types = sorted({_fold(w) for t in texts for w in set(_WORD.findall(t))} - set(fam))[:60_000]
-    model = Model(np.zeros(GRAMS, np.float32), -9.0, {}, np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS))), frozenset(fam))
-    if not fam:
-        return _forms_only(model)
-    words_else = [w for group in ([w for w in types if len(w) >= 4], [w for w in types if len(w) < 4]) for w in group[:: max(1, len(group) // OTHER_WORDS)]]
-    # Words that look like names although no list has them are no examples of other words: each half of the words is
-    # judged by a model that has not seen it.
-    keep = []
-    for half in (0, 1):
-        model.grams, model.bias = _fit_grams(fam, words_else[1 - half :: 2])
-        model.scores.clear()
-        keep += [w for w in words_else[half::2] if model.family(w) < 0 or w in giv]
-    model.grams, model.bias = _fit_grams(fam, keep)
-    model.scores.clear()
-    # Given names: how often a word stands beside a word like a family name, against all its occurrences.
+def _beside(texts: Iterable[str | None], model: Model) -> tuple[Counter, Counter]:
+    """How often each case-folded word stands beside a word like a family name, and its occurrences, over the texts."""
     beside, total = Counter(), Counter()
+    like: dict[str, bool] = {}
     for t in texts:
+        if not t:
+            continue
+        words = Counter(_WORD.findall(t))
+        for w in words:
+            if w not in like:
+                like[w] = w[0].isalpha() and model.family(w) > 0
+        near = False
+        for w, n in words.items():
+            if like[w]:
+                near = True
+            elif len(w) > 1 and w[0].isalpha():
+                total[_fold(w)] += n
+        if not near:
+            continue
         for line in t.splitlines():
+            if not any(like[w] for w in _WORD.findall(line)):
+                continue
             toks = _TOKEN.findall(line)
-            isf = [w[0].isalpha() and model.family(w) > 0 for w in toks]
+            isf = [like.get(w, False) for w in toks]
             for i, w in enumerate(toks):
                 if not w[0].isalpha() or isf[i] or len(w) < 2:
                     continue
                 f = _fold(w)
-                total[f] += 1
                 after = toks[i + 1 : i + 4]
                 if len(after) == 3 and ((isf[i + 1] and after[1] == ",") or (len(after[0]) == 1 and after[1] == "." and isf[i + 3])):
                     total[f] -= 1  # the name may as well begin with the next token
@@ -506,10 +537,35 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
                     beside[f] += 1
                 elif i >= 2 and toks[i - 1] == "," and isf[i - 2] and w[0].isupper() == toks[i - 2][0].isupper():
                     beside[f] += 1
-    model.given = {w: float(np.log((beside[w] + 0.3) / (n - beside[w] + 1.0))) for w, n in total.items() if n >= 3 or (n and beside[w])}
-    model.given |= {w: max(3.0, model.given.get(w, 0.0)) for w in giv}
+    return beside, total
+
+
+def _other_words(types: list[str]) -> list[str]:
+    """Evenly from all of the sorted words, short and longer ones apart."""
+    return [w for group in ([w for w in types if len(w) >= 4], [w for w in types if len(w) < 4]) for w in group[:: max(1, len(group) // OTHER_WORDS)]]
+
+
+def _character_model(fam: list[str], giv: set[str], words_else: list[str], plain: frozenset[str] = frozenset()) -> Model:
+    """A model that knows words like family names only. plain: words that are none, whatever they look like."""
+    model = Model(np.zeros(GRAMS, np.float32), -9.0, {}, np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS))), frozenset(fam))
+    if not fam:
+        return model
+    # Words that look like names although no list has them are no examples of other words: each half of the words is
+    # judged by a model that has not seen it.
+    keep = []
+    for half in (0, 1):
+        model.grams, model.bias = _fit_grams(fam, words_else[1 - half :: 2])
+        model.scores.clear()
+        keep += [w for w in words_else[half::2] if model.family(w) < 0 or w in giv or w in plain]
+    model.grams, model.bias = _fit_grams(fam, keep)
+    model.scores.clear()
+    return model
+
+
+def _fit_weights(model: Model, texts: list[str]) -> Model:
+    """The weights of the field, from the labels that the other parts of the model give to the texts."""
     model.cache.clear()
-    tokens = tokenise(list(texts), model)
+    tokens = tokenise(texts, model)
     if not tokens.text:
         return _forms_only(model)
     y = _pseudo(tokens, model)
@@ -523,6 +579,18 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
     return model
 
 
+def fit(texts: list[str], family: list[str], given: list[str]) -> Model:
+    """The model from texts at hand and known parts of names."""
+    fam, giv = sorted({_fold(w) for w in family if w}), {_fold(w) for w in given if w}
+    model = _character_model(fam, giv, _other_words(sorted({_fold(w) for t in texts for w in set(_WORD.findall(t))} - set(fam))))
+    if not fam:
+        return _forms_only(model)
+    beside, total = _beside(texts, model)
+    model.given = {w: float(np.log((beside[w] + 0.3) / (n - beside[w] + 1.0))) for w, n in total.items() if n >= 3 or (n and beside[w])}
+    model.given |= {w: max(3.0, model.given.get(w, 0.0)) for w in giv}
+    return _fit_weights(model, list(texts))
+
+
 #: Log weight of a label that a token of a kind cannot have.
 _NEVER = -30.0
 
@@ -543,11 +611,53 @@ def _forms_only(model: Model) -> Model:
     return model
 
 
+def word_counts(documents: DataFrame, without: frozenset[str]) -> DataFrame:
+    """word (case-folded), n, small: in how many texts each word stands, and stands in small letters, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _blocks(whole):
+                n, small = Counter(), Counter()
+                for t in b.column("text").to_pylist():
+                    written = set(_WORD.findall(t or ""))
+                    n.update({_fold(w) for w in written} - without)
+                    small.update({_fold(w) for w in written if w.islower()})
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([c[w] for w in n], pa.int64()) for c in (n, small))], names=["word", "n", "small"])
+
+    return spread(documents.select("text")).mapInArrow(run, "word string, n long, small long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
+
+
+def given_counts(documents: DataFrame, model: Model) -> DataFrame:
+    """word (its 64-bit hash), beside, total over all texts, as _beside counts them."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _blocks(whole):
+                beside, total = _beside(b.column("text").to_pylist(), shared.value)
+                columns = [[_key(w) for w in total], [beside[w] for w in total], list(total.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "beside", "total"])
+
+    counts = spread(documents.select("text")).mapInArrow(run, "word long, beside long, total long")
+    return counts.groupBy("word").agg(F.sum("beside").alias("beside"), F.sum("total").alias("total"))
+
+
 def fitted(documents: DataFrame, known_names: DataFrame) -> Model:
-    sample = documents.filter(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    texts = sample.toArrow().column("text").to_pylist()
+    """Words and their neighbours are counted over all documents; only the weights are fitted on samples."""
     names = known_names.select(F.trim("name_part").alias("w"), F.lower(F.trim("part_type")).alias("t")).filter("w is not null").distinct().limit(200_000).collect()
-    return fit(texts, [r["w"] for r in names if r["t"] == "family"], [r["w"] for r in names if r["t"] == "given"])
+    fam, giv = sorted({_fold(r["w"]) for r in names if r["t"] == "family" and r["w"]}), {_fold(r["w"]) for r in names if r["t"] == "given" and r["w"]}
+    if not fam:
+        return _forms_only(_character_model(fam, giv, []))
+    words = write_table(word_counts(documents, frozenset(fam)), "words")
+    by_hash = [F.xxhash64("word"), F.col("word")]
+    parts = [words.filter(c).orderBy(*o).limit(OTHER_WORDS).select("word", (F.expr("n >= 20 and small >= 0.9 * n")).alias("plain")) for c in (F.length("word") >= 4, F.length("word") < 4) for o in ([F.desc("n"), *by_hash], by_hash)]
+    others = {r["word"]: r["plain"] for part in parts for r in part.collect()}
+    model = _character_model(fam, giv, sorted(others, key=lambda w: (len(w) < 4, w)), frozenset(w for w, plain in others.items() if plain))
+    counts = given_counts(documents, model).filter("total >= 3 or (total > 0 and beside > 0)")
+    odds = counts.select("word", F.log((F.col("beside") + 0.3) / (F.col("total") - F.col("beside") + 1.0)).cast("float").alias("odds")).toArrow()
+    model.given = Given(odds.column("word").to_numpy(), odds.column("odds").to_numpy(), giv)
+    sample = documents.filter(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    return _fit_weights(model, sample.toArrow().column("text").to_pylist())
 
 
 # --- on tables -----------------------------------------------------------------------------------------------------------

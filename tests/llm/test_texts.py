@@ -246,6 +246,20 @@ def test_listed_names_pass_the_gates():
     assert m.family("NG") > -3 > m.family("the") and len(pii.tokenise(["ask Ng", "ask the"], m).chains) == 1
 
 
+def test_words_are_counted_over_all_documents(spark, monkeypatch):
+    """Counts on tables equal those on the texts at hand, whatever the size of the sample and the length of the texts."""
+    monkeypatch.setattr(pii, "FIT_DOCS", 20)
+    texts = ["Reviewed by Ilse Varnhold. Run 2-1 kept 3."] * 30 + ["plain words " * 2000 + "and oskar Dallenko wrote"] * 3 + [None, ""]
+    names = spark.createDataFrame([(f, "family") for f in FAMILY] + [("Petra", "given")], "name_part string, part_type string")
+    model = pii.fitted(docs(spark, texts), names)
+    beside, total = pii._beside(texts, model)
+    assert beside["oskar"] == total["oskar"] == 3
+    for w, n in total.items():
+        want = np.log((beside[w] + 0.3) / (n - beside[w] + 1.0)) if n >= 3 or (n and beside[w]) else None
+        assert model.given.get(w) is None if want is None else np.isclose(model.given.get(w), want, atol=1e-5), w
+    assert model.given.get("petra") == 3.0 and model.given.get("nowhere", -1.0) == -1.0
+
+
 def test_pii_on_tables(spark):
     texts = [None, "", "  ", "Reviewed by Ilse Varnhold. Ilse Varnhold", "mail a@b.example", *["Petra Dallenko wrote"] * 30]
     df = docs(spark, texts)
