@@ -5,12 +5,17 @@ Iterative operators write each round to the shared folder, so plans stay short a
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import SNAP, of_kind
 from graphloom.runtime import write_table
 
+#: Rounds after which those so far are written as one table.
+FOLD = 32
+
 
 def parent_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """SNAP, node, parent for containment edges whose ends are nodes; distinct."""
@@ -40,14 +45,17 @@ def closure(links: DataFrame, a: str = "node", b: str = "parent", most: int | No
     return pairs.filter(F.col("dist") <= most) if most is not None else pairs
 
 
-def reachable(edges: DataFrame, starts: DataFrame, kind: str = "depends", reverse: bool = False, most: int = 1000) -> DataFrame:
-    """SNAP, start, node, dist of all nodes reached from the starts; a start itself only over a cycle. Semi-naive rounds."""
+def reachable(edges: DataFrame, starts: DataFrame, kind: str = "depends", reverse: bool = False, most: int | None = None) -> DataFrame:
+    """SNAP, start, node, dist of all nodes reached from the starts; a start itself only over a cycle. Semi-naive rounds.
+
+    ``most`` bounds the steps; without it the rounds end when no new node appears.
+    """
     a, b = ("target", "source") if reverse else ("source", "target")
     e = of_kind(edges, kind).filter(F.col("source").isNotNull() & F.col("target").isNotNull()).select(*SNAP, F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     e = write_table(e, "steps")
     front = starts.select(*SNAP, F.col("id").alias("start"), F.col("id").alias("node"))
     seen: DataFrame | None = None
-    for dist in range(1, most + 1):
+    for dist in itertools.count(1) if most is None else range(1, most + 1):
         new = front.join(e, [*SNAP, "node"]).select(*SNAP, "start", F.col("next").alias("node")).distinct()
         if seen is not None:
             new = new.join(seen.drop("dist"), [*SNAP, "start", "node"], "left_anti")
@@ -55,6 +63,8 @@ def reachable(edges: DataFrame, starts: DataFrame, kind: str = "depends", revers
         if new.isEmpty():
             return seen if seen is not None else new
         seen = new if seen is None else seen.unionByName(new)
+        if dist % FOLD == 0:  # else the plan grows with the rounds
+            seen = write_table(seen, "reached")
         front = new.drop("dist")
     return seen
 

@@ -165,3 +165,19 @@ def test_snapshot_view(layered):
     flat = v.graph()[0].withColumn("parent", F.when(F.col("id") != "h", F.lit(None)).otherwise(F.col("parent")))
     assert ("__root__", None) in {tuple(r) for r in with_single_root(flat).select("id", "parent").collect()}
     assert toggled({1}, 1) == set() and not filters_active({"k": {1}}, {"k": {1}}) and filters_active({}, {"k": {1}})
+
+
+def test_reachable_has_no_bound_of_its_own(spark):
+    """Every node of a chain is reached, over several tables of rounds, and a cycle at its end does not keep the rounds going."""
+    import inspect
+
+    assert inspect.signature(tv.reachable).parameters["most"].default is None
+    schema = "project_id string, version long, source string, target string, kind string"
+    e = spark.createDataFrame([("p", 1, f"n{i}", f"n{i + 1}", "depends") for i in range(8)] + [("p", 1, "n8", "n6", "depends")], schema)
+    start = spark.createDataFrame([("p", 1, "n0")], "project_id string, version long, id string")
+    fold, tv.FOLD = tv.FOLD, 3
+    try:
+        assert sorted((r["node"], r["dist"]) for r in tv.reachable(e, start).collect()) == [(f"n{i}", i) for i in range(1, 9)]
+        assert {r["dist"] for r in tv.reachable(e, start, most=5).collect()} == {1, 2, 3, 4, 5}
+    finally:
+        tv.FOLD = fold
