@@ -51,6 +51,8 @@ _SUFFIX = re.compile(r"(?:[._\-](?:generated|gen|g|autogen|pb|pb2|pb2_grpc|min|b
 _COMMENT = re.compile(r"^[ \t]*(?:///?!?|/\*+!?|\*+(?!/)|#(?!\[|!\[)+|--|;+|<!--|\"\"\"|''')[ \t]*", re.M)
 #: Share of a file's lines that must stand in one upstream file, and the fewest such lines.
 COPIED, COPIED_LINES = 0.7, 4
+#: Literals that make rows of them data where the rows are few.
+LITERALS = 64
 _SPACE = re.compile(r"\s+")
 _NAME_OR_NUMBER = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`')
@@ -131,12 +133,12 @@ def by_measure(text: str) -> str | None:
             return "data"
     if sum(len(m[0]) for x in code for m in _ENCODED.finditer(x)) > 0.5 * size:
         return "data"
+    literal = [(n, len(x)) for x in code if (n := _literals(x))]
+    if sum(k for _, k in literal) > 0.8 * size and (len(literal) >= 8 or sum(n for n, _ in literal) >= LITERALS):
+        return "data"
     long = [x for x in code if len(x) > 400]
     if sum(map(len, long)) > 0.6 * size and _squeezed(long):
         return "minified"
-    literal = [x for x in code if _is_literal_line(x)]
-    if len(literal) >= 8 and sum(map(len, literal)) > 0.8 * size:
-        return "data"
     # Generated: nearly every line takes one of few shapes, and names count up through the file.
     if len(code) >= 16:
         shapes = Counter(_NAME_OR_NUMBER.sub("w", _LITERAL.sub("s", x)).strip() for x in code)
@@ -153,11 +155,21 @@ def _squeezed(lines: list[str]) -> bool:
     return bool(outside) and sum(c.isspace() for c in outside) < 0.12 * len(outside) and len(_NAME_OR_NUMBER.findall(outside)) > 20
 
 
-_LITERAL_LINE = re.compile(r"""^\s*[\[\]{}()]*\s*(?:(?:-?(?:0x[\da-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)[a-z\d]*|s)\s*[,:;\])}\s]*)+$""")
+#: Nothing is given back once taken, so a line of any length is read once.
+_OPEN = re.compile(r"\s*+[\[\]{}()]*+\s*+")
+_ITEM = re.compile(r"(?:-?(?:0x[\da-fA-F]++|\d[\d_.]*+(?:[eE][+-]?\d++)?+)[a-z\d]*+|s)[,:;\])}\s]*+")
 
 
-def _is_literal_line(line: str) -> bool:
-    return len(line) < 100_000 and bool(_LITERAL_LINE.match(_LITERAL.sub("s", line)))
+def _literals(line: str) -> int:
+    """How many literals the line holds if it holds nothing else but separators; else 0."""
+    bare = _LITERAL.sub("s", line)
+    at, n = _OPEN.match(bare).end(), 0
+    while at < len(bare):
+        m = _ITEM.match(bare, at)
+        if m is None:
+            return 0
+        at, n = m.end(), n + 1
+    return n
 
 
 def _normal(line: str) -> str:

@@ -131,6 +131,19 @@ def test_kinds_of_files(kind, path, text):
     assert generated.classify(path, text, {}) == kind
 
 
+@pytest.mark.parametrize(("rows", "width"), [(8, 4), (8, 110_000), (1, 2000), (3, 110_000), (1, 400_000)])
+@pytest.mark.parametrize("number", ["12, ", "0x1f,", "-1.5e3, ", '"a b", '])
+def test_rows_of_literals_of_any_length(rows, width, number):
+    text = "export const x = [\n" + (number * (width // len(number) + (16 if rows >= 8 else 0)) + "\n") * rows + "];\n"
+    assert generated.classify("a.ts", text, {}) == "data"
+
+
+def test_long_lines_that_are_no_literals():
+    for line in ("12, " * 60_000 + "f(x)", "1 " * 60_000 + "+", "s" * 200_000 + "!"):
+        assert generated._literals(line) == 0
+    assert generated.classify("a.py", "x = 1\n" + "1, 2, 3,\n" * 2 + "f(x)\n", {}) is None
+
+
 def test_copies_without_notice(spark):
     rng = np.random.default_rng(4)
     lines = [f"{w} = {rng.choice(['fold', 'call', 'sum'])}({w}, [{'x' * int(rng.integers(3, 40))}]);" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa")]
