@@ -200,33 +200,94 @@ def test_pieces_are_kept_exactly_and_apart(model):
 
 
 def test_messages_against_enumeration():
-    """Marginals of a chain with a skip link against all labellings; without the link they are exact."""
+    """Marginals of a chain with spaces at some places against all labellings; without links they are exact."""
     import itertools
 
     rng = np.random.default_rng(3)
-    t, k = 5, len(pii.LABELS)
-    unary, move = rng.normal(size=(t, k)), rng.normal(size=(k, k))
+    t, k = 5, pii.K
+    unary, move = rng.normal(size=(t, k)), rng.normal(size=(2, k, k))
     unary[:, 4:] = -50  # four labels are enough
+    gap = np.array([True, False, True, True, False])
     want = np.zeros((t, k))
     for ls in itertools.product(range(4), repeat=t):
-        w = np.exp(sum(unary[i, v] for i, v in enumerate(ls)) + sum(move[a, b] for a, b in zip(ls, ls[1:])))
+        w = np.exp(sum(unary[i, v] for i, v in enumerate(ls)) + sum(move[int(gap[i + 1]), a, b] for i, (a, b) in enumerate(zip(ls, ls[1:]))))
         for i, v in enumerate(ls):
             want[i, v] += w
-    b = pii.beliefs(unary, [list(range(t))], np.zeros((0, 2), int), move)
+    b = pii.beliefs(unary, gap, np.array([[0, t]]), np.zeros((0, 2), int), move, np.zeros(k))
     p = np.exp(b - b.max(axis=1, keepdims=True))
     assert np.allclose(p / p.sum(axis=1, keepdims=True), want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
-def test_skip_link_carries_a_label():
-    """A token without evidence takes the label of its repetition."""
-    k = len(pii.LABELS)
-    unary = np.zeros((2, k))
+def test_skip_links_carry_a_label_any_number_of_hops():
+    """Tokens without evidence take the label of their repetition, also over other such tokens; without the potential none does."""
+    k, n = pii.K, 8
+    unary = np.zeros((n, k))
     unary[:, 4:] = -50
-    unary[0, pii.N] = 4
-    move = np.zeros((k, k))
-    alone = pii.beliefs(unary, [[0], [1]], np.zeros((0, 2), int), move)
-    linked = pii.beliefs(unary, [[0], [1]], np.array([[0, 1]]), move)
-    assert np.allclose(alone[1, :4], alone[1, 0]) and linked[1].argmax() == pii.N
+    unary[0, pii.N] = 6
+    gap, chains, links = np.ones(n, bool), np.array([[i, i + 1] for i in range(n)]), np.array([[i, i + 1] for i in range(n - 1)])
+    skip = np.zeros(k)
+    alone = pii.beliefs(unary, gap, chains, links, np.zeros((2, k, k)), skip)
+    skip[pii.N] = 3
+    linked = pii.beliefs(unary, gap, chains, links, np.zeros((2, k, k)), skip)
+    assert np.allclose(alone[1:, :4], alone[1:, :1]) and (linked.argmax(axis=1) == pii.N).all()
+
+
+def test_skip_potentials_are_fitted():
+    """Twins that share labels raise the potential, twins that do not lower it."""
+    k = pii.K
+    unary = np.zeros((400, k), np.float32)
+    unary[:, 4:] = -50
+    links = np.arange(400).reshape(-1, 2)
+    f = pii.Field(np.arange(400), unary, np.ones(400, bool), np.array([[i, i + 1] for i in range(400)]), links)
+    got = []
+    for y in (np.repeat([pii.N, pii.O], 200), np.tile([pii.N, pii.O], 200)):
+        m = pii.Model(np.zeros(pii.GRAMS, np.float32), 0.0, pii.Names.of([], []), pii.Words.none())
+        pii._fit_skip(m, f, y)
+        got.append(m.skip[pii.N])
+    assert got[0] > 0.5 > 0 >= got[1]
+
+
+def test_skip_links_raise_recall(model):
+    """A family name that only a clear mention shows to be one; the other mention is found over the link."""
+    text = "Reviewed by Petra Raghunathan after.\n" + "The ordering puts leaves first.\n" * 5 + "so raghunathan, petra\n"
+    model.model.skip[pii.N] += 6
+    try:
+        on, off = ({text[a:b] for a, b, _ in pii.pieces([text], model, skip)[0]} for skip in (True, False))
+    finally:
+        model.model.skip[pii.N] -= 6
+    assert "Petra Raghunathan" in off and off < on and on - off == {"raghunathan, petra"}
+
+
+def test_similar_forms_are_linked(model):
+    tokens = pii.tokenise(["Núñezz wrote. The nunez's plan, NUNEZ"], model)
+    f = pii.evidence(tokens, model, whole=True)
+    assert len({model[w] for w in (" NUNEZ", " nunez's")}) == 2 and len(f.links) == 2
+
+
+def test_words_that_can_only_be_plain_change_nothing(model):
+    """The field over all tokens gives the tokens that are kept the same labels and beliefs."""
+    texts = ["Reviewed by Petra Dallenko after. The ordering puts leaves first, mail a.b+c@mail.example. See it at once " * 3, "call (627) 555-0189 and go to 160B Lower Quillmarket\nthe end of it"]
+    model.model.words.plain[[pii.bucket(w) for w in ("the", "ordering", "puts", "leaves", "first", "see", "it", "once", "end", "of")]] = True
+    v = pii.Vocabulary(model.model)
+    tokens = pii.tokenise(texts, v)
+    part, whole = pii.evidence(tokens, v), pii.evidence(tokens, v, whole=True)
+    assert len(part.at) < len(whole.at)
+    a, b = (pii.beliefs(f.unary, f.gap, f.chains, f.links, model.model.move + pii._FOLLOWS, model.model.skip) for f in (part, whole))
+    a, b = (np.exp(x - x.max(axis=1, keepdims=True)) for x in (a, b[np.searchsorted(whole.at, part.at)]))
+    assert np.allclose(a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_pieces_come_through_the_field():
+    """A model whose field knows nothing finds nothing, whatever the written forms."""
+    m = pii.Model(np.zeros(pii.GRAMS, np.float32), -9.0, pii.Names.of(["kim"], ["petra"]), pii.Words.none())
+    m.own[0, pii.O] = 5
+    text = "mail a@b.example, call (627) 555-0189"
+    assert len(pii.forms(text)) == 2 and pii.pieces([text], pii.Vocabulary(m)) == [[]]
+
+
+def test_long_spelled_out_mail(model):
+    host = "a-very-long-name-of-a-host-with-many-words-in-it-and-more-of-them-still"
+    assert found(model, f"write to ops at {host} dot example today") == {("email", f"ops at {host} dot example")}
 
 
 SHORT = ["Lee", "Kim", "Ng", "Wu", "Ito"]
@@ -252,25 +313,29 @@ def test_short_words_are_no_names(short_model):
         assert found(short_model, text) == set()
 
 
-def test_listed_names_pass_the_gates():
-    """A known family name is never below the thresholds, whatever its letters look like."""
-    n = len(pii.LABELS)
-    m = pii.Model(np.zeros(pii.GRAMS, np.float32), -9.0, {}, np.zeros((len(pii.FEATURES), n)), np.zeros((n, n)), frozenset(["ng"]))
-    assert m.family("NG") > -3 > m.family("the") and len(pii.tokenise(["ask Ng", "ask the"], m).chains) == 1
+@pytest.mark.parametrize("family", ["Gonzalez", "Raghunathan", "Smith"])
+def test_unseen_names_beside_known_given_names(model, family):
+    assert found(model, f"Reviewed by Petra {family} after.") == {("name", f"Petra {family}")}
+
+
+def test_listed_names_look_like_names():
+    """A known family name never scores below LISTED, whatever its letters look like."""
+    m = pii.Model(np.zeros(pii.GRAMS, np.float32), -9.0, pii.Names.of(["ng"], []), pii.Words.none())
+    assert m.family("NG") == pii.LISTED > -3 > m.family("the")
 
 
 def test_words_are_counted_over_all_documents(spark, monkeypatch):
     """Counts on tables equal those on the texts at hand, whatever the size of the sample and the length of the texts."""
     monkeypatch.setattr(pii, "FIT_DOCS", 20)
-    texts = ["Reviewed by Ilse Varnhold. Run 2-1 kept 3."] * 30 + ["plain words " * 2000 + "and oskar Dallenko wrote"] * 3 + [None, ""]
+    texts = ["Reviewed by Ilse Varnhold. Run 2-1 kept 3. The Layout Registry reads one snapshot per version, puts leaves first and asks nobody who owns it at all."] * 30 + ["plain words " * 2000 + "and oskar Dallenko wrote"] * 3 + [None, ""]
     names = spark.createDataFrame([(f, "family") for f in FAMILY] + [("Petra", "given")], "name_part string, part_type string")
     model = pii.fitted(docs(spark, texts), names)
-    beside, total = pii._beside(texts, model)
+    beside, total = pii._beside(texts, {}, model)
     assert beside["oskar"] == total["oskar"] == 3
     for w, n in total.items():
         want = np.log((beside[w] + 0.3) / (n - beside[w] + 1.0)) if n >= 3 or (n and beside[w]) else None
-        assert model.given.get(w) is None if want is None else np.isclose(model.given.get(w), want, atol=1e-5), w
-    assert model.given.get("petra") == 3.0 and model.given.get("nowhere", -1.0) == -1.0
+        assert model.given(w) is None if want is None else np.isclose(model.given(w), want, atol=1e-5), w
+    assert model.given("petra") == 3.0 and model.given("nowhere") is None and model.words.plain[pii.bucket("plain")] == False  # noqa: E712
 
 
 def test_pii_on_tables(spark):
