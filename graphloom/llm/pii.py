@@ -102,9 +102,9 @@ _ADDRESS = regex.compile(
 )
 _TOKEN = regex.compile(r" ?[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*| ?\d+|[\r\n\v\f\x1c-\x1e\x85  ]+|[^\S\r\n\v\f\x1c-\x1e\x85  ]{2,}| ?[^\w\s]| ?_|.", regex.S)
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-_PLAIN_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\d+|[^\w\s]|_")
 #: The same over texts of ASCII only, for which the standard library is faster.
 _ASCII_TOKEN = re.compile(r" ?[A-Za-z]+(?:'[A-Za-z]+)*| ?[0-9]+|[\r\n\v\f\x1c-\x1e]+|[ \t]{2,}| ?[^\w\s]| ?_|.", re.S | re.A)
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _BREAKS = set("\r\n\v\f\x1c\x1d\x1e\x85  ")
 
 
@@ -413,6 +413,7 @@ def _allowed() -> np.ndarray:
 
 
 ALLOWED = _allowed()
+_LETTERS = ALLOWED[:, G] == 0
 #: Further tokens only follow those of their own type.
 _FOLLOWS = np.zeros((K, K), np.float32)
 for _first in FORMS.values():
@@ -890,50 +891,39 @@ def examples(each: int = 12) -> list[str]:
     return [re.sub(r"%(\d+|[wWUn])", fill, str(f).format(p)) for patterns in _SHOWN.values() for p in patterns for f in rng.choice(_FRAMES, each)]
 
 
-def _beside(texts: Iterable[str | None], family: dict[str, bool], model: Model) -> tuple[Counter, Counter]:
-    """How often each case-folded word stands beside a word like a family name, and its occurrences, over the texts.
+def _beside(texts: list[str | None], vocabulary: Vocabulary) -> tuple[Counter, Counter]:
+    """How often each case-folded word stands beside a word like a family name, and its occurrences, over the texts."""
+    tokens = tokenise(texts, vocabulary)
+    if not len(tokens.ids):
+        return Counter(), Counter()
+    length, lead, _, klass, *_, x = vocabulary.arrays()
+    long, fam = (length - lead)[tokens.ids] > 1, (x[:, 4] > 0)[tokens.ids]
+    word = (x[:, 1:4].any(axis=1) | _LETTERS[klass])[tokens.ids] & long & ~fam
+    upper = (x[:, 1:3].any(axis=1))[tokens.ids]
+    comma, dot = klass[tokens.ids] == _CLASS[","], klass[tokens.ids] == _CLASS["."]
+    n = len(tokens.ids)
 
-    family: what is known of words so far, filled as words are met.
-    """
-    beside, total = Counter(), Counter()
-    for t in texts:
-        if not t:
-            continue
-        words = Counter(_WORD.findall(t))
-        for w in words:
-            if w not in family:
-                family[w] = w[0].isalpha() and model.family(w) > 0
-        near = False
-        for w, n in words.items():
-            if family[w]:
-                near = True
-            elif len(w) > 1 and w[0].isalpha():
-                total[w] += n
-        if not near:
-            continue
-        for line in t.splitlines():
-            if not any(family[w] for w in _WORD.findall(line)):
-                continue
-            toks = _PLAIN_TOKEN.findall(line)
-            isf = [family.get(w, False) for w in toks]
-            for i, w in enumerate(toks):
-                if isf[i] or len(w) < 2 or not w[0].isalpha():
-                    continue
-                after = toks[i + 1 : i + 4]
-                if len(after) == 3 and ((isf[i + 1] and after[1] == ",") or (len(after[0]) == 1 and after[1] == "." and isf[i + 3])):
-                    total[w] -= 1  # the name may as well begin with the next token
-                elif after and isf[i + 1]:
-                    beside[w] += 1
-                elif i >= 2 and toks[i - 1] == "," and isf[i - 2] and w[0].isupper() == toks[i - 2][0].isupper():
-                    beside[w] += 1
-    return _folded(beside), _folded(total)
-
-
-def _folded(counts: Counter) -> Counter:
-    out = Counter()
-    for w, n in counts.items():
-        out[_fold(w)] += n
-    return out
+    def at(flags: np.ndarray, o: int) -> np.ndarray:
+        """The flag of the token ``o`` further in the same line."""
+        out = np.zeros(n, bool)
+        if o > 0:
+            out[:-o] = flags[o:] & (tokens.line[o:] == tokens.line[:-o])
+        else:
+            out[-o:] = flags[:o] & (tokens.line[:o] == tokens.line[-o:])
+        return out
+
+    three = at(np.ones(n, bool), 3)
+    # The name may as well begin with the next token: such words count neither way.
+    open_ = word & three & ((at(fam, 1) & at(comma, 2)) | (at(~long, 1) & at(dot, 2) & at(fam, 3)))
+    beside = word & ~open_ & (at(fam, 1) | (at(comma, -1) & at(fam, -2) & np.where(upper, at(upper, -2), at(~upper, -2))))
+    size = len(vocabulary)
+    near, total = (np.bincount(tokens.ids[f], minlength=size) for f in (beside, word & ~open_))
+    counts = Counter(), Counter()
+    for t, i in vocabulary.items():
+        for c, k in zip(counts, (near[i], total[i]), strict=True):
+            if k:
+                c[_fold(t.lstrip(" "))] += int(k)
+    return counts
 
 
 def _other_words(types: list[str]) -> list[str]:
@@ -956,13 +946,19 @@ def _character_model(names: Names, fam: list[str], words_else: list[str], plain:
     return model
 
 
+class _Folds(dict):
+    def __missing__(self, word: str) -> str:
+        self[word] = f = _fold(word)
+        return f
+
+
 def _counted(texts: Iterable[str | None]) -> tuple[Counter, Counter]:
     """In how many texts each case-folded word stands, and stands in small letters."""
-    n, small = Counter(), Counter()
+    n, small, folds = Counter(), Counter(), _Folds()
     for t in texts:
-        written = set(_WORD.findall(t)) if t else ()
-        n.update({_fold(w) for w in written})
-        small.update({_fold(w) for w in written if w.islower()})
+        written = set((_ASCII_WORD if t.isascii() else _WORD).findall(t)) if t else ()
+        n.update({folds[w] for w in written})
+        small.update({folds[w] for w in written if w.islower()})
     return n, small
 
 
@@ -971,7 +967,7 @@ def fit(texts: list[str], family: list[str], given: list[str]) -> Vocabulary:
     fam, giv = sorted({_fold(w) for w in family if w}), {_fold(w) for w in given if w}
     n, small = _counted(texts)
     model = _character_model(Names.of(fam, giv), fam, _other_words(sorted(set(n) - set(fam))))
-    beside, total = _beside(texts, {}, model)
+    beside, total = _beside(texts, Vocabulary(model))
     words = sorted(n.keys() | total.keys())
     sums = np.zeros((4, BUCKETS))
     at = np.array([bucket(w) for w in words], np.int64)
@@ -1000,11 +996,14 @@ def given_counts(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family: dict[str, bool] = {}
-        for b in batches:
-            if len(family) > _KEPT:
-                family.clear()
-            beside, total = _beside(b.column("text").to_pylist(), family, shared.value)
+        vocabulary = Vocabulary(shared.value)
+        for whole in batches:
+            beside, total = Counter(), Counter()
+            for b in _blocks(whole):
+                if len(vocabulary) > _KEPT:
+                    vocabulary = Vocabulary(shared.value)
+                for c, more in zip((beside, total), _beside(b.column("text").to_pylist(), vocabulary), strict=True):
+                    c.update(more)
             columns = [[bucket(w) for w in total], [beside[w] for w in total], list(total.values())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "beside", "total"])
 

@@ -22,6 +22,10 @@ def p5_kinds(s, d):
     return generated.classified(table(s, d, "source_files"), table(s, d, "upstream_files")).filter("kind is not null")
 
 
+def p5_rules(s, d):
+    return generated.rule_counts(table(s, d, "source_files"), table(s, d, "upstream_files"))
+
+
 def p5_hand_written(s, d):
     return generated.hand_written(table(s, d, "source_files"), table(s, d, "upstream_files"), table(s, d, "units"))
 
@@ -35,7 +39,7 @@ def p8_mix(s, d):
 
 
 def p8_shares(s, d):
-    return mixing.shares(mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets"))
+    return mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets"))
 
 
 def p9_found(s, d):
@@ -46,5 +50,5 @@ def p9_masked(s, d):
     return pii.masked(table(s, d, "documents"), table(s, d, "known_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_kinds, p5_hand_written, p7_ids, p8_mix, p8_shares, p9_found, p9_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_kinds, p5_rules, p5_hand_written, p7_ids, p8_mix, p8_shares, p9_found, p9_masked)}
 ORACLES: dict[str, str] = {}

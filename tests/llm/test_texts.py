@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import bpe, generated, mixing, pii
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int, ids string, repeats string, n_tokens string"
@@ -85,31 +87,72 @@ def test_mix_reaches_the_targets(spark):
             sources.append({"a": "a", "b": " B ", "c": "c"}[s])
     df = docs(spark, [*texts, "", None, "lost", "other"], [*sources, "a", "a", None, "unknown"])
     t = targets(spark, [("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.1, 4), ("d-e", 0.1, 2)])
-    mix = mixing.mixed(df, t)
-    got = mix.collect()
+    got = mixing.mixed(df, t).collect()
     assert len({r["doc_id"] for r in got}) == len(got)
     most = {"a": 1, "b": 3, "c": 4}
     assert all(1 <= r["repeats"] <= most[r["source"]] for r in got)
-    share = {r["source"]: r["actual_share"] for r in mixing.shares(mix, t).collect()}
-    assert share["d_e"] == 0 and abs(sum(share.values()) - 1) < 1e-9
+    rows = mixing.shares(df, t).collect()
+    share = {r["source"]: r["actual_share"] for r in rows}
+    assert share["d_e"] == 0 and abs(sum(share.values()) - 1) < 1e-9 and rows[0]["fit_miss"] < 1e-3
     for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.1)):
         assert abs(share[s] - w / 0.9) < 0.01, share
 
 
+def _mixed_sources(spark, seed=2):
+    """Three sources whose texts overlap, so that posteriors are soft."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(60)]
+    texts, sources = [], []
+    for k, n in enumerate((500, 150, 60)):
+        p = np.ones(60)
+        p[k * 20 : k * 20 + 20] = 2.5
+        for _ in range(n):
+            texts.append(" ".join(rng.choice(words, rng.integers(10, 40), p=p / p.sum())))
+            sources.append("abc"[k])
+    return docs(spark, texts, sources), targets(spark, [("a", 0.4, 1), ("b", 0.35, 3), ("c", 0.25, 4)])
+
+
+def test_expected_totals_meet_the_targets(spark):
+    """The fit ends with the totals by label and those under soft posteriors at their targets, and the copies keep them."""
+    df, t = _mixed_sources(spark)
+    rated, names, totals, _, miss = mixing.rated_table(df, t)
+    rows = rated.collect()
+    whole = sum(totals.values())
+    assert miss <= mixing.TOLERANCE and sum(max(r["posterior"]) < 0.999 for r in rows) > 10
+    for i, n in enumerate(names):
+        assert abs(sum(r["rate"] * r["n_tokens"] for r in rows if r["source"] == n) - totals[n]) < 1e-3 * whole
+        assert abs(sum(r["rate"] * r["n_tokens"] * r["posterior"][i] for r in rows) - totals[n]) < 1e-3 * whole
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 and abs(r["expected_share"] - r["target_share"]) < 1e-3 for r in mixing.shares(df, t).collect())
+
+
+def test_rates_decide_the_copies(spark, monkeypatch):
+    """Constant rates in place of the fitted ones miss the targets: rounding does not mend them."""
+    df, t = _mixed_sources(spark)
+    fitted = mixing.fitted_rates
+
+    def constant(table, names, totals):
+        rated, miss = fitted(table, names, totals)
+        return rated.withColumn("rate", F.lit(0.7)), miss
+
+    monkeypatch.setattr(mixing, "fitted_rates", constant)
+    assert max(abs(r["actual_share"] - r["target_share"]) for r in mixing.shares(df, t).collect()) > 0.05
+
+
 def test_mix_of_a_given_size_and_of_nothing(spark):
     df = docs(spark, ["word " * 10] * 100 + ["other " * 10] * 100, ["a"] * 100 + ["b"] * 100)
     t = targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])
     total = sum(r["n_tokens"] * r["repeats"] for r in mixing.mixed(df, t, total_tokens=600).collect())
     assert abs(total - 600) <= 2 * 12
     assert mixing.mixed(df.limit(0), t).count() == 0
-    assert {r["actual_share"] for r in mixing.shares(mixing.mixed(df.limit(0), t), t).collect()} == {0.0}
+    assert {r["actual_share"] for r in mixing.shares(df.limit(0), t).collect()} == {0.0}
 
 
 def test_classifier_on_held_out_rows():
     rng = np.random.default_rng(1)
     vocabulary = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
     text = [(" ".join(rng.choice(vocabulary[k], 12)), k) for k in rng.integers(0, 3, 600)]
-    x, y = np.array([mixing.features(t) for t, _ in text]), np.array([k for _, k in text])
+    x, y = mixing.features([t for t, _ in text]), np.array([k for _, k in text])
+    assert np.allclose(mixing.features([text[7][0]])[0], x[7]) and not mixing.features([""]).any()
     w = mixing.fit_softmax(x[:400], y[:400], 3)
     z = np.hstack([x[400:], np.ones((200, 1), np.float32)]) @ w
     assert (z.argmax(axis=1) == y[400:]).mean() > 0.95
@@ -117,6 +160,29 @@ def test_classifier_on_held_out_rows():
 
 # --- generated files
 
+
+def test_copies_by_join_equal_copies_by_index(spark):
+    """Files of random lines, some in many upstream files, against the index that small upstream tables get."""
+    rng = np.random.default_rng(8)
+    common, rare = [f"return common_{i}_value();" for i in range(4)], [f"call_of_rare_{i}(argument);" for i in range(40)]
+    some = lambda n: [str(x) for x in rng.choice([*common * 5, *rare], n)]
+    ups = [some(10) for _ in range(25)]
+    files = [some(int(rng.integers(0, 9))) for _ in range(40)] + [u[: int(rng.integers(5, 11))] + some(int(rng.integers(0, 5))) for u in ups]
+    index = generated.upstream_index(["\n".join(u) for u in ups])
+    want = {i for i, f in enumerate(files) if generated.copied("\n".join(f), index)}
+    up = spark.createDataFrame([("\n".join(u),) for u in ups] + [(None,)], "content string")
+    own = spark.createDataFrame([(i, "\n".join(f)) for i, f in enumerate(files)] + [(999, None)], "file_id long, content string")
+    assert {r[0] for r in generated.copies(own, up).collect()} == want and 5 < len(want) < len(files)
+
+
+def test_short_minified_files_and_long_headers():
+    assert generated.classify("a.ts", "function a(b,c){var d=b|0;return d>1?c:d<<1}function e(f,g){var h=f|0;return h>2?g:h<<1}var i=a(e(1,2),3);", {}) == ("minified", "measure")
+    assert generated.classify("a.ts", "\ufeff// Copied from oxring 3.1\nlet x = 1;\n", {}) == ("third_party", "notice")
+    assert generated.classify("a.ts", "\ufeff// See https://docs.example/" + "a/" * 200 + "\nlet x = 1;\n", {}) is None
+    header = "".join(f"// line {i} of a long licence\n" for i in range(60))
+    assert generated.notice(header + "// by mapc (machine generated)\nlet x = 1;\n") == "generated"
+    assert generated.notice("let x = 1;\n// says (machine generated)\nlet y = 1;\n") is None
+
 FILES = {
     "third_party": [("src/vendor/lib/a.go", "package a"), ("x/node_modules/y/i.ts", ""), ("libs/deps/oxring/a.py", "x = 1"), ("a.rs", "// Copied from oxring 3.1, local changes: none.\nfn f() {}"), ("a.ts", "// glyphkit v5.1.2 | (c) 2019 the glyphkit authors | MIT\nlet x = 1;")],
     "generated": [("src/gen/a.rs", None), ("a_pb.go", "package a"), ("a.g.ts", ""), ("target/build/x.rs", ""), ("a.py", "# Copyright 2024 us.\n# Code generated by mapc v1.2. DO NOT EDIT.\nx = 1"), ("a.ts", "/*\n * @generated by gridl\n */\nlet x = 1;"), ("a.rs", "fn a() {}\n" * 30 + "\n// This file was produced automatically from x.schema; changes will be lost.\n"), ("a.go", "package a\n" + "".join(f"const A_{i} uint32 = 0x{4096 + 7 * i:x}\n" for i in range(60)))],
@@ -128,14 +194,15 @@ FILES = {
 
 @pytest.mark.parametrize(("kind", "path", "text"), [(k, *x) for k, xs in FILES.items() for x in xs])
 def test_kinds_of_files(kind, path, text):
-    assert generated.classify(path, text, {}) == kind
+    got = generated.classify(path, text, {})
+    assert (got and got[0]) == kind
 
 
 @pytest.mark.parametrize(("rows", "width"), [(8, 4), (8, 110_000), (1, 2000), (3, 110_000), (1, 400_000)])
 @pytest.mark.parametrize("number", ["12, ", "0x1f,", "-1.5e3, ", '"a b", '])
 def test_rows_of_literals_of_any_length(rows, width, number):
     text = "export const x = [\n" + (number * (width // len(number) + (16 if rows >= 8 else 0)) + "\n") * rows + "];\n"
-    assert generated.classify("a.ts", text, {}) == "data"
+    assert generated.classify("a.ts", text, {}) == ("data", "measure")
 
 
 def test_long_lines_that_are_no_literals():
@@ -153,6 +220,7 @@ def test_copies_without_notice(spark):
     schema = "file_id long, project_id string, path string, content string, loaded_at timestamp, kind string"
     f = spark.createDataFrame([(1, "p", "a.rs", "\n".join(changed), datetime(2024, 1, 1), "x"), (2, "p", "b.rs", "\n".join(other), datetime(2024, 1, 1), "x"), (2, "p", "b.rs", "\n".join(other), datetime(2024, 1, 1), "x"), (3, "p", "c.rs", None, None, None)], schema)
     assert [r[0] for r in generated.not_by_hand(f, up).collect()] == [1]
+    assert [tuple(r)[:1] + (r["rule"],) for r in generated.classified(f, up, shared_bytes=0).filter("kind is not null").collect()] == [(1, "copy")]
     assert generated.not_by_hand(f.limit(0), up).count() == 0 and generated.not_by_hand(f, up.limit(0)).count() == 0
     u = spark.createDataFrame([("p", ["a.rs", "b.rs", "b.rs", "c.rs"])], "project_id string, source_files array<string>")
     assert {r["file_id"] for r in generated.hand_written(f, up, u).collect()} == {2, 3}
@@ -330,7 +398,7 @@ def test_words_are_counted_over_all_documents(spark, monkeypatch):
     texts = ["Reviewed by Ilse Varnhold. Run 2-1 kept 3. The Layout Registry reads one snapshot per version, puts leaves first and asks nobody who owns it at all."] * 30 + ["plain words " * 2000 + "and oskar Dallenko wrote"] * 3 + [None, ""]
     names = spark.createDataFrame([(f, "family") for f in FAMILY] + [("Petra", "given")], "name_part string, part_type string")
     model = pii.fitted(docs(spark, texts), names)
-    beside, total = pii._beside(texts, {}, model)
+    beside, total = pii._beside(texts, pii.Vocabulary(model))
     assert beside["oskar"] == total["oskar"] == 3
     for w, n in total.items():
         want = np.log((beside[w] + 0.3) / (n - beside[w] + 1.0)) if n >= 3 or (n and beside[w]) else None
