@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import SNAP
 from graphloom.operators import conformance as cf
 from graphloom.operators import relations as rl
-from graphloom.operators import traversal as tv
+from graphloom.operators import trees as tr
 from graphloom.operators.aggregates import roots
 from graphloom.operators.relations import path_edges
 from graphloom.operators.typeflow import map_to_graph
@@ -87,9 +87,8 @@ def main(args: list[str] | None = None) -> int:
             print("nothing to check", file=sys.stderr)
             return 2
         n, e = store.read("nodes", a.project, version), store.read("edges", a.project, version)
-        pairs = tv.closure(tv.parent_edges(e, n))
         lost = rl.missing_ends(e, n, spark.createDataFrame([], "id string"))
-        res = cf.evaluate(n, e, n.select(*SNAP).distinct(), _constraints(store, a.project, design), (tv.cycle_members(pairs), lost))
+        res = cf.evaluate(n, e, n.select(*SNAP).distinct(), _constraints(store, a.project, design), (tr.cycle_members(tr.parent_table(n, e)), lost))
         for r in res.orderBy("constraint").collect():
             print(f"{r['status']:14} {r['severity']:8} {r['constraint']}: {r['message']} ({r['n_violations']})")
         if a.analysis:
@@ -105,9 +104,8 @@ def main(args: list[str] | None = None) -> int:
             doc = interchange.documents(n, path_edges(e, n), kind).first()["document"]
             print(doc if a.format == "json" else interchange.to_yaml(doc))
         else:
-            pairs = tv.closure(tv.parent_edges(e, n))
             plain = e.filter("kind <> 'contains'")
-            lines = Registry().exporters[a.format](n, plain if a.format == "c4" else path_edges(plain, n), pairs)
+            lines = Registry().exporters[a.format](n, plain if a.format == "c4" else path_edges(plain, n), tr.parent_table(n, e))
             print(export.text_of(lines, a.project, v), end="")
     elif a.command == "diff":
         f = [F.col(c) for c in ("kind", "sub_kind", "language", "provenance", "source_ref")]

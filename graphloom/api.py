@@ -13,6 +13,8 @@ from graphloom.operators import aggregates as ag
 from graphloom.operators import lookups as lk
 from graphloom.operators import relations as rl
 from graphloom.operators import traversal as tv
+from graphloom.operators import trees as tr
+from graphloom.runtime import write_table
 
 
 @dataclass
@@ -23,8 +25,8 @@ class SnapshotView:
     edges: DataFrame
 
     @cached_property
-    def closure(self) -> DataFrame:
-        return tv.closure(tv.parent_edges(self.edges, self.nodes))
+    def links(self) -> DataFrame:
+        return tr.parent_table(self.nodes, self.edges)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """View nodes with parents (phantom parents added), and all edges but containment."""
@@ -46,10 +48,10 @@ class SnapshotView:
         return rl.linked(self.edges, self.nodes, "contains", reverse=True).filter(F.col("id") == node_id)
 
     def ancestors(self, node_id: str) -> DataFrame:
-        return self.closure.filter(F.col("node") == node_id)
+        return tr.ancestors(self.links, self.nodes.filter(F.col("id") == node_id).select(*SNAP, "id"))
 
     def descendants(self, node_id: str, **kinds: str) -> DataFrame:
-        below = self.closure.filter(F.col("ancestor") == node_id).select(*SNAP, F.col("node").alias("id"), "dist")
+        below = tr.below(self.links, self.nodes.filter(F.col("id") == node_id).select(*SNAP, "id")).filter("dist > 0")
         return lk.filter_nodes(self.nodes, **kinds).join(below, [*SNAP, "id"])
 
     def dependencies(self, node_id: str, transitive: bool = False) -> DataFrame:
@@ -74,10 +76,15 @@ class SnapshotView:
 
     def view(self, focus: str | None, expanded: DataFrame, keep=None, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """The order of a view: the subtree of a path, then what is hidden merged, then the filters if any are active."""
-        n, e = self.nodes, self.edges
+        n, e, links = self.nodes, self.edges, self.links
         if focus:
-            n, e = lk.subtree(n, e, self.closure, focus)
-        shown = tv.visible(n, self.closure.join(n.select(*SNAP, F.col("id").alias("ancestor")), [*SNAP, "ancestor"], "left_semi"), expanded)
+            n, e = lk.subtree(n, e, links, focus)
+            inside = n.select(*SNAP, F.col("id").alias("node"))
+            links = links.join(inside, [*SNAP, "node"], "left_semi")
+            kept = links.join(inside.withColumnRenamed("node", "parent"), [*SNAP, "parent"], "left_semi")
+            cut = links.join(kept, [*SNAP, "node"], "left_anti").withColumn("parent", F.lit(None).cast("string"))  # the focus is a root here
+            links = write_table(kept.unionByName(cut), "focus")
+        shown = tr.visible(links, expanded)
         meta = ag.meta_edges(e, shown)
         seen = n.join(shown.select(*SNAP, F.col("shown").alias("id")).distinct(), [*SNAP, "id"], "left_semi")
         if keep is not None:

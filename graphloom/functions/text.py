@@ -171,13 +171,25 @@ def script_import(package: Column, target: Column) -> Column:
     return F.concat_ws("::", package, F.replace(bare, F.lit("/"), F.lit("::")))
 
 
-def unwrap_type(c: Column, wrappers: tuple[str, ...] = ("Option", "Result", "Vec", "Box", "Arc", "Rc"), depth: int = 4) -> Column:
-    """The first type argument inside known wrappers, a bounded number of times; references lose their sign."""
-    out = F.trim(F.regexp_replace(c, r"^&\s*(mut\s+)?('[a-z_]+\s+)?", ""))
+def _first_argument(inner: Column) -> Column:
+    """The text up to the first comma or closing bracket at its own level, at any depth of nesting."""
+    level, out, done = (F.lit(0), F.lit(""), F.lit(False))
+    start = F.struct(level.alias("level"), out.alias("out"), done.alias("done"))
+
+    def step(a: Column, c: Column) -> Column:
+        ends = a["done"] | ((a["level"] == 0) & c.isin(",", ">"))
+        level = a["level"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        return F.struct(F.when(ends, a["level"]).otherwise(level).alias("level"), F.when(ends, a["out"]).otherwise(F.concat(a["out"], c)).alias("out"), ends.alias("done"))
+
+    return F.trim(F.aggregate(F.split(inner, ""), start, step, lambda a: a["out"]))
+
+
+def unwrap_type(c: Column, wrappers: tuple[str, ...] = ("Option", "Result", "Vec", "Box", "Arc", "Rc")) -> Column:
+    """The first type argument inside known wrappers, however many; references lose their sign."""
+    bare = F.trim(F.regexp_replace(c, r"^&\s*(mut\s+)?('[a-z_]+\s+)?", ""))
     names = "|".join(map(re.escape, wrappers))
-    for _ in range(depth):
-        out = F.trim(F.regexp_replace(out, rf"^(?:\w+::)*(?:{names})<\s*((?:[^<>,]|<[^<>]*(?:<[^<>]*>[^<>]*)*>)+)(?:,.*)?>$", "$1"))
-    return out
+    inside = F.regexp_replace(bare, rf"^(?:(?:\w+::)*(?:{names})<\s*)+", "")
+    return F.when(inside == bare, bare).otherwise(_first_argument(inside))
 
 
 #: Types that carry no data of the project (fixed values).
@@ -190,8 +202,7 @@ def is_skipped_type(c: Column) -> Column:
 
 def first_type_argument(c: Column) -> Column:
     """The first argument of a generic type at the outermost level; null if there is none."""
-    inner = F.regexp_extract(c, r"^[^<]*<(.*)>$", 1)
-    first = F.trim(F.regexp_extract(inner, r"^((?:[^<>,]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)+)", 1))
+    first = F.when(c.rlike("<.*>$"), _first_argument(F.regexp_replace(c, "^[^<]*<", "")))
     return F.when(first != "", first)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import SNAP, of_kind
-from graphloom.operators.traversal import top_modules, tree_pairs
+from graphloom.operators.trees import acyclic, below, gather, holders, top_modules, visible
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
@@ -86,9 +86,9 @@ def mapped_edges(edges: DataFrame, mapping: DataFrame, to: str) -> DataFrame:
     return e.join(a, [*SNAP, "source"]).join(b, [*SNAP, "target"])
 
 
-def dependency_matrix(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def dependency_matrix(edges: DataFrame, links: DataFrame) -> DataFrame:
     """SNAP, src, tgt, n: edges between different top modules."""
-    e = mapped_edges(edges, top_modules(nodes, pairs), "top")
+    e = mapped_edges(edges, top_modules(links), "top")
     return e.filter(F.col("src") != F.col("tgt")).groupBy(*SNAP, "src", "tgt").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,29 +122,72 @@ def flow_edges(edges: DataFrame, shown: DataFrame) -> DataFrame:
     return e.groupBy(*SNAP, "src", "tgt", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_descendants(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    n = tree_pairs(pairs).groupBy(*SNAP, F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    return nodes.select(*SNAP, "id").join(n, [*SNAP, "id"], "left").fillna(0, ["n_descendants"])
+def count_descendants(links: DataFrame) -> DataFrame:
+    """SNAP, id, n_descendants; 0 on and below cycles."""
+    n = gather(acyclic(links), F.lit(1).cast("long")).select(*SNAP, "node", (F.col("total") - 1).alias("n"))
+    return links.select(*SNAP, "node").join(n, [*SNAP, "node"], "left").select(*SNAP, F.col("node").alias("id"), F.coalesce("n", F.lit(0)).alias("n_descendants"))
 
 
-def leaf_values(nodes: DataFrame, pairs: DataFrame, value: Column) -> DataFrame:
+def leaf_values(nodes: DataFrame, links: DataFrame, value: Column) -> DataFrame:
     """SNAP, id, value of the nodes without children: the metric if above 0, else 1."""
-    inner = pairs.filter("dist = 1").select(*SNAP, F.col("ancestor").alias("id")).distinct()
+    inner = links.filter("parent is not null").select(*SNAP, F.col("parent").alias("id")).distinct()
     v = F.when(value > 0, value).otherwise(F.lit(1.0))
     return nodes.join(inner, [*SNAP, "id"], "left_anti").select(*SNAP, "id", v.alias("value"))
 
 
-def hierarchy_sum(nodes: DataFrame, pairs: DataFrame, value: Column) -> DataFrame:
-    """SNAP, id, total: the sum of leaf values in each node's subtree (trees only)."""
-    leaves = leaf_values(nodes, pairs, value)
-    up = tree_pairs(pairs).select(*SNAP, F.col("node").alias("id"), "ancestor").join(leaves, [*SNAP, "id"]).select(*SNAP, F.col("ancestor").alias("id"), "value")
-    return up.unionByName(leaves).groupBy(*SNAP, "id").agg(F.sum("value").alias("total"))
+def hierarchy_sum(nodes: DataFrame, links: DataFrame, value: Column) -> DataFrame:
+    """SNAP, id, total: the sum of leaf values in each node's subtree (trees only; a leaf below a cycle has its own value)."""
+    leaves = leaf_values(nodes, links, value).withColumnRenamed("id", "node")
+    own = acyclic(links).join(leaves, [*SNAP, "node"], "left")
+    sums = gather(own, F.coalesce("value", F.lit(0.0)))
+    lost = leaves.join(sums, [*SNAP, "node"], "left_anti").select(*SNAP, "node", F.col("value").alias("total"))
+    return sums.unionByName(lost).withColumnRenamed("node", "id")
 
 
 def edge_kind_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*SNAP, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def over_limit(edges: DataFrame, kind: str, end: str, most: int) -> DataFrame:
+    """SNAP, ``end``, n of the ends with more than ``most`` edges of a kind."""
+    return of_kind(edges, kind).filter(F.col(end).isNotNull()).groupBy(*SNAP, end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+
+
+def method_call_stats(warnings: DataFrame) -> DataFrame:
+    """warnings, resolved, unresolved: sums over texts of the form 'N method call(s): M resolved, K could not be resolved ...'."""
+    w = warnings.filter(F.col("text").contains("method call(s):"))
+
+    def number(pattern: str) -> Column:
+        return F.sum(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")).cast("long"))
+
+    return w.agg(F.count(F.lit(1)).alias("warnings"), number(r"method call\(s\):.*?(\d+) resolved").alias("resolved"), number(r", (\d+) could not be resolved").alias("unresolved"))
+
+
+def edges_between(edges: DataFrame, mapping: DataFrame, to: str, pairs: DataFrame, kinds: tuple[str, ...] = ("depends", "calls", "data_flow")) -> DataFrame:
+    """SNAP, src, tgt, kind, n, sample: the edges behind given pairs (SNAP, src, tgt) of a mapping's values."""
+    e = mapped_edges(of_kind(edges, *kinds), mapping, to).join(pairs, [*SNAP, "src", "tgt"], "left_semi")
+    return e.groupBy(*SNAP, "src", "tgt", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("sample"))
+
+
+#: Nodes of a snapshot above which its containers are closed in the flow view, and above which all of them are (fixed values).
+FLOW_CLOSED, FLOW_ALL_CLOSED = 200, 1000
+
+
+def flow_view(nodes: DataFrame, links: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """SNAP, node, shown of the progressive flow view. Large snapshots close containers but those expanded (SNAP, id): all of
+    them in very large ones, else components and units; where more than FLOW_CLOSED nodes are left in sight, all."""
+    held = links.filter("parent is not null").select(*SNAP, F.col("parent").alias("id")).distinct()
+    if expanded is not None:
+        held = held.join(expanded, [*SNAP, "id"], "left_anti")
+    size = count_rows(nodes, "size")
+    boxes = nodes.select(*SNAP, "id", "kind").join(held, [*SNAP, "id"], "left_semi").join(size, SNAP)
+    shut = boxes.filter((F.col("size") > FLOW_ALL_CLOSED) | ((F.col("size") > FLOW_CLOSED) & F.col("kind").isin("component", "unit"))).select(*SNAP, "id")
+    hidden = below(links, shut).filter("dist > 0 or above").groupBy(*SNAP).agg(F.count(F.lit(1)).alias("hidden"))
+    full = size.join(hidden, SNAP, "left").filter(F.col("size") - F.coalesce("hidden", F.lit(0)) > FLOW_CLOSED).select(*SNAP)
+    shut = shut.unionByName(held.join(full, SNAP, "left_semi")).distinct()
+    return visible(links, nodes.select(*SNAP, "id").join(shut, [*SNAP, "id"], "left_anti"))
+
+
 def rollup(edges: DataFrame, mapping: DataFrame, to: str, kinds: tuple[str, ...] = ("depends", "calls", "data_flow")) -> DataFrame:
     """SNAP, src, tgt, weight, kinds, samples: edges between the ``to`` of both ends, with their kinds and the three smallest edge ids."""
     e = mapped_edges(of_kind(edges, *kinds), mapping, to).filter(F.col("src") != F.col("tgt"))
@@ -153,12 +196,15 @@ def rollup(edges: DataFrame, mapping: DataFrame, to: str, kinds: tuple[str, ...]
     return per.groupBy(*SNAP, "src", "tgt").agg(F.sum("n").alias("weight"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), F.min("lowest").alias("first_edge"), F.max("highest").alias("last_edge"))
 
 
-def ancestor_of_kind(nodes: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+def ancestor_of_kind(nodes: DataFrame, links: DataFrame, kind: str) -> DataFrame:
     """SNAP, node, holder: the nearest ancestor (or the node itself) of a kind."""
-    k = nodes.filter(F.col("kind") == kind).select(*SNAP, F.col("id").alias("ancestor"))
-    own = k.select(*SNAP, F.col("ancestor").alias("node"), "ancestor", F.lit(0).cast("long").alias("dist"))
-    up = tree_pairs(pairs).join(k, [*SNAP, "ancestor"]).select(*SNAP, "node", "ancestor", "dist")
-    return up.unionByName(own).groupBy(*SNAP, "node").agg(F.min_by("ancestor", "dist").alias("holder"))
+    return holders(links, nodes.filter(F.col("kind") == kind))
+
+
+def children_of(links: DataFrame, parents: DataFrame) -> DataFrame:
+    """SNAP, node, child: for the nodes at or below children of the given nodes (SNAP, id), the child they are in."""
+    held = links.join(parents.select(*SNAP, F.col("id").alias("parent")).distinct(), [*SNAP, "parent"], "left_semi")
+    return holders(links, held.select(*SNAP, F.col("node").alias("id"))).withColumnRenamed("holder", "child")
 
 
 def neighbourhood(edges: DataFrame, node_id: str) -> DataFrame:

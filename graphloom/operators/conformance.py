@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import SEVERITIES, glob_match
 from graphloom.graph import SNAP, of_kind
 from graphloom.operators.lookups import node_by_path
+from graphloom.operators.relations import undocumented, unimplemented
 from graphloom.runtime import union_all
 
 
@@ -160,6 +161,38 @@ def evaluate(nodes: DataFrame, edges: DataFrame, snaps: DataFrame, constraints:
     return union_all(out)
 
 
+def scoped(nodes: DataFrame, constraints: list[Constraint]) -> DataFrame:
+    """SNAP, constraint, role, id: the nodes that a constraint's scope or target pattern takes in, one pass for all patterns."""
+    roles = [(c.name, role, p) for c in constraints for role, p in (("scope", c.scope), ("target", c.target)) if p]
+    hits = F.array_compact(F.array(*[F.when(glob_match(F.col("canonical_path"), p), F.struct(F.lit(n).alias("constraint"), F.lit(role).alias("role"))) for n, role, p in roles]))
+    return nodes.filter("canonical_path is not null").select(*SNAP, "id", F.explode(hits).alias("h")).select(*SNAP, "h.constraint", "h.role", "id")
+
+
+def evaluate_pairs(design: DataFrame, analysis: DataFrame, results: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, constraint, severity, status, message, n_violations of designs against analyses.
+
+    design, analysis: by, canonical_path of the nodes of both. results: SNAP and the results of the design's constraints on every
+    analysis (structural ones first). pairs: by, version of the analysis. Unimplemented and undocumented nodes come as two
+    rows more, 'listed' with their numbers.
+    """
+    out = [results.join(pairs, SNAP).select(*by, "constraint", "severity", "status", "message", "n_violations")]
+    for name, rows in (("unimplemented", unimplemented(design, analysis, by)), ("undocumented", undocumented(design, analysis, by))):
+        n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        listed = pairs.select(*by).join(n, by, "left")
+        out.append(listed.select(*by, F.lit(name).alias("constraint"), F.lit("info").alias("severity"), F.lit("listed").alias("status"), F.lit("").alias("message"), F.coalesce("n", F.lit(0)).alias("n_violations")))
+    return union_all(out)
+
+
+def scores(mapping: DataFrame, violations: DataFrame) -> DataFrame:
+    """SNAP, component, n_mapped, n_violations, score: 1 - violations / mapped nodes of a design component, 0 if none are mapped.
+
+    mapping: SNAP, component, path (null: a component without nodes); violations: SNAP, source_path.
+    """
+    v = violations.groupBy(*SNAP, F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("v"))
+    m = mapping.join(v, [*SNAP, "path"], "left").groupBy(*SNAP, "component").agg(F.count("path").alias("n_mapped"), F.coalesce(F.sum("v"), F.lit(0)).alias("n_violations"))
+    return m.withColumn("score", F.when(F.col("n_mapped") == 0, 0.0).otherwise(F.round(1.0 - F.col("n_violations") / F.col("n_mapped"), 9)))
+
+
 def summary(results: DataFrame) -> DataFrame:
     """SNAP, passed, failed (errors), warned (warnings), not_evaluable; a failed info is in none."""
     s, v = F.col("status"), F.col("severity")

@@ -5,7 +5,7 @@ Rows of removed units and of symbols no longer there do not stay behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import SNAP
@@ -22,20 +22,27 @@ def units_to_parse(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def analyse(manifest: DataFrame, files: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per version and unit: the number of items, and whether they were parsed or taken over; and the units parsed.
+    """Items of all versions: SNAP, path, unit_name, qualified_name, kind, sub_kind, name, parent, copied; and the units parsed.
 
-    files: path, content. Each file is parsed once, whatever the number of versions that hold it.
+    Rows of units without a changed file are taken over from the version before, the others parsed again; chains of takeovers end at the
+    version that last parsed the unit, so each unit's files are parsed once per change. files: path, content.
     """
-    parsed = units_to_parse(manifest, pairs)
-    items, _ = parse_files(files)
-    per_file = items.groupBy("path").agg(F.count(F.lit(1)).alias("n_items"))
-    held = manifest.select(*SNAP, "unit_name", "path").join(per_file, "path").groupBy(*SNAP, "unit_name").agg(F.sum("n_items").alias("n_items"))
-    out = held.join(parsed.withColumn("parsed", F.lit(True)), [*SNAP, "unit_name"], "left").select(*SNAP, "unit_name", "n_items", F.coalesce("parsed", F.lit(False)).alias("parsed"))
-    return out, parsed
-
-
-def removed_units(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """project_id, version, unit_name of units that the version before still had: copying old rows forward would keep them as ghosts."""
-    u = manifest.select(*SNAP, "unit_name").distinct()
-    old = u.join(pairs.withColumnRenamed("from_version", "version"), SNAP).select("project_id", F.col("to_version").alias("version"), "unit_name")
-    return old.join(u, [*SNAP, "unit_name"], "left_anti")
+    parsed = units_to_parse(manifest, pairs).distinct()
+    held = manifest.select(*SNAP, "unit_name", "path").distinct()
+    # The version whose rows a unit has: the last one up to this that parsed it.
+    w = Window.partitionBy("project_id", "unit_name").orderBy("version")
+    at = held.select(*SNAP, "unit_name").distinct().join(parsed.withColumn("own", F.col("version")), [*SNAP, "unit_name"], "left")
+    at = at.withColumn("from_version", F.last("own", ignorenulls=True).over(w)).drop("own")
+    wanted = held.join(parsed, [*SNAP, "unit_name"], "left_semi").select("path").distinct()
+    items, _ = parse_files(files.join(wanted, "path", "left_semi"))
+    fresh = held.join(parsed, [*SNAP, "unit_name"], "left_semi").withColumnRenamed("version", "from_version").join(items, "path")
+    fresh = fresh.select("project_id", "from_version", "unit_name", "path", "qualified_name", "kind", "sub_kind", "name", "parent")
+    out = at.join(fresh, ["project_id", "from_version", "unit_name"]).withColumn("copied", F.col("from_version") != F.col("version"))
+    return out.select(*SNAP, "path", "unit_name", "qualified_name", "kind", "sub_kind", "name", "parent", "copied"), parsed
+
+
+def removed(manifest: DataFrame, pairs: DataFrame, what: str = "unit_name") -> DataFrame:
+    """project_id, version, ``what`` that the version before still had: copying old rows forward would keep them as ghosts."""
+    u = manifest.select(*SNAP, what).distinct()
+    old = u.join(pairs.withColumnRenamed("from_version", "version"), SNAP).select("project_id", F.col("to_version").alias("version"), what)
+    return old.join(u, [*SNAP, what], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import glob_match
 from graphloom.graph import SNAP
+from graphloom.operators.trees import above, below
 
 
 def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
@@ -55,23 +56,16 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(keys.withColumnRenamed("id", "source"), [*SNAP, "source"], "left_semi").join(keys.withColumnRenamed("id", "target"), [*SNAP, "target"], "left_semi")
 
 
-def view_filter(nodes: DataFrame, edges: DataFrame, above: DataFrame, keep: Column, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes that pass, with all their ancestors, and the edges between them of the allowed kinds (containment always).
-
-    above: SNAP, node, ancestor.
-    """
-    hit = nodes.filter(keep).select(*SNAP, "id")
-    ids = hit.union(above.join(hit.withColumnRenamed("id", "node"), [*SNAP, "node"], "left_semi").select(*SNAP, F.col("ancestor").alias("id"))).distinct()
-    kept = nodes.join(ids, [*SNAP, "id"], "left_semi")
+def view_filter(nodes: DataFrame, edges: DataFrame, links: DataFrame, keep: Column, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes that pass, with all their ancestors, and the edges between them of the allowed kinds (containment always)."""
+    kept = nodes.join(above(links, nodes.filter(keep).select(*SNAP, "id")), [*SNAP, "id"], "left_semi")
     e = within(edges, kept)
     return kept, e if edge_kinds is None else e.filter(F.col("kind").isin("contains", *edge_kinds))
 
 
-def subtree(nodes: DataFrame, edges: DataFrame, above: DataFrame, root_path: str) -> tuple[DataFrame, DataFrame]:
+def subtree(nodes: DataFrame, edges: DataFrame, links: DataFrame, root_path: str) -> tuple[DataFrame, DataFrame]:
     """The node at a path with all below it, and the edges inside."""
-    root = node_by_path(nodes, root_path).select(*SNAP, "id")
-    below = above.join(root.withColumnRenamed("id", "ancestor"), [*SNAP, "ancestor"], "left_semi").select(*SNAP, F.col("node").alias("id"))
-    kept = nodes.join(root.union(below).distinct(), [*SNAP, "id"], "left_semi")
+    kept = nodes.join(below(links, node_by_path(nodes, root_path).select(*SNAP, "id")), [*SNAP, "id"], "left_semi")
     return kept, within(edges, kept)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import SNAP, of_kind
-from graphloom.runtime import write_table
+from graphloom.runtime import union_all, write_table
 
 #: Rounds after which those so far are written as one table.
 FOLD = 32
@@ -69,72 +69,60 @@ def reachable(edges: DataFrame, starts: DataFrame, kind: str = "depends", revers
     return seen
 
 
-def cycle_members(pairs: DataFrame) -> DataFrame:
-    """SNAP, id of the nodes that reach themselves in a closure."""
-    return pairs.filter(F.col("node") == F.col("ancestor")).select(*SNAP, F.col("node").alias("id"))
-
-
-def cyclic_core(edges: DataFrame, kind: str, rounds: int = 10_000) -> DataFrame:
+def cyclic_core(edges: DataFrame, kind: str) -> DataFrame:
     """SNAP, source, target left when nodes without incoming or without outgoing edges are trimmed again and again.
 
     Empty if and only if the edges of the kind have no cycle; all cycles lie within. No closure is built.
     """
-    e = write_table(of_kind(edges, kind).filter("source is not null and target is not null").select(*SNAP, "source", "target").distinct(), "core")
+    return _trimmed(of_kind(edges, kind).filter("source is not null and target is not null").select(*SNAP, "source", "target").distinct())
+
+
+def _trimmed(links: DataFrame) -> DataFrame:
+    e = write_table(links, "core")
     n = e.count()
-    for _ in range(rounds):
+    while n:
         e2 = e.join(e.select(*SNAP, F.col("target").alias("source")).distinct(), [*SNAP, "source"], "left_semi").join(e.select(*SNAP, F.col("source").alias("target")).distinct(), [*SNAP, "target"], "left_semi")
         e = write_table(e2, "core")
         m = e.count()
-        if m == n or not m:
+        if m == n:
             break
         n = m
     return e
 
 
-def tree_pairs(pairs: DataFrame) -> DataFrame:
-    """A closure without the nodes on or below cycles."""
-    bad = cycle_members(pairs)
-    below = pairs.join(bad.withColumnRenamed("id", "ancestor"), [*SNAP, "ancestor"], "left_semi").select(*SNAP, "node").distinct()
-    return pairs.join(below, [*SNAP, "node"], "left_anti")
-
-
-def chains(pairs: DataFrame) -> DataFrame:
-    """SNAP, node, chain: ids from the root down to the parent, joined by '/'; trees only."""
-    c = F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "ancestor")))
-    return tree_pairs(pairs).groupBy(*SNAP, "node").agg(F.array_join(F.transform(c, lambda x: x.ancestor), "/").alias("chain"))
-
-
-def top_modules(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """SNAP, node, top: the ancestor one below the root (the node itself at depth 1); roots and cycles have none."""
-    t = tree_pairs(pairs)
-    up = t.groupBy(*SNAP, "node").agg(F.max("dist").alias("depth"))
-    top = t.join(up, [*SNAP, "node"]).filter(F.col("dist") == F.col("depth") - 1).select(*SNAP, "node", F.col("ancestor").alias("top"))
-    return top.unionByName(up.filter("depth = 1").select(*SNAP, "node", F.col("node").alias("top")))
-
-
-def visible(nodes: DataFrame, pairs: DataFrame, expanded: DataFrame) -> DataFrame:
-    """SNAP, node, shown: the node itself if all its ancestors are expanded, else its topmost ancestor that is not.
+def nodes_on_cycles(edges: DataFrame, kind: str) -> DataFrame:
+    """SNAP, id of the nodes that reach themselves over edges of a kind, by colouring.
 
-    expanded: SNAP, id. Trees only; a root is always shown.
+    Each node takes the smallest id that reaches it as its colour; those that reach the node of their own colour within it
+    form its strongly connected component. Components are taken out, the rest is trimmed, and so on until nothing is left. No
+    pairs are built: a round's rows are the nodes whose colour changed.
     """
-    closed = tree_pairs(pairs).join(expanded.withColumnRenamed("id", "ancestor"), [*SNAP, "ancestor"], "left_anti")
-    top = closed.groupBy(*SNAP, "node").agg(F.max_by("ancestor", "dist").alias("hider"))
-    return nodes.select(*SNAP, F.col("id").alias("node")).join(top, [*SNAP, "node"], "left").select(*SNAP, "node", F.coalesce("hider", "node").alias("shown"))
-
-
-def tree_path(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """SNAP, a, b, path: ids from a up to the lowest common ancestor and down to b, joined by '/'. ends: SNAP, a, b."""
-    t = tree_pairs(pairs).select(*SNAP, "node", "ancestor", "dist")
-    own = ends.select(*SNAP, F.col("a").alias("node")).union(ends.select(*SNAP, F.col("b").alias("node"))).distinct()
-    t = t.join(own, [*SNAP, "node"], "left_semi").unionByName(own.select(*SNAP, "node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("dist")))
-    ta, tb = (t.select(*SNAP, F.col("node").alias(x), F.col("ancestor").alias("lca"), F.col("dist").alias(f"d{x}")) for x in "ab")
-    lca = ends.join(ta, [*SNAP, "a"]).join(tb, [*SNAP, "b", "lca"]).groupBy(*SNAP, "a", "b").agg(F.min_by(F.struct("lca", "da", "db"), F.col("da") + F.col("db")).alias("l"))
-    lca = lca.select(*SNAP, "a", "b", "l.*").withColumnsRenamed({"da": "up", "db": "down"})
-    left = lca.join(ta.withColumnRenamed("lca", "x"), [*SNAP, "a"]).filter("da <= up").groupBy(*SNAP, "a", "b").agg(F.array_sort(F.collect_list(F.struct("da", "x"))).alias("left"))
-    right = lca.join(tb.withColumnRenamed("lca", "x"), [*SNAP, "b"]).filter("db < down").groupBy(*SNAP, "a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("db")).alias("k"), "x"))).alias("right"))
-    both = left.join(right, [*SNAP, "a", "b"], "left")
-    ids = F.concat(F.transform("left", lambda x: x.x), F.coalesce(F.transform("right", lambda x: x.x), F.array().cast("array<string>")))
-    return both.select(*SNAP, "a", "b", F.array_join(ids, "/").alias("path"))
+    e = cyclic_core(edges, kind)
+    found = [e.filter("source = target").select(*SNAP, F.col("source").alias("id")).distinct()]
+    e = write_table(e.filter("source <> target"), "cyclic")
+    while not e.isEmpty():
+        ids = e.select(*SNAP, F.col("source").alias("id"))
+        colour = write_table(ids.distinct().withColumn("colour", F.col("id")), "colours")
+        changed = colour
+        while not changed.isEmpty():
+            sent = changed.withColumnRenamed("id", "source").join(e, [*SNAP, "source"]).groupBy(*SNAP, F.col("target").alias("id")).agg(F.min("colour").alias("new"))
+            both = write_table(colour.join(sent, [*SNAP, "id"], "left").select(*SNAP, "id", F.least("colour", "new").alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("moved")), "colours")
+            changed, colour = both.filter("moved").drop("moved"), both.drop("moved")
+        c1, c2 = (colour.select(*SNAP, F.col("id").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("source", "target"))
+        inside = write_table(e.join(c1, [*SNAP, "source"]).join(c2, [*SNAP, "target"]).filter("source_colour = target_colour").select(*SNAP, "source", "target"), "coloured")
+        front = colour.filter("id = colour").select(*SNAP, "id")
+        seen = write_table(front, "component")
+        while True:  # backwards from the node that gave the colour
+            new = inside.join(front.withColumnRenamed("id", "target"), [*SNAP, "target"], "left_semi").select(*SNAP, F.col("source").alias("id")).distinct().join(seen, [*SNAP, "id"], "left_anti")
+            front = write_table(new, "component")
+            if front.isEmpty():
+                break
+            seen = write_table(seen.unionByName(front), "component")
+        within = inside.join(seen.withColumnRenamed("id", "source"), [*SNAP, "source"], "left_semi").join(seen.withColumnRenamed("id", "target"), [*SNAP, "target"], "left_semi")
+        found.append(write_table(within.select(*SNAP, F.col("source").alias("id")).distinct(), "on-cycles"))
+        rest = e.join(seen.withColumnRenamed("id", "source"), [*SNAP, "source"], "left_anti").join(seen.withColumnRenamed("id", "target"), [*SNAP, "target"], "left_anti")
+        e = _trimmed(rest)
+    return union_all(found).distinct()
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, most: int, kinds: tuple[str, ...] = ("depends",), ends: DataFrame | None = None) -> DataFrame:

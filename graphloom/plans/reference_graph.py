@@ -14,7 +14,9 @@ from graphloom.operators import lookups as lk
 from graphloom.operators import relations as rl
 from graphloom.operators import snapshot_changes as sc
 from graphloom.operators import traversal as tv
+from graphloom.operators import trees as tr
 from graphloom.plans.sql import BASE, CLOSURE, DEGREES, ENDS, PAIRS, SHOWN, TOP
+from graphloom.runtime import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,9 +84,9 @@ def _first_path(g: Graph) -> str:
     return g.nodes.agg(F.min("canonical_path")).first()[0] or ""
 
 
-def _busiest(g: Graph) -> str:
-    """The id that most edges lead to."""
-    hit = g.edges.filter("target is not null").groupBy("target").count().orderBy(F.desc("count"), "target").first()
+def _busiest(g: Graph, end: str = "target") -> str:
+    """The id that most edges lead to, or come from."""
+    hit = g.edges.filter(f"{end} is not null").groupBy(end).count().orderBy(F.desc("count"), end).first()
     return hit[0] if hit else ""
 
 
@@ -93,6 +95,7 @@ def _root_service_path(g: Graph) -> str:
 
 
 FIRST_PATH = "(select min(canonical_path) from n)"
+BUSIEST_SOURCE = "(select source from e where source is not null group by 1 order by count(*) desc, source limit 1)"
 BUSIEST = "(select target from e where target is not null group by 1 order by count(*) desc, target limit 1)"
 ROOT_PATH = "(select min(canonical_path) from n where kind = 'service')"
 
@@ -124,16 +127,19 @@ def flt_project_exists(g):
     return g.raw("projects").filter("id = 'ledgerflow'").agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-for _way, _cond in (("out", "source = {x}"), ("in", "target = {x}"), ("both", "(source = {x} or target = {x})")):
+for _way, _cond in (("out", f"source = {BUSIEST_SOURCE}"), ("in", f"target = {BUSIEST}"), ("both", f"(source = {BUSIEST} or target = {BUSIEST})")):
 
-    @query(BASE + "select project_id, version, id, source, target, kind from e where " + _cond.format(x=BUSIEST), name=f"flt_edges_{_way}")
+    @query(BASE + "select project_id, version, id, source, target, kind from e where " + _cond, name=f"flt_edges_{_way}")
     def _edges_way(g, way=_way):
-        return lk.edges_of(g.edges, _busiest(g), way).select(*SNAP, "id", "source", "target", "kind")
+        return lk.edges_of(g.edges, _busiest(g, "source" if way == "out" else "target"), way).select(*SNAP, "id", "source", "target", "kind")
 
 
-@query(BASE + f"select project_id, version, id, source from e where target = {BUSIEST} and kind = 'depends'")
+@query(BASE + f"select project_id, version, id, source, target, 'in' as direction from e where target = {BUSIEST} and kind = 'depends' union all select project_id, version, id, source, target, 'out' from e where source = {BUSIEST_SOURCE} and kind = 'depends'")
 def flt_deps_edges_api(g):
-    return lk.edges_of(g.edges, _busiest(g), "in", "depends").select(*SNAP, "id", "source")
+    """Direct dependents of the busiest target, and direct dependencies of the busiest source."""
+    into = lk.edges_of(g.edges, _busiest(g), "in", "depends").withColumn("direction", F.lit("in"))
+    out = lk.edges_of(g.edges, _busiest(g, "source"), "out", "depends").withColumn("direction", F.lit("out"))
+    return into.unionByName(out).select(*SNAP, "id", "source", "target", "direction")
 
 
 @query(BASE + "select project_id, version, id from n where kind = 'component' and sub_kind = 'struct' and language = 'go'")
@@ -173,7 +179,7 @@ ids as (select * from hit union select c.project_id, c.version, c.ancestor from
 
 def _view(g):
     keep = F.col("kind").isin("unit", "component") & (F.coalesce("language", F.lit("go")) == "go")
-    return lk.view_filter(g.nodes, g.edges, _closure(g), keep, ["depends", "calls"])
+    return lk.view_filter(g.nodes, g.edges, _links(g), keep, ["depends", "calls"])
 
 
 @query(_VIEW + "select * from ids")
@@ -191,12 +197,12 @@ _SUB = CLOSURE + f", root as (select project_id, version, min(id) id from n wher
 
 @query(_SUB + "select * from ids")
 def flt_subtree_scope(g):
-    return lk.subtree(g.nodes, g.edges, _closure(g), _root_service_path(g))[0].select(*SNAP, "id")
+    return lk.subtree(g.nodes, g.edges, _links(g), _root_service_path(g))[0].select(*SNAP, "id")
 
 
 @query(_SUB + "select e.project_id, e.version, e.id from e semi join ids a on a.project_id = e.project_id and a.version = e.version and a.id = e.source semi join ids b on b.project_id = e.project_id and b.version = e.version and b.id = e.target")
 def flt_subtree_scope_edges(g):
-    return lk.subtree(g.nodes, g.edges, _closure(g), _root_service_path(g))[1].select(*SNAP, "id")
+    return lk.subtree(g.nodes, g.edges, _links(g), _root_service_path(g))[1].select(*SNAP, "id")
 
 
 _PHANTOM = BASE + """, lost as (select distinct e.project_id, e.version, e.source, e.target from e anti join n on n.project_id = e.project_id and n.version = e.version and n.id = e.source where e.kind = 'contains' and e.source is not null),
@@ -251,9 +257,12 @@ def join_store_info(g):
     return ag.store_info(g.snapshots, g.nodes, g.edges)
 
 
-@query(ORACLES["join_store_info"])
+@query(BASE + "select s.project_id, count(*) n_snapshots, max(s.version) latest, count(distinct s.kind) n_kinds, (select count(*) from n where n.project_id = s.project_id) n_nodes, (select count(*) from e where e.project_id = s.project_id) n_edges from s group by all")
 def agg_store_info(g):
-    return ag.store_info(g.snapshots, g.nodes, g.edges)
+    """Per project: what the store holds."""
+    counted = [d.groupBy("project_id").agg(F.count(F.lit(1)).alias(c)) for d, c in ((g.nodes, "n_nodes"), (g.edges, "n_edges"))]
+    per = g.snapshots.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_snapshots"), F.max("version").alias("latest"), F.countDistinct("kind").alias("n_kinds"))
+    return per.join(counted[0], "project_id", "left").join(counted[1], "project_id", "left").fillna(0, ["n_nodes", "n_edges"])
 
 
 @query(BASE + "select e.project_id, e.version, e.target, count(*) n from e semi join n on n.project_id = e.project_id and n.version = e.version and n.id = e.source and n.kind = 'component' where e.kind = 'depends' and e.target is not null group by all")
@@ -353,7 +362,7 @@ def inc_changed_units(g):
 
 
 _LINES = BASE + r""", items as (select distinct regexp_extract(source_ref, '^(.+):(\d+)$', 1) file, nullif(regexp_extract(source_ref, '^(.+):(\d+)$', 2), '')::bigint line from n where source_ref is not null and regexp_matches(source_ref, '^(.+):(\d+)$')),
-meas as (select file, line, sum(loc) loc from (select regexp_extract(source_ref, '^(.+):(\d+)$', 1) file, nullif(regexp_extract(source_ref, '^(.+):(\d+)$', 2), '')::bigint + version % 2 line, coalesce(try_cast(json_extract_string(metadata, '$.loc') as bigint), 0) loc from n where source_ref is not null and regexp_matches(source_ref, '^(.+):(\d+)$') and version % 3 = 0) group by all)
+meas as (select file, line, sum(loc) loc from (select regexp_extract(source_ref, '^(.+):(\d+)$', 1) file, nullif(regexp_extract(source_ref, '^(.+):(\d+)$', 2), '')::bigint + version % 2 line, coalesce(try_cast(json_extract_string(metadata, '$.loc') as bigint), 0) loc from n where source_ref is not null and regexp_matches(source_ref, '^(.+):(\d+)$')) group by all)
 select items.file, items.line, coalesce(a.loc, b.loc, c.loc)::bigint loc from items left join meas a on a.file = items.file and a.line = items.line left join meas b on b.file = items.file and b.line = items.line - 1 left join meas c on c.file = items.file and c.line = items.line + 1"""
 
 
@@ -361,21 +370,15 @@ select items.file, items.line, coalesce(a.loc, b.loc, c.loc)::bigint loc from it
 def join_metrics_nearest(g):
     ref = F.col("source_ref")
     n = g.nodes.select(fx.source_ref_file(ref).alias("file"), fx.source_ref_line(ref).alias("line"), "version", F.coalesce(F.get_json_object("metadata", "$.loc").try_cast("long"), F.lit(0)).alias("loc")).filter("file is not null")
-    measures = n.filter("version % 3 = 0").select("file", (F.col("line") + F.col("version") % 2).alias("line"), "loc").groupBy("file", "line").agg(F.sum("loc").alias("loc"))
+    measures = n.select("file", (F.col("line") + F.col("version") % 2).alias("line"), "loc").groupBy("file", "line").agg(F.sum("loc").alias("loc"))
     return rl.nearest_lines(n.select("file", "line").distinct(), measures, "loc")
 
 
 # --- traversal -----------------------------------------------------------------------------------------------------------------
 
-_closures: dict[tuple[str, str], DataFrame] = {}
-
 
-def _closure(g: Graph) -> DataFrame:
-    """The ancestor closure of the tables, written once per session and shared by the queries over it (a materialised roll-up)."""
-    key = (g.spark.sparkContext.applicationId, g.sf_dir)
-    if key not in _closures:
-        _closures[key] = tv.closure(tv.parent_edges(g.edges, g.nodes))
-    return _closures[key]
+def _links(g: Graph) -> DataFrame:
+    return tr.parent_table(g.nodes, g.edges)
 
 
 @query(CLOSURE + "select * from cl")
@@ -391,14 +394,14 @@ def rec_ancestors(g):
     last = g.nodes.agg(F.max("canonical_path")).first()[0] or ""
     n = g.nodes.select(*SNAP, F.col("id").alias("node"), "canonical_path").filter(F.col("canonical_path") == last)
     a = g.nodes.select(*SNAP, F.col("id").alias("ancestor"), F.col("canonical_path").alias("ancestor_path"))
-    return _closure(g).join(n, [*SNAP, "node"]).join(a, [*SNAP, "ancestor"]).select(*SNAP, "canonical_path", "ancestor_path", "dist")
+    up = tr.ancestors(_links(g), n.select(*SNAP, F.col("node").alias("id")))
+    return up.join(n, [*SNAP, "node"]).join(a, [*SNAP, "ancestor"]).select(*SNAP, "canonical_path", "ancestor_path", "dist")
 
 
 @query(CLOSURE + f"select c.project_id, c.version, n.id, c.dist from cl c join n on n.project_id = c.project_id and n.version = c.version and n.id = c.node join n a on a.project_id = c.project_id and a.version = c.version and a.id = c.ancestor where a.canonical_path = {ROOT_PATH} and n.kind = 'unit'")
 def rec_descendants(g):
-    top = g.nodes.filter(F.col("canonical_path") == _root_service_path(g)).select(*SNAP, F.col("id").alias("ancestor"))
-    below = _closure(g).join(top, [*SNAP, "ancestor"], "left_semi").select(*SNAP, F.col("node").alias("id"), "dist")
-    return below.join(lk.filter_nodes(g.nodes, "unit").select(*SNAP, "id"), [*SNAP, "id"], "left_semi")
+    top = g.nodes.filter(F.col("canonical_path") == _root_service_path(g)).select(*SNAP, "id")
+    return tr.below(_links(g), top).filter("dist > 0").drop("above").join(lk.filter_nodes(g.nodes, "unit").select(*SNAP, "id"), [*SNAP, "id"], "left_semi")
 
 
 _STARTS = BASE + ", st as (select project_id, version, arg_min(source, canonical_path) id from (select e.project_id, e.version, e.source, n.canonical_path from e join n on n.project_id = e.project_id and n.version = e.version and n.id = e.source where e.kind = 'depends' and e.target is not null) group by all)"
@@ -424,7 +427,7 @@ def rec_dependents(g):
 
 @query(CLOSURE + "select * from cyc")
 def rec_cycles(g):
-    return tv.cycle_members(_closure(g))
+    return tr.cycle_members(_links(g))
 
 
 _CORE = BASE + ", d as (select distinct project_id, version, source, target from e where kind = 'depends' and source is not null and target is not null), r as (select project_id, version, source a, target b from d union select r.project_id, r.version, r.a, d.target from r join d on d.project_id = r.project_id and d.version = r.version and d.source = r.b)"
@@ -432,21 +435,17 @@ _CORE = BASE + ", d as (select distinct project_id, version, source, target from
 
 @query(_CORE + "select distinct project_id, version, a id from r where a = b")
 def rec_cycles_kind(g):
-    core = tv.cyclic_core(g.edges, "depends")
-    return tv.cycle_members(tv.closure(core, "source", "target"))
+    return tv.nodes_on_cycles(g.edges, "depends")
 
 
 @query(CLOSURE + "select project_id, version, node, string_agg(ancestor, '/' order by dist desc) as chain from tp group by all")
 def rec_ancestor_chain(g):
-    return tv.chains(_closure(g))
+    return tr.chains(_links(g)).filter("size(line) > 1").select(*SNAP, "node", F.array_join(F.slice("line", F.lit(1), F.size("line") - 1), "/").alias("chain"))
 
 
 @query(CLOSURE + "select n.project_id, n.version, n.id, coalesce(max(tp.dist), 0)::bigint as depth from n left join tp on tp.project_id = n.project_id and tp.version = n.version and tp.node = n.id where not exists (select 1 from cl c join cyc on cyc.project_id = c.project_id and cyc.version = c.version and cyc.id = c.ancestor where c.project_id = n.project_id and c.version = n.version and c.node = n.id) group by all")
 def rec_depth(g):
-    c = _closure(g)
-    t = tv.tree_pairs(c).groupBy(*SNAP, F.col("node").alias("id")).agg(F.max("dist").alias("depth"))
-    cyclic = c.select(*SNAP, F.col("node").alias("id")).distinct().join(t, [*SNAP, "id"], "left_anti")
-    return g.nodes.select(*SNAP, "id").join(t, [*SNAP, "id"], "left").fillna(0, ["depth"]).join(cyclic, [*SNAP, "id"], "left_anti")
+    return tr.depths(_links(g)).withColumnRenamed("node", "id")
 
 
 _EXPAND = TOP + ", par as (select distinct project_id, version, parent id from pe), lvl as (select n.project_id, n.version, n.id, coalesce(dep.depth, 0)::bigint d from n left join dep on dep.project_id = n.project_id and dep.version = n.version and dep.node = n.id where not exists (select 1 from cl where cl.project_id = n.project_id and cl.version = n.version and cl.node = n.id and dep.node is null))"
@@ -454,22 +453,23 @@ _EXPAND = TOP + ", par as (select distinct project_id, version, parent id from p
 
 @query(_EXPAND + " select l.project_id, l.version, l.id from lvl l semi join par p on p.project_id = l.project_id and p.version = l.version and p.id = l.id where l.d < 2")
 def rec_default_expansion(g):
-    par = tv.parent_edges(g.edges, g.nodes).select(*SNAP, F.col("parent").alias("id")).distinct()
-    return rec_depth(g).filter("depth < 2").join(par, [*SNAP, "id"], "left_semi").select(*SNAP, "id")
+    links = _links(g)
+    par = links.filter("parent is not null").select(*SNAP, F.col("parent").alias("id")).distinct()
+    return tr.depths(links).filter("depth < 2").withColumnRenamed("node", "id").join(par, [*SNAP, "id"], "left_semi").select(*SNAP, "id")
 
 
 @query(_SUB + ", par as (select distinct project_id, version, parent id from pe) select r.project_id, r.version, r.id from (select project_id, version, id from root union select c.project_id, c.version, c.node from cl c join root r on r.project_id = c.project_id and r.version = c.version and r.id = c.ancestor where c.dist < 2) r semi join par p on p.project_id = r.project_id and p.version = r.version and p.id = r.id")
 def rec_expansion_from(g):
-    c = _closure(g)
+    held = _links(g).filter("parent is not null")
     root = lk.node_by_path(g.nodes, _root_service_path(g)).select(*SNAP, "id")
-    near = c.filter("dist < 2").join(root.withColumnRenamed("id", "ancestor"), [*SNAP, "ancestor"], "left_semi").select(*SNAP, F.col("node").alias("id"))
-    par = c.filter("dist = 1").select(*SNAP, F.col("ancestor").alias("id")).distinct()
+    near = held.join(root.withColumnRenamed("id", "parent"), [*SNAP, "parent"], "left_semi").select(*SNAP, F.col("node").alias("id"))
+    par = held.select(*SNAP, F.col("parent").alias("id")).distinct()
     return root.union(near).distinct().join(par, [*SNAP, "id"], "left_semi")
 
 
 @query(TOP + "select * from top")
 def rec_top_module(g):
-    return tv.top_modules(g.nodes, _closure(g))
+    return tr.top_modules(_links(g))
 
 
 _LCA = CLOSURE + """, en as (select project_id, version, min(source) a, max(target) b from (select e.project_id, e.version, e.source, e.target from e join n x on x.project_id = e.project_id and x.version = e.version and x.id = e.source join n y on y.project_id = e.project_id and y.version = e.version and y.id = e.target where e.kind = 'calls') group by all having min(source) <> max(target)),
@@ -482,7 +482,7 @@ select l.project_id, l.version, l.a, l.b, (select string_agg(t.ancestor, '/' ord
 def rec_lca_path(g):
     e = of_kind(lk.within(g.edges, g.nodes), "calls")
     ends = e.groupBy(*SNAP).agg(F.min("source").alias("a"), F.max("target").alias("b")).filter("a <> b")
-    return tv.tree_path(_closure(g), ends)
+    return tr.tree_paths(_links(g), ends)
 
 
 @query(BASE + f", h as (select * from e where source = {BUSIEST} or target = {BUSIEST}) select project_id, version, source id from h where source is not null union select project_id, version, target from h where target is not null")
@@ -509,7 +509,7 @@ _SERVICE = CLOSURE + ", h as (select project_id, version, node, arg_min(holder,
 
 @query(_SERVICE.format(k="service") + "select * from h")
 def rec_service_of(g):
-    return ag.ancestor_of_kind(g.nodes, _closure(g), "service")
+    return ag.ancestor_of_kind(g.nodes, _links(g), "service")
 
 
 @query(BASE + f", r as (select project_id, version, min(id) id from n where canonical_path = {ROOT_PATH} group by all), x as (select project_id, version, id, 0 d from r union select x.project_id, x.version, e.target, x.d + 1 from x join e on e.project_id = x.project_id and e.version = x.version and e.source = x.id and e.kind = 'contains' and e.target is not null where x.d < 2) select project_id, version, id, min(d)::bigint as depth from x group by all")
@@ -521,10 +521,13 @@ def rec_subgraph(g):
 
 @query(
     _STARTS
-    + ", p as (select st.project_id, st.version, st.id start, st.id node, [st.id] ids, 0 steps from st union all select p.project_id, p.version, p.start, d.target, list_append(p.ids, d.target), p.steps + 1 from p join (select distinct project_id, version, source, target from e where kind = 'depends' and source is not null and target is not null) d on d.project_id = p.project_id and d.version = p.version and d.source = p.node where not list_contains(p.ids, d.target) and p.steps < 3) select project_id, version, start, node, array_to_string(ids, '/') as path, steps from p where steps > 0"
+    + ", p as (select st.project_id, st.version, st.id start, st.id node, [st.id] ids, 0 steps from st union all select p.project_id, p.version, p.start, d.target, list_append(p.ids, d.target), p.steps + 1 from p join (select distinct project_id, version, source, target from e where kind = 'depends' and source is not null and target is not null) d on d.project_id = p.project_id and d.version = p.version and d.source = p.node where not list_contains(p.ids, d.target) and p.steps < 3) select project_id, version, start, node, array_to_string(ids, '/') as path, steps from p where steps > 0 and node in (select max(node) from p q where q.steps > 0 and q.project_id = p.project_id and q.version = p.version)"
 )
 def rec_paths(g):
-    return tv.simple_paths(g.edges, _starts(g), 3)
+    """Simple paths from a start to an end, here the largest id that is reached."""
+    starts = _starts(g)
+    ends = tv.reachable(g.edges, starts, most=3).filter("node <> start").groupBy(*SNAP).agg(F.max("node").alias("id"))
+    return tv.simple_paths(g.edges, starts, 3, ends=ends)
 
 
 # --- aggregations ----------------------------------------------------------------------------------------------------------------
@@ -567,10 +570,9 @@ def agg_fan_in_out(g):
     return ag.fan_counts(g.nodes, g.edges)
 
 
-@query(BASE + "select project_id, version, target, count(*) n from e where kind = 'depends' and target is not null group by all having count(*) > 20")
+@query(BASE + "select project_id, version, target, count(*) n from e where kind = 'depends' and target is not null group by all having count(*) > 2")
 def agg_max_fan_in(g):
-    e = of_kind(g.edges, "depends").filter("target is not null")
-    return e.groupBy(*SNAP, "target").agg(F.count(F.lit(1)).alias("n")).filter("n > 20")
+    return ag.over_limit(g.edges, "depends", "target", 2)
 
 
 _CHANGES = ORACLES["join_full_outer_diff"]
@@ -587,17 +589,17 @@ _MATRIX = TOP + ", cells as (select e.project_id, e.version, a.top src, b.top tg
 
 @query(_MATRIX + "select * from cells")
 def agg_dependency_matrix(g):
-    return ag.dependency_matrix(g.nodes, g.edges, _closure(g))
+    return ag.dependency_matrix(g.edges, _links(g))
 
 
 @query(_MATRIX + "select project_id, version, max(n) max_n from cells group by all")
 def agg_matrix_max(g):
-    return ag.dependency_matrix(g.nodes, g.edges, _closure(g)).groupBy(*SNAP).agg(F.max("n").alias("max_n"))
+    return ag.dependency_matrix(g.edges, _links(g)).groupBy(*SNAP).agg(F.max("n").alias("max_n"))
 
 
 @query(_MATRIX + "select project_id, version, src, tgt, case when n >= 3 then n else 0 end n from cells")
 def flt_threshold_matrix(g):
-    return ag.dependency_matrix(g.nodes, g.edges, _closure(g)).withColumn("n", F.when(F.col("n") >= 3, F.col("n")).otherwise(F.lit(0)))
+    return ag.dependency_matrix(g.edges, _links(g)).withColumn("n", F.when(F.col("n") >= 3, F.col("n")).otherwise(F.lit(0)))
 
 
 _CELLS = "cells as (select project_id, version, src, tgt, count(*) n from me where src <> tgt group by all)"
@@ -606,8 +608,8 @@ _CELL_OUT = " select c.project_id, c.version, c.src, c.tgt, c.n, r.src is not nu
 
 def _shown(g):
     """Roots are expanded, all else is closed."""
-    roots = g.nodes.select(*SNAP, "id").join(_closure(g).select(*SNAP, F.col("node").alias("id")).distinct(), [*SNAP, "id"], "left_anti")
-    return tv.visible(g.nodes, _closure(g), roots)
+    links = _links(g)
+    return tr.visible(links, links.filter("parent is null").select(*SNAP, F.col("node").alias("id")))
 
 
 @query(SHOWN + ", " + _CELLS + _CELL_OUT)
@@ -617,7 +619,7 @@ def agg_hierarchical_matrix(g):
 
 @query(_MATRIX + _CELL_OUT)
 def agg_matrix_cell(g):
-    return ag.cyclic_matrix(ag.dependency_matrix(g.nodes, g.edges, _closure(g)))
+    return ag.cyclic_matrix(ag.dependency_matrix(g.edges, _links(g)))
 
 
 @query(SHOWN + "select project_id, version, src, tgt, kind, 1::bigint n, false is_meta from me where src = source and tgt = target union all select project_id, version, src, tgt, kind, count(*), true from me where (src <> source or tgt <> target) and src <> tgt group by all")
@@ -625,9 +627,21 @@ def agg_meta_edges(g):
     return ag.meta_edges(g.edges, _shown(g))
 
 
-@query(SHOWN + "select project_id, version, src, tgt, kind, count(*) n from me where src <> tgt or kind in ('transforms', 'data_flow') group by all")
+_FLOW_VIEW = CLOSURE + """, tot as (select project_id, version, count(*) c from n group by all), par as (select distinct project_id, version, parent id from pe),
+shut as (select n.project_id, n.version, n.id from n join tot using (project_id, version) semi join par on par.project_id = n.project_id and par.version = n.version and par.id = n.id where c > 1000 or (c > 200 and n.kind in ('component', 'unit'))),
+hid as (select distinct tp.project_id, tp.version, tp.node from tp join shut on shut.project_id = tp.project_id and shut.version = tp.version and shut.id = tp.ancestor),
+full_ as (select tot.project_id, tot.version from tot left join (select project_id, version, count(*) h from hid group by all) x using (project_id, version) where c - coalesce(h, 0) > 200),
+shut2 as (select * from shut union select par.* from par semi join full_ using (project_id, version)),
+up as (select tp.project_id, tp.version, tp.node, arg_max(tp.ancestor, tp.dist) shown from tp join shut2 on shut2.project_id = tp.project_id and shut2.version = tp.version and shut2.id = tp.ancestor group by all),
+shown as (select n.project_id, n.version, n.id node, coalesce(up.shown, n.id) shown from n left join up on up.project_id = n.project_id and up.version = n.version and up.node = n.id),
+me as (select e.*, a.shown src, b.shown tgt from e join shown a on a.project_id = e.project_id and a.version = e.version and a.node = e.source join shown b on b.project_id = e.project_id and b.version = e.version and b.node = e.target where e.kind <> 'contains')
+"""
+
+
+@query(_FLOW_VIEW + "select project_id, version, src, tgt, kind, count(*) n from me where src <> tgt or kind in ('transforms', 'data_flow') group by all")
 def agg_flow_edges(g):
-    return ag.flow_edges(g.edges, _shown(g))
+    """Snapshots of more than 200 nodes are shown with containers closed, those of more than 1,000 with all of them."""
+    return ag.flow_edges(g.edges, ag.flow_view(g.nodes, _links(g)))
 
 
 @query(SHOWN + ", x as (select project_id, version, src, tgt, count(*) n from me where src <> tgt group by all) select project_id, version, id, sum(i)::bigint incoming, sum(o)::bigint outgoing from (select project_id, version, tgt id, n i, 0 o from x union all select project_id, version, src, 0, n from x) group by all")
@@ -640,7 +654,7 @@ def agg_node_edge_counts(g):
 
 @query(CLOSURE + "select n.project_id, n.version, n.id, count(tp.node) n_descendants from n left join tp on tp.project_id = n.project_id and tp.version = n.version and tp.ancestor = n.id group by all")
 def agg_count_descendants(g):
-    return ag.count_descendants(g.nodes, _closure(g))
+    return ag.count_descendants(_links(g))
 
 
 _SUM = CLOSURE + ", leaf as (select n.project_id, n.version, n.id, case when coalesce(try_cast(json_extract_string(n.metadata, '$.loc') as double), 0) > 0 then try_cast(json_extract_string(n.metadata, '$.loc') as double) else 1.0 end v from n anti join pe on pe.project_id = n.project_id and pe.version = n.version and pe.parent = n.id), tot as (select project_id, version, id, sum(v) total from (select * from leaf union all select tp.project_id, tp.version, tp.ancestor, leaf.v from tp join leaf on leaf.project_id = tp.project_id and leaf.version = tp.version and leaf.id = tp.node) group by all)"
@@ -648,13 +662,14 @@ _SUM = CLOSURE + ", leaf as (select n.project_id, n.version, n.id, case when coa
 
 @query(_SUM + " select * from tot")
 def agg_hierarchy_sum(g):
-    return ag.hierarchy_sum(g.nodes, _closure(g), fx.metric(F.col("metadata"), "loc"))
+    return ag.hierarchy_sum(g.nodes, _links(g), fx.metric(F.col("metadata"), "loc"))
 
 
 @query(_SUM + ", dep as (select project_id, version, node id, max(dist) depth from tp group by all) select tot.project_id, tot.version, tot.id, n.language, tot.total from tot join n using (project_id, version, id) left join dep using (project_id, version, id) where coalesce(dep.depth, 0) <= 2")
 def agg_sunburst_ring(g):
-    depth = tv.tree_pairs(_closure(g)).groupBy(*SNAP, F.col("node").alias("id")).agg(F.max("dist").alias("depth"))
-    t = agg_hierarchy_sum(g).join(g.nodes.select(*SNAP, "id", "language"), [*SNAP, "id"]).join(depth, [*SNAP, "id"], "left")
+    links = _links(g)
+    depth = tr.depths(links).withColumnRenamed("node", "id")
+    t = ag.hierarchy_sum(g.nodes, links, fx.metric(F.col("metadata"), "loc")).join(g.nodes.select(*SNAP, "id", "language"), [*SNAP, "id"]).join(depth, [*SNAP, "id"], "left")
     return t.filter(F.coalesce("depth", F.lit(0)) <= 2).select(*SNAP, "id", "language", "total")
 
 
@@ -675,13 +690,16 @@ def agg_units_per_language(g):
     return g.raw("units").groupBy("project_id", "unit_kind").agg(F.countDistinct("name").alias("n"))
 
 
-_CALLS = r"select project_id, sum(regexp_extract(text, '(\d+) others stay hidden', 1)::bigint) hidden, count(*) n from documents where regexp_matches(text, '(\d+) others stay hidden') group by all"
+_WARNED = r"select source, text from documents where text is not null union all select 'warning', 'line ' || e.k || ': ' || e.n || ' method call(s): ' || (e.n // 3) || ' resolved, ' || (e.n - e.n // 3) || ' could not be resolved without type information' from (select kind k, count(*) n from edges where kind is not null group by all) e"
 
 
-@query(_CALLS)
+@query(rf"with w as ({_WARNED}), c as (select regexp_extract(text, 'method call\(s\):.*?(\d+) resolved', 1) r, regexp_extract(text, ', (\d+) could not be resolved', 1) u from w where contains(text, 'method call(s):')) select count(*) warnings, sum(nullif(r, '')::bigint)::bigint resolved, sum(nullif(u, '')::bigint)::bigint unresolved from c")
 def agg_method_call_stats(g):
-    n = F.regexp_extract("text", r"(\d+) others stay hidden", 1)
-    return g.raw("documents").withColumn("h", n).filter("h <> ''").groupBy("project_id").agg(F.sum(F.col("h").cast("long")).alias("hidden"), F.count(F.lit(1)).alias("n"))
+    """Warnings in the documents, with one per kind of edge as an analysis of the calls would write it."""
+    n = F.col("count")
+    kinds = g.raw("edges").filter("kind is not null").groupBy("kind").count()
+    own = kinds.select(F.concat(F.lit("line "), "kind", F.lit(": "), n, F.lit(" method call(s): "), F.floor(n / 3), F.lit(" resolved, "), n - F.floor(n / 3), F.lit(" could not be resolved without type information")).alias("text"))
+    return ag.method_call_stats(g.raw("documents").select("text").union(own))
 
 
 def _rollup_sql(kind: str) -> str:
@@ -690,22 +708,47 @@ def _rollup_sql(kind: str) -> str:
 
 @query(_rollup_sql("component"))
 def agg_rollup_component(g):
-    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _closure(g), "component"), "holder")
+    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _links(g), "component"), "holder")
 
 
 @query(_rollup_sql("service"))
 def agg_rollup_service(g):
-    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _closure(g), "service"), "holder")
+    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _links(g), "service"), "holder")
+
+
+_CHILD = CLOSURE + """, root as (select pe.project_id, pe.version, pe.parent id from pe join n on n.project_id = pe.project_id and n.version = pe.version and n.id = pe.parent and n.kind = 'service' group by pe.project_id, pe.version, pe.parent qualify row_number() over (partition by pe.project_id, pe.version order by count(*) desc, pe.parent) = 1), ch as (select pe.project_id, pe.version, pe.node child from pe semi join root on root.project_id = pe.project_id and root.version = pe.version and root.id = pe.parent),
+cm as (select project_id, version, child node, child from ch union all select tp.project_id, tp.version, tp.node, ch.child from tp join ch on ch.project_id = tp.project_id and ch.version = tp.version and ch.child = tp.ancestor),
+x as (select e.project_id, e.version, e.id, e.kind, a.child src, b.child tgt from e join cm a on a.project_id = e.project_id and a.version = e.version and a.node = e.source join cm b on b.project_id = e.project_id and b.version = e.version and b.node = e.target where e.kind in ('depends', 'calls', 'data_flow') and a.child <> b.child)
+"""
+_ROLLED = "select project_id, version, src, tgt, count(*) weight, string_agg(distinct kind, ',' order by kind) kinds, min(id) first_edge, max(id) last_edge from x"
 
 
-@query(TOP + ", x as (select e.project_id, e.version, e.id, e.kind, a.top src, b.top tgt from e join top a on a.project_id = e.project_id and a.version = e.version and a.node = e.source join top b on b.project_id = e.project_id and b.version = e.version and b.node = e.target where e.kind in ('depends', 'calls', 'data_flow') and a.top <> b.top) select project_id, version, src, tgt, count(*) weight, string_agg(distinct kind, ',' order by kind) kinds, min(id) first_edge, max(id) last_edge from x group by all")
+def _children(g):
+    """The children of each snapshot's widest service, with all below them."""
+    links = _links(g)
+    held = links.join(g.nodes.filter("kind = 'service'").select(*SNAP, F.col("id").alias("parent")), [*SNAP, "parent"], "left_semi").groupBy(*SNAP, "parent").count()
+    w = Window.partitionBy(*SNAP).orderBy(F.desc("count"), "parent")  # one row per service
+    return ag.children_of(links, held.withColumn("k", F.row_number().over(w)).filter("k = 1").select(*SNAP, F.col("parent").alias("id")))
+
+
+@query(_CHILD + _ROLLED + " group by all")
 def agg_rollup_children(g):
-    return ag.rollup(g.edges, tv.top_modules(g.nodes, _closure(g)), "top")
+    """Edges between the children of one parent, each child standing for all below it."""
+    return ag.rollup(g.edges, _children(g), "child")
+
+
+@query(_CHILD + ", most as (select * from (" + _ROLLED + " group by all) z qualify row_number() over (partition by project_id, version order by weight desc, src, tgt) = 1) select x.project_id, x.version, x.src, x.tgt, x.kind, count(*) n, min(x.id) sample from x semi join most using (project_id, version, src, tgt) group by all")
+def agg_aggregated_edges(g):
+    """The edges behind the heaviest pair of children: per kind their number and a sample."""
+    children = write_table(_children(g), "children")
+    w = Window.partitionBy(*SNAP).orderBy(F.desc("weight"), "src", "tgt")
+    pair = ag.rollup(g.edges, children, "child").withColumn("k", F.row_number().over(w)).filter("k = 1").select(*SNAP, "src", "tgt")
+    return ag.edges_between(g.edges, children, "child", pair)
 
 
 @query(TOP + ", x as (select e.project_id, e.version, a.top src, b.top tgt from e join top a on a.project_id = e.project_id and a.version = e.version and a.node = e.source join top b on b.project_id = e.project_id and b.version = e.version and b.node = e.target where e.kind in ('depends', 'calls', 'data_flow') and a.top <> b.top) select project_id, version, src component, count(distinct tgt) n_targets, count(*) weight from x group by all")
 def agg_component_deps(g):
-    r = agg_rollup_children(g)
+    r = ag.rollup(g.edges, tr.top_modules(_links(g)), "top")
     return r.groupBy(*SNAP, F.col("src").alias("component")).agg(F.count(F.lit(1)).alias("n_targets"), F.sum("weight").alias("weight"))
 
 
@@ -727,6 +770,14 @@ def win_next_sibling(g):
     return v.select(*SNAP, "id", F.when(F.col("c") > 1, F.coalesce("nx", "fst")).alias("next_id"))
 
 
+@query(_SIB.replace("row_number() over (partition by project_id, version, parent", "last_value(id) over (partition by project_id, version, parent order by lower(label), label, id rows between unbounded preceding and unbounded following) as lst, lag(id) over (partition by project_id, version, parent order by lower(label), label, id) as pv, row_number() over (partition by project_id, version, parent") + " select project_id, version, id, case when c > 1 then coalesce(pv, lst) end prev_id from w")
+def win_prev_sibling(g):
+    v, w = _siblings(g)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = v.withColumns({"pv": F.lag("id").over(w), "lst": F.last("id").over(whole), "c": F.count(F.lit(1)).over(whole)})
+    return v.select(*SNAP, "id", F.when(F.col("c") > 1, F.coalesce("pv", "lst")).alias("prev_id"))
+
+
 @query(_SIB + " select project_id, version, parent, id child from w where k = 1 and parent <> ''")
 def win_first_child(g):
     v, _ = _siblings(g)
@@ -745,9 +796,9 @@ def win_snapshot_drift(g):
     return c.select(*SNAP, (F.col("k") - F.lag("k").over(Window.partitionBy("project_id").orderBy("version"))).alias("delta"))
 
 
-@query("select count(*) kept from (select 1 from nodes group by project_id, version, lower(trim(id)))")
+@query("select project_id, version, lower(trim(id)) id, arg_max(name, loaded_at) as name, arg_max(kind, loaded_at) kind, arg_max(provenance, loaded_at) provenance from nodes where trim(id) <> '' group by all")
 def win_last_wins(g):
-    return g.nodes.agg(F.count(F.lit(1)).alias("kept"))
+    return g.nodes.select(*SNAP, "id", "name", "kind", "provenance")
 
 
 @query("select id, name from projects order by id")
@@ -782,7 +833,7 @@ def ord_export(g):
 
 @query(_MATRIX + "select project_id, version, id, sum(n)::bigint total from (select project_id, version, src id, n from cells union all select project_id, version, tgt, n from cells) group by all")
 def ord_matrix_dep_count(g):
-    c = ag.dependency_matrix(g.nodes, g.edges, _closure(g))
+    c = ag.dependency_matrix(g.edges, _links(g))
     both = c.select(*SNAP, F.col("src").alias("id"), "n").union(c.select(*SNAP, "tgt", "n"))
     return both.groupBy(*SNAP, "id").agg(F.sum("n").alias("total")).orderBy(*SNAP, F.desc("total"), "id")
 

@@ -13,15 +13,19 @@ from graphloom.operators import conformance as cf
 from graphloom.operators import relations as rl
 from graphloom.operators import snapshot_changes as sc
 from graphloom.operators import traversal as tv
+from graphloom.operators import trees as tr
 from graphloom.operators import typeflow as tf
-from graphloom.plans.reference_graph import ORACLES, _closure, query
-from graphloom.plans.sql import BASE, CLOSURE, DEGREES, ENDS
+from graphloom.plans.datasets import ORACLES as P_ORACLES
+from graphloom.plans.reference_graph import _DESIGN, ORACLES, _links, query
+from graphloom.plans.reference_graph import _design as design_pairs
+from graphloom.plans.sql import BASE, CLOSURE, DEGREES, ENDS, TOP
 from graphloom.runtime import shared_dir
 from graphloom.sources import export as ex
 from graphloom.sources import interchange as ic
 from graphloom.sources import items as it
 from graphloom.sources import manifests as mf
 from graphloom.sources.store import Store, upsert
+from graphloom.tables import norm_id
 
 # --- scalar functions, each over whole columns of the tables --------------------------------------------------------------------
 
@@ -215,9 +219,9 @@ def fn_radial(g):
 # --- conformance ------------------------------------------------------------------------------------------------------------------
 
 CONSTRAINTS = [
-    cf.Constraint("engines stay away from stores", "must_not_depend", "/**/*-engine", "/**/*-store", message="an engine depends on a store"),
+    cf.Constraint("tops are not depended on", "must_not_depend", "/**", "/*", message="a top is depended on"),
     cf.Constraint("no target", "must_not_depend", "/**", None, message="never matches"),
-    cf.Constraint("ledgers are closed", "boundary", "/ledger*/**", message="only ledgers use ledgers", severity="warning"),
+    cf.Constraint("brokers are closed", "boundary", "/**/*broker*/**", message="only brokers use brokers", severity="warning"),
     cf.Constraint("first has an engine", "must_contain", "@root", params={"child_pattern": "engine", "child_kind": "component"}, message="needs an engine"),
     cf.Constraint("missing scope", "must_contain", "/no/such/path", params={"child_pattern": "x"}, message="never found", severity="info"),
     cf.Constraint("root fan-in", "max_fan_in", "@root", params={"limit": 2, "level": "component"}, message="too many", severity="warning"),
@@ -232,8 +236,8 @@ def _constraints(g: Graph) -> list[cf.Constraint]:
 
 _ROOT = "(select min(canonical_path) from n where kind = 'service')"
 _VIOL = "select e.project_id, e.version, '{name}' as \"constraint\", a.canonical_path source_path, b.canonical_path target_path, e.id edge_id, e.kind edge_kind from e " + ENDS + " where e.kind = 'depends' and {cond}"
-_MUST_NOT = _VIOL.format(name="engines stay away from stores", cond="regexp_matches(a.canonical_path, '^/(?:[^/]+/)*[^/]*-engine$') and regexp_matches(b.canonical_path, '^/(?:[^/]+/)*[^/]*-store$')")
-_BOUNDARY = _VIOL.format(name="ledgers are closed", cond="not (regexp_matches(a.canonical_path, '^/ledger[^/]*/.*$') or a.canonical_path = '/ledger*') and (regexp_matches(b.canonical_path, '^/ledger[^/]*/.*$') or b.canonical_path = '/ledger*')")
+_MUST_NOT = _VIOL.format(name="tops are not depended on", cond="starts_with(a.canonical_path, '/') and regexp_matches(b.canonical_path, '^/[^/]*$')")
+_BOUNDARY = _VIOL.format(name="brokers are closed", cond="not regexp_matches(a.canonical_path, '^/(?:[^/]+/)*[^/]*broker[^/]*/.*$') and regexp_matches(b.canonical_path, '^/(?:[^/]+/)*[^/]*broker[^/]*/.*$')")
 
 
 @query(BASE + _MUST_NOT)
@@ -241,14 +245,18 @@ def con_must_not_depend(g):
     return cf.must_not_depend(g.nodes, g.edges, CONSTRAINTS[0])
 
 
-@query(BASE + _MUST_NOT.replace("select e.project_id", "select e.project_id", 1))
+_TOP_HIT, _BROKER_HIT = "regexp_matches(canonical_path, '^/[^/]*$')", "regexp_matches(canonical_path, '^/(?:[^/]+/)*[^/]*broker[^/]*/.*$')"
+
+
+@query(BASE + "select project_id, version, x.c \"constraint\", x.r as role, id from n, (values ('tops are not depended on', 'scope'), ('tops are not depended on', 'target'), ('brokers are closed', 'scope')) x(c, r) where case when r = 'target' then " + _TOP_HIT + " when c = 'brokers are closed' then " + _BROKER_HIT + " else starts_with(canonical_path, '/') end")
 def join_theta_glob(g):
-    return cf.must_not_depend(g.nodes, g.edges, CONSTRAINTS[0])
+    return cf.scoped(g.nodes, [CONSTRAINTS[0], CONSTRAINTS[2]])
 
 
-@query(BASE + "select count(*) n from (" + _MUST_NOT + ")")
+@query(BASE + "select \"constraint\", target_path, count(*) n from (" + _MUST_NOT + ") group by all")
 def join_scope_target(g):
-    return cf.must_not_depend(g.nodes, g.edges, CONSTRAINTS[0]).agg(F.count(F.lit(1)).alias("n"))
+    """The targets that a scope must not depend on, with the edges that do."""
+    return cf.must_not_depend(g.nodes, g.edges, CONSTRAINTS[0]).groupBy("constraint", "target_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(BASE + _BOUNDARY)
@@ -256,9 +264,11 @@ def con_boundary(g):
     return cf.boundary(g.nodes, g.edges, CONSTRAINTS[2])
 
 
-@query(BASE + "select \"constraint\", count(*) n from (" + _BOUNDARY + ") group by all")
+@query(BASE + "select project_id, version, split_part(source_path, '/', 2) as outside, count(distinct target_path) n_inside from (" + _BOUNDARY + ") group by all")
 def join_boundary(g):
-    return cf.boundary(g.nodes, g.edges, CONSTRAINTS[2]).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"))
+    """Per top outside of a boundary: how many nodes inside it reaches."""
+    v = cf.boundary(g.nodes, g.edges, CONSTRAINTS[2])
+    return v.groupBy(*SNAP, F.split_part("source_path", F.lit("/"), F.lit(2)).alias("outside")).agg(F.countDistinct("target_path").alias("n_inside"))
 
 
 _SNAPS = ", snaps as (select distinct project_id, version from n), scope as (select project_id, version, min(id) id from n where canonical_path = " + _ROOT + " group by all)"
@@ -291,7 +301,7 @@ _STRUCT_ROWS = _COUNTED.format(name="containment-acyclic", sev="error", msg="con
 
 
 def _structural(g):
-    return tv.cycle_members(_closure(g)), rl.missing_ends(g.edges, g.nodes, g.shared_nodes)
+    return tr.cycle_members(_links(g)), rl.missing_ends(g.edges, g.nodes, g.shared_nodes)
 
 
 @query(_STRUCT + _STRUCT_ROWS)
@@ -339,26 +349,53 @@ def con_exit_code(g):
     return cf.exit_code(_report(g), "warning")
 
 
-@query(_REPORT + " select project_id, version, \"constraint\", status from report where status <> 'pass'")
+_PAIRED = _DESIGN[len(BASE) :]
+_UNDOC_DEEP, _UNDOC_ROWS = ORACLES["join_anti_undocumented"][len(_DESIGN) :].split(" select a.*")
+
+
+@query(
+    _REPORT
+    + _PAIRED
+    + ", ui as ("
+    + ORACLES["join_anti_unimplemented"][len(_DESIGN) :]
+    + ")"
+    + _UNDOC_DEEP
+    + ", ud as (select a.*"
+    + _UNDOC_ROWS
+    + ") select p.project_id, p.from_version, p.to_version, r.\"constraint\", r.severity, r.status, r.message, r.n_violations from pairs p join report r on r.project_id = p.project_id and r.version = p.to_version"
+    + "".join(f" union all select p.project_id, p.from_version, p.to_version, '{name}', 'info', 'listed', '', (select count(*) from {t} x where x.project_id = p.project_id and x.from_version = p.from_version) from pairs p" for name, t in (("unimplemented", "ui"), ("undocumented", "ud")))
+)
 def con_evaluate(g):
-    """What a check of every snapshot reports as not passed."""
-    return _report(g).filter("status <> 'pass'").select(*SNAP, "constraint", "status")
+    """Every snapshot as the design that the next one, its analysis, is checked against."""
+    d, a, by = design_pairs(g)
+    pairs = sc.snapshot_pairs(g.nodes).withColumn("version", F.col("to_version"))
+    return cf.evaluate_pairs(d, a, _report(g), pairs, by)
+
+
+_SCORED = TOP + ", viol as (" + _MUST_NOT + "), mapd as (select top.project_id, top.version, top.top component, n.canonical_path as path from top join n on n.project_id = top.project_id and n.version = top.version and n.id = top.node), v as (select project_id, version, source_path as path, count(*) v from viol group by all), sco as (select m.project_id, m.version, component, count(path) n_mapped, coalesce(sum(v), 0)::bigint n_violations from mapd m left join v using (project_id, version, path) group by all) "
+_SCORE_OF = "case when n_mapped = 0 then 0.0::double else round(1.0::double - n_violations / n_mapped, 9) end"
 
 
-_SCORE = _REPORT + ", tot as (select project_id, version, count(*) c from e group by all) select project_id, version, round(1.0 - sum(n_violations) / any_value(c), 9) score from report join tot using (project_id, version) group by all"
+def _scores(g):
+    """Top modules as design components, the nodes in them as what is mapped to them."""
+    top = tr.top_modules(_links(g))
+    mapping = top.join(g.nodes.select(*SNAP, F.col("id").alias("node"), F.col("canonical_path").alias("path")), [*SNAP, "node"]).select(*SNAP, F.col("top").alias("component"), "path")
+    return cf.scores(mapping, cf.must_not_depend(g.nodes, g.edges, CONSTRAINTS[0]))
 
 
-@query(_SCORE)
+@query(_SCORED + f"select *, {_SCORE_OF} score from sco")
 def con_score(g):
-    total = ag.count_rows(g.edges, "n_edges")
-    v = _report(g).groupBy(*SNAP).agg(F.sum("n_violations").alias("v")).join(total, SNAP)
-    return v.select(*SNAP, F.round(1.0 - F.col("v") / F.col("n_edges"), 9).alias("score"))
+    return _scores(g)
 
 
-agg_conformance_score = query(_SCORE, name="agg_conformance_score")(con_score)
+@query(_SCORED + f"select project_id, version, min({_SCORE_OF}) worst, count(*) filter (n_violations = 0) clean, count(*) components from sco group by all")
+def agg_conformance_score(g):
+    """Per snapshot: the worst score, and how many components have no violation."""
+    return _scores(g).groupBy(*SNAP).agg(F.min("score").alias("worst"), F.count_if(F.col("n_violations") == 0).alias("clean"), F.count(F.lit(1)).alias("components"))
+
 
 _ONLY = cf.Constraint("engines use few", "must_only_depend", "/**/*-engine", params={"targets": ["/**/*-model", "/*"]})
-_LAYERS = cf.Constraint("layers", "layer_order", "/**", params={"layers": ["view", "service", "engine", "store"], "allow_skip": False})
+_LAYERS = cf.Constraint("layers", "layer_order", "/**", params={"layers": ["tracer", "batch", "layout", "ledger"], "allow_skip": False})
 
 
 @query(BASE + _VIOL.format(name="engines use few", cond="regexp_matches(a.canonical_path, '^/(?:[^/]+/)*[^/]*-engine$') and not (regexp_matches(b.canonical_path, '^/(?:[^/]+/)*[^/]*-model$') or regexp_matches(b.canonical_path, '^/[^/]*$'))"))
@@ -366,17 +403,27 @@ def con_must_only_depend(g):
     return cf.must_only_depend(g.nodes, g.edges, _ONLY)
 
 
-@query(BASE + _VIOL.format(name="layers", cond="list_position(['view', 'service', 'engine', 'store'], a.name) is not null and list_position(['view', 'service', 'engine', 'store'], b.name) is not null and (list_position(['view', 'service', 'engine', 'store'], a.name) > list_position(['view', 'service', 'engine', 'store'], b.name) or list_position(['view', 'service', 'engine', 'store'], b.name) - list_position(['view', 'service', 'engine', 'store'], a.name) > 1)"))
+@query(BASE + _VIOL.format(name="layers", cond="list_position(['tracer', 'batch', 'layout', 'ledger'], a.name) is not null and list_position(['tracer', 'batch', 'layout', 'ledger'], b.name) is not null and (list_position(['tracer', 'batch', 'layout', 'ledger'], a.name) > list_position(['tracer', 'batch', 'layout', 'ledger'], b.name) or list_position(['tracer', 'batch', 'layout', 'ledger'], b.name) - list_position(['tracer', 'batch', 'layout', 'ledger'], a.name) > 1)"))
 def con_layer_order(g):
     return cf.layer_order(g.nodes, g.edges, _LAYERS)
 
 
-@query(BASE + "select project_id, version, source, count(*) n from e where kind = 'depends' and source is not null group by all having count(*) > 10")
+_WIDE = "(select a.canonical_path from e join n a on a.project_id = e.project_id and a.version = e.version and a.id = e.source where e.kind = 'depends' and a.canonical_path is not null group by 1 order by count(*) desc, 1 limit 1)"
+_FANS = "(select count(*) from e where e.kind = 'depends' and e.project_id = s.project_id and e.version = s.version and e.source = sc.id)"
+
+
+@query(
+    BASE
+    + f", snaps as (select distinct project_id, version from n), scope as (select project_id, version, min(id) id from n where canonical_path = {_WIDE} group by all) select s.project_id, s.version, 'wide fan-out' as \"constraint\", 'error' severity, case when sc.id is null then 'not_evaluable' when {_FANS} > 1 then 'fail' else 'pass' end status, case when sc.id is null then 'Scope node ' || chr(39) || {_WIDE} || chr(39) || ' not found' when {_FANS} > 1 then 'too wide (fan-out: ' || {_FANS} || ', limit: 1)' else 'too wide' end message from snaps s left join scope sc on sc.project_id = s.project_id and sc.version = s.version"
+)
 def con_max_fan_out(g):
-    return of_kind(g.edges, "depends").filter("source is not null").groupBy(*SNAP, "source").agg(F.count(F.lit(1)).alias("n")).filter("n > 10")
+    """The path with most depends edges going out, with at most one allowed."""
+    e = of_kind(g.edges, "depends").join(g.nodes.filter("canonical_path is not null").select(*SNAP, F.col("id").alias("source"), "canonical_path"), [*SNAP, "source"])
+    wide = e.groupBy("canonical_path").count().orderBy(F.desc("count"), "canonical_path").first()
+    return cf.max_fan_out(g.nodes, g.edges, _snaps(g), cf.Constraint("wide fan-out", "max_fan_out", wide[0] if wide else "/none", params={"limit": 1}, message="too wide"))
 
 
-@query()
+@query(P_ORACLES["p3_found"])
 def diff_snapshots(g):
     return sc.snapshot_changes(g.raw("nodes"), g.raw("edges"), g.raw("shared_nodes"))
 
@@ -535,14 +582,15 @@ def src_constraints_scan(g):
     return ic.to_frames(g.spark, ic.parse_yaml(DOCUMENT))[2].select("name", "kind", "scope", "target", "severity")
 
 
-_VALID = BASE + """, p as (select project_id, version, canonical_path as path from n where canonical_path is not null),
+_VALID = BASE + """, p as (select project_id, version, path from (select distinct project_id, version, nullif(lower(trim(id, e' \\t\\r\\n')), '') id, canonical_path as path from nodes where canonical_path is not null and id is not null)),
 bad as (select distinct project_id, version, path, case when not starts_with(path, '/') then 'missing_leading_slash' when path = '/' then 'empty_segment' when ends_with(path, '/') then 'trailing_slash' when contains(path, '//') then 'empty_segment' when not regexp_full_match(path, '(/[a-z0-9-]+)+') then 'invalid_segment' end problem from p)
 select project_id, version, path, problem, true is_error from bad where problem is not null union all select project_id, version, path, 'duplicate_path', true from p group by all having count(*) > 1"""
 
 
 @query(_VALID)
 def src_validate_document(g):
-    nodes = g.nodes.filter("canonical_path is not null").select(*SNAP, "canonical_path")
+    """The nodes as delivered, before their paths are brought to the normal form."""
+    nodes = g.raw("nodes").filter("canonical_path is not null and id is not null").select(*SNAP, norm_id(F.col("id")).alias("id"), "canonical_path").distinct().drop("id")
     return ic.check_rows(nodes, rl.path_edges(g.edges, g.nodes).select(*SNAP, F.col("source_path").alias("source"), F.col("target_path").alias("target")), SNAP)
 
 
@@ -767,9 +815,11 @@ def snk_store_reset(g):
     return g.spark.createDataFrame([(s.read("projects").count(),)], "left_over long")
 
 
-@query(BASE + "select project_id, version, count(*) n from m group by all")
+@query(BASE + "select project_id, version, path, case when language = 'go' then 'patched' else hash end hash from m")
 def snk_put_manifest(g):
-    return upsert(g.manifest, g.manifest.limit(0), ["path"]).groupBy(*SNAP).agg(F.count(F.lit(1)).alias("n"))
+    """All files, with those in Go put again under another hash."""
+    new = g.manifest.filter("language = 'go'").withColumn("hash", F.lit("patched"))
+    return upsert(g.manifest, new, ["path"]).select(*SNAP, "path", "hash")
 
 
 @query("select * from (values ('c1', 'new')) v(id, message)")
@@ -811,27 +861,27 @@ def _edge_part(lines):
 
 @query(_EDGE_LINES.format(line="'    ' || translate(ltrim(a.canonical_path, '/'), '/-', '__') || ' -> ' || translate(ltrim(b.canonical_path, '/'), '/-', '__') || ' [label=\"' || e.kind || '\"];'"))
 def snk_export_dot_edges(g):
-    return _edge_part(ex.dot_lines(g.nodes, _plain_edges(g), _closure(g)))
+    return _edge_part(ex.dot_lines(g.nodes, _plain_edges(g), _links(g)))
 
 
 @query()
 def snk_export_dot(g):
-    return ex.ordered(ex.dot_lines(g.nodes, _plain_edges(g), _closure(g))).select(*SNAP, "part", "line")
+    return ex.ordered(ex.dot_lines(g.nodes, _plain_edges(g), _links(g))).select(*SNAP, "part", "line")
 
 
 @query(_EDGE_LINES.format(line="'    ' || translate(ltrim(a.canonical_path, '/'), '/-', '__') || ' -->|' || e.kind || '| ' || translate(ltrim(b.canonical_path, '/'), '/-', '__')"))
 def snk_export_mermaid_edges(g):
-    return _edge_part(ex.mermaid_lines(g.nodes, _plain_edges(g), _closure(g)))
+    return _edge_part(ex.mermaid_lines(g.nodes, _plain_edges(g), _links(g)))
 
 
 @query()
 def snk_export_mermaid(g):
-    return ex.ordered(ex.mermaid_lines(g.nodes, _plain_edges(g), _closure(g))).select(*SNAP, "part", "line")
+    return ex.ordered(ex.mermaid_lines(g.nodes, _plain_edges(g), _links(g))).select(*SNAP, "part", "line")
 
 
 @query()
 def snk_web_flowchart(g):
-    return ex.ordered(ex.mermaid_lines(g.nodes, _plain_edges(g), _closure(g))).select(*SNAP, "line")
+    return ex.ordered(ex.mermaid_lines(g.nodes, _plain_edges(g), _links(g))).select(*SNAP, "line")
 
 
 @query(BASE + ", d as (select * from e where kind in ('data_flow', 'calls')) select n.project_id, n.version, n.id from n where exists (select 1 from d where d.project_id = n.project_id and d.version = n.version and (d.source = n.id or d.target = n.id))")
@@ -854,7 +904,7 @@ def snk_web_sequence_lines(g):
 @query(CLOSURE + "select e.project_id, e.version, '    Rel(' || regexp_replace(e.source, '[^A-Za-z0-9]', '_', 'g') || ', ' || regexp_replace(e.target, '[^A-Za-z0-9]', '_', 'g') || ', \"' || e.kind || '\")' as line from e where e.kind <> 'contains' and e.source is not null and e.target is not null and not exists (select 1 from pe where pe.project_id = e.project_id and pe.version = e.version and pe.parent in (e.source, e.target))")
 def snk_web_c4(g):
     e = g.edges.filter("kind <> 'contains' and source is not null and target is not null")
-    return _edge_part(ex.c4_lines(g.nodes, e, _closure(g)))
+    return _edge_part(ex.c4_lines(g.nodes, e, _links(g)))
 
 
 @query()
@@ -890,9 +940,22 @@ def snk_export_svg(g):
 # --- incremental analysis, extension points ---------------------------------------------------------------------------------------------
 
 
+_UNITS = BASE + """, mp as (select * from (select project_id, version from_version, lead(version) over (partition by project_id order by version) to_version from (select distinct project_id, version from m)) where to_version is not null),
+u as (select distinct project_id, version, unit_name from m), ch as (select distinct project_id, to_version as version, unit_name from (select project_id, from_version, to_version, coalesce(b.unit_name, a.unit_name) unit_name, a.hash ah, b.hash bh
+  from (select mp.*, m.path, m.hash, m.unit_name from mp join m on m.project_id = mp.project_id and m.version = mp.from_version) a full join (select mp.*, m.path, m.hash, m.unit_name from mp join m on m.project_id = mp.project_id and m.version = mp.to_version) b using (project_id, from_version, to_version, path)) where ah is distinct from bh)
+"""
+
+
+@query(_UNITS + "select u.project_id, u.version, u.unit_name from u left join ch using (project_id, version, unit_name) where ch.unit_name is not null or u.version = (select min(version) from u x where x.project_id = u.project_id)")
+def inc_units_to_parse(g):
+    from graphloom.operators.incremental import units_to_parse
+
+    return units_to_parse(g.manifest, sc.snapshot_pairs(g.manifest)).distinct()
+
+
 @query()
 def inc_analyze(g):
-    """Items of the next version: files of unchanged units are taken over, the others are parsed again."""
+    """The items of every version: rows of unchanged units are taken over, the others parsed again."""
     from graphloom.operators.incremental import analyse
 
     items, _ = analyse(g.manifest, it.counting_files(g.raw("source_files")), sc.snapshot_pairs(g.manifest))
@@ -984,8 +1047,7 @@ def flt_view_pipeline(g):
     from graphloom.api import SnapshotView
 
     v = SnapshotView(g.nodes, g.edges)
-    v.closure = _closure(g)
-    roots = g.nodes.select(*SNAP, "id").join(_closure(g).select(*SNAP, F.col("node").alias("id")).distinct(), [*SNAP, "id"], "left_anti")
+    roots = v.links.filter("parent is null").select(*SNAP, F.col("node").alias("id"))
     return v.view(None, roots, edge_kinds=["depends", "calls"])[1]
 
 
@@ -1022,16 +1084,12 @@ def fn_resolve_scoped_call(g):
     return t.select("call", fx.scoped_call(F.col("call"), F.lit("a::S"), F.lit("a::b"), F.create_map(F.lit("Map"), F.lit("std::Map"))).alias("target"))
 
 
-@query(BASE + ", u as (select distinct project_id, version, unit_name from m), mp as (select * from (select project_id, version from_version, lead(version) over (partition by project_id order by version) to_version from (select distinct project_id, version from m)) where to_version is not null) select u.project_id, mp.to_version as version, u.unit_name from u join mp on mp.project_id = u.project_id and mp.from_version = u.version anti join u u2 on u2.project_id = u.project_id and u2.version = mp.to_version and u2.unit_name = u.unit_name")
+@query(BASE + ", u as (select distinct project_id, version, path from m), mp as (select * from (select project_id, version from_version, lead(version) over (partition by project_id order by version) to_version from (select distinct project_id, version from m)) where to_version is not null) select u.project_id, mp.to_version as version, u.path from u join mp on mp.project_id = u.project_id and mp.from_version = u.version anti join u u2 on u2.project_id = u.project_id and u2.version = mp.to_version and u2.path = u.path")
 def inc_ghosts(g):
-    from graphloom.operators.incremental import removed_units
-
-    return removed_units(g.manifest, sc.snapshot_pairs(g.manifest))
-
+    """Files whose rows must not be taken over into the next version."""
+    from graphloom.operators.incremental import removed
 
-@query(ORACLES["agg_rollup_service"])
-def agg_aggregated_edges(g):
-    return ag.rollup(g.edges, ag.ancestor_of_kind(g.nodes, _closure(g), "service"), "holder")
+    return removed(g.manifest, sc.snapshot_pairs(g.manifest), "path")
 
 
 @query("select unnest(['analyze', 'check', 'compact', 'diff', 'export', 'import', 'info', 'init', 'plugins', 'push', 'reset', 'roots']) as command")

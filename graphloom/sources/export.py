@@ -11,22 +11,19 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import export_id, web_id
 from graphloom.graph import SNAP
-from graphloom.operators.traversal import tree_pairs
+from graphloom.operators.trees import climb
 
 _LAST = "\U0010ffff"
 
 
-def placed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """SNAP, id, canonical_path, name, kind, place (array), level, is_parent of all nodes not on or below a cycle."""
-    t = tree_pairs(pairs)
-    names = nodes.select(*SNAP, F.col("id").alias("ancestor"), F.concat("canonical_path", F.lit("\0"), "id").alias("p"))
-    up = t.join(names, [*SNAP, "ancestor"]).groupBy(*SNAP, F.col("node").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "p"))).alias("up"))
-    below = pairs.select(*SNAP, F.col("node").alias("id")).distinct().join(t.select(*SNAP, F.col("node").alias("id")).distinct(), [*SNAP, "id"], "left_anti")
-    parents = t.filter("dist = 1").select(*SNAP, F.col("ancestor").alias("id"), F.lit(True).alias("is_parent")).distinct()
-    n = nodes.join(below, [*SNAP, "id"], "left_anti").join(up, [*SNAP, "id"], "left").join(parents, [*SNAP, "id"], "left")
-    own = F.array(F.concat("canonical_path", F.lit("\0"), "id"))
-    place = F.concat(F.coalesce(F.transform("up", lambda x: x.p), F.array().cast("array<string>")), own)
-    return n.select(*SNAP, "id", "canonical_path", "name", "kind", place.alias("place"), (F.size(place) - 1).alias("level"), F.coalesce("is_parent", F.lit(False)).alias("is_parent"))
+def placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """SNAP, id, canonical_path, name, kind, place (array), level, is_parent of all nodes not on or below a cycle. links: SNAP, node, parent."""
+    name = F.concat(F.coalesce("canonical_path", F.lit("")), F.lit("\0"), "node")
+    own = links.join(nodes.select(*SNAP, F.col("id").alias("node"), "canonical_path"), [*SNAP, "node"], "left")
+    lines = climb(own, {"line": F.array(name)}, lambda a, b: {"line": F.concat(a["line"], b["line"])}).filter("ptr is null").select(*SNAP, F.col("node").alias("id"), F.reverse("line").alias("place"))
+    parents = links.filter("parent is not null").select(*SNAP, F.col("parent").alias("id"), F.lit(True).alias("is_parent")).distinct()
+    n = nodes.join(lines, [*SNAP, "id"]).join(parents, [*SNAP, "id"], "left")
+    return n.select(*SNAP, "id", "canonical_path", "name", "kind", "place", (F.size("place") - 1).alias("level"), F.coalesce("is_parent", F.lit(False)).alias("is_parent"))
 
 
 def _nested(n: DataFrame, opens: Column, leaf: Column, closes: str, indent: int) -> DataFrame:
@@ -57,9 +54,9 @@ def text_of(lines: DataFrame, project: str, version: int) -> str:
     return "\n".join(r[0] for r in rows) + "\n"
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def dot_lines(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
     """edges: SNAP, edge_id, source_path, target_path, kind without containment."""
-    n = placed(nodes, pairs)
+    n = placed(nodes, links)
     snaps = nodes.select(*SNAP).distinct()
     sid, label = export_id(F.col("canonical_path")), F.replace(F.col("canonical_path"), F.lit('"'), F.lit('\\"'))
     opens = F.concat(F.lit("subgraph cluster_"), sid, F.lit(" {"))
@@ -70,22 +67,22 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame
     return head.unionByName(body).unionByName(inner).unionByName(e).unionByName(_fixed(snaps, 3, ["}"]))
 
 
-def mermaid_lines(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    n = placed(nodes, pairs)
+def mermaid_lines(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    n = placed(nodes, links)
     sid, label = export_id(F.col("canonical_path")), F.replace(F.col("canonical_path"), F.lit('"'), F.lit("#quot;"))
     box = F.concat(sid, F.lit('["'), label, F.lit('"]'))
     e = _edge_lines(edges, F.concat(F.lit("    "), export_id(F.col("source_path")), F.lit(" -->|"), "kind", F.lit("| "), export_id(F.col("target_path"))))
     return _fixed(nodes.select(*SNAP).distinct(), 0, ["flowchart TD"]).unionByName(_nested(n, F.concat(F.lit("subgraph "), box), box, "end", 4)).unionByName(e)
 
 
-def c4_lines(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def c4_lines(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
     """Relations only between leaves: a boundary cannot end one."""
-    n = placed(nodes, pairs)
+    n = placed(nodes, links)
     k, sid = F.col("kind"), web_id(F.col("id"))
     args = F.concat(F.lit("("), sid, F.lit(', "'), F.coalesce("name", "id"), F.lit('")'))
     opens = F.concat(F.when(k == "system", "System_Boundary").when(k == "service", "Container_Boundary").otherwise("Boundary"), args, F.lit(" {"))
     leaf = F.concat(F.when(k == "system", "System").when(k == "service", "Container").otherwise("Component"), args)
-    held = pairs.filter("dist = 1").select(*SNAP, F.col("ancestor").alias("x")).distinct()
+    held = links.filter("parent is not null").select(*SNAP, F.col("parent").alias("x")).distinct()
     e = edges.join(held.withColumnRenamed("x", "source"), [*SNAP, "source"], "left_anti").join(held.withColumnRenamed("x", "target"), [*SNAP, "target"], "left_anti")
     line = F.concat(F.lit("    Rel("), web_id(F.col("source")), F.lit(", "), web_id(F.col("target")), F.lit(', "'), "kind", F.lit('")'))
     rel = e.select(*SNAP, F.lit(2).alias("part"), F.array("source", "target", "kind", "id").alias("place"), line.alias("line"))

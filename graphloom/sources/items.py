@@ -147,19 +147,20 @@ def _parse_braces(text: str, path: str, language: str) -> Parsed:
     waiting: tuple[str, str] | None = None
     spans: list[tuple[int, int, str]] = []
     begun: list[int] = []
+    since = 0  # what stands before a declaration begins after the brace, semicolon or declaration before it
     for m in _SCANNERS[language].finditer(bare):
-        kind = m.lastgroup
         if m["open"]:
             stack.append(waiting)
             begun.append(m.start())
-            waiting = None
+            waiting, since = None, m.end()
         elif m["close"]:
+            since = m.end()
             if stack:
                 top, at = stack.pop(), begun.pop()
                 if top and top[1] in ("function", "method", "constructor"):
                     spans.append((at, m.start(), top[0]))
         elif m["semi"]:
-            waiting = None
+            waiting, since = None, m.end()
         else:
             i = next(k for k in range(len(_DECLARE[language])) if m[f"d{k}"] is not None)
             _, sub, owns = _DECLARE[language][i]
@@ -181,9 +182,10 @@ def _parse_braces(text: str, path: str, language: str) -> Parsed:
                 continue
             qn = f"{owner}::{name}"
             is_method = sub == "function" and inside is not None and inside[1] in ("impl", "trait", "class")
-            out.item(qn, "method" if is_method and language != "rust" else sub, owner, line_at(m.start()), _tags(language, bare, text, m.start(), name, path))
+            out.item(qn, "method" if is_method and language != "rust" else sub, owner, line_at(m.start()), _tags(language, bare[since : m.start()], name, path))
             if language in ("typescript", "java") and sub in ("class", "interface"):
-                head = bare[m.end() : m.end() + 400].split("{")[0]
+                opens = bare.find("{", m.end())
+                head = bare[m.end() : opens if opens >= 0 else len(bare)]
                 for word, rel in (("extends", "extends"), ("implements", "implements")):
                     if h := re.search(rf"\b{word}\s+([\w$., <>]+?)(?=\bimplements\b|$)", head):
                         for t in re.sub(r"<[^<>]*>", "", h[1]).split(","):
@@ -204,8 +206,8 @@ def _group_end(language: str, i: int) -> int:
     return sum(re.compile(p).groups + 1 for p, _, _ in _DECLARE[language][: i + 1])
 
 
-def _tags(language: str, bare: str, text: str, at: int, name: str, path: str) -> list[str]:
-    before = bare[max(0, at - 120) : at]
+def _tags(language: str, before: str, name: str, path: str) -> list[str]:
+    """before: the text between the end of what stands before the declaration and its keyword."""
     test = (
         (language == "rust" and re.search(r"#\[(?:\w+::)*test\b[^\]]*\]\s*(?:pub\s+)?(?:async\s+)?$", before))
         or (language == "typescript" and re.search(r"\.(?:test|spec)\.|__tests__", path))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from graphloom.graph import SNAP
 from graphloom.operators import relations as rl
-from graphloom.operators import traversal as tv
+from graphloom.operators import trees as tr
 from graphloom.operators.incremental import analyse
 from graphloom.operators.snapshot_changes import snapshot_pairs
 from graphloom.sources import export as ex
@@ -76,7 +76,7 @@ def test_diagrams(spark):
     ns = [node("app", "/app", kind="system"), node("core", "/app/core"), node("cli", "/app/cli"), node("model", "/app/core/model")]
     es = [edge("1", "app", "core"), edge("2", "app", "cli"), edge("3", "core", "model"), edge("4", "cli", "core", "depends")]
     n, e = spark.createDataFrame(ns, NODES), spark.createDataFrame(es, EDGES)
-    pairs = tv.closure(tv.parent_edges(e, n))
+    pairs = tr.parent_table(n, e)
     paths = rl.path_edges(e.filter("kind <> 'contains'"), n)
     assert ex.text_of(ex.mermaid_lines(n, paths, pairs), "p", 1) == (
         'flowchart TD\n    subgraph app["/app"]\n        app_cli["/app/cli"]\n        subgraph app_core["/app/core"]\n            app_core_model["/app/core/model"]\n        end\n    end\n    app_cli -->|depends| app_core\n'
@@ -116,8 +116,15 @@ def test_incremental(spark):
     m = spark.createDataFrame([("p", 1, "a.py", "h1", "u", "python"), ("p", 1, "b.py", "h2", "w", "python"), ("p", 2, "a.py", "h9", "u", "python"), ("p", 2, "b.py", "h2", "w", "python")], "project_id string, version long, path string, hash string, unit_name string, language string")
     files = spark.createDataFrame([("a.py", "def f(): ...\ndef g(): ...\n"), ("b.py", "def h(): ...\n")], "path string, content string")
     out, _ = analyse(m, files, snapshot_pairs(m))
-    got = {(r["version"], r["unit_name"]): (r["n_items"], r["parsed"]) for r in out.collect()}
-    assert got == {(1, "u"): (2, True), (1, "w"): (1, True), (2, "u"): (2, True), (2, "w"): (1, False)}
+    got = sorted((r["version"], r["unit_name"], r["name"], r["copied"]) for r in out.collect())
+    assert got == [(1, "u", "f", False), (1, "u", "g", False), (1, "w", "h", False), (2, "u", "f", False), (2, "u", "g", False), (2, "w", "h", True)]
+
+
+def test_long_headers_and_comments():
+    java = it.PARSERS["java"]("class A extends B<" + "x.y.Z, " * 100 + "Q> implements I {\n}\n", "src/A.java")
+    assert {(r["target"], r["kind"]) for r in java.relations} >= {("B", "extends"), ("I", "implements")}
+    rust = it.PARSERS["rs"]("fn a() {}\n#[test]\n// " + "long " * 60 + "\nfn b() {}\n", "crates/x/src/a.rs")
+    assert [(i["name"], i["tags"]) for i in rust.items] == [("a", []), ("b", ["test"])]
 
 
 def test_registry():
