@@ -18,6 +18,8 @@ from graphloom.tables import latest, packed_edges, unpack_id
 def degrees(edges: DataFrame, kind: str = "depends") -> DataFrame:
     """id (packed), n_in, n_out over the counting rows of ``kind`` of all projects and versions."""
     e = packed_edges(edges, (F.col("kind") == kind).alias("of_kind"))
+    # Deliveries of other kinds are only needed to tell which delivery counts, so their ends stay behind.
+    e = e.withColumns({end: F.when(F.col("of_kind"), F.col(end)) for end in ("src", "tgt")})
     e = latest(e, ["project_id", "version", "edge"]).filter("of_kind")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     states = F.explode(F.array(F.struct(F.col("tgt").alias("id"), one.alias("i"), none.alias("o")), F.struct(F.col("src").alias("id"), none.alias("i"), one.alias("o"))))
