@@ -20,12 +20,16 @@ from graphloom.tables import norm_id, pack_id, packed_edges, packed_nodes, super
 KEY = ["project_id", "version", "ref"]
 
 
-def reference_deltas(edges: DataFrame) -> DataFrame:
-    """project_id, version, edge, endpoint, ref, loaded_at, delta: one row per delivery and end.
+def delivered(edges: DataFrame) -> DataFrame:
+    """project_id, version, edge, src, tgt, loaded_at, delta of every delivery.
 
     delta is +1 for the delivery that counts; for a replaced one the +1 and the -1 are already summed to 0.
     """
-    e = packed_edges(edges).withColumn("delta", F.when(superseded(["project_id", "version", "edge"]), 0).otherwise(1))
+    return packed_edges(edges).withColumn("delta", F.when(superseded(["project_id", "version", "edge"]), 0).otherwise(1))
+
+
+def reference_deltas(e: DataFrame) -> DataFrame:
+    """project_id, version, edge, endpoint, ref, loaded_at, delta: one row per delivery (of ``delivered``) and end."""
     ends = F.explode(F.array(F.struct(F.lit("source").alias("endpoint"), F.col("src").alias("ref")), F.struct(F.lit("target").alias("endpoint"), F.col("tgt").alias("ref"))))
     e = e.select("project_id", "version", "edge", "loaded_at", "delta", ends.alias("end"))
     return e.select("project_id", "version", "edge", "loaded_at", "delta", "end.endpoint", "end.ref").filter(F.col("ref").isNotNull())
@@ -44,8 +48,13 @@ def merge_counts(*states: DataFrame) -> DataFrame:
 
 def reference_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The state per key: refs, exists, first_loaded (of the node), first_ref (of the earliest counting reference)."""
+    return counts_of(delivered(edges), nodes)
+
+
+def counts_of(deliveries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """reference_counts of edges whose deltas are known."""
     never = F.lit(None).cast("timestamp")
-    refs = reference_deltas(edges).select(*KEY, F.col("delta").cast("long").alias("refs"), F.lit(0).cast("long").alias("exists"), never.alias("first_loaded"), F.when(F.col("delta") > 0, F.col("loaded_at")).alias("first_ref"))
+    refs = reference_deltas(deliveries).select(*KEY, F.col("delta").cast("long").alias("refs"), F.lit(0).cast("long").alias("exists"), never.alias("first_loaded"), F.when(F.col("delta") > 0, F.col("loaded_at")).alias("first_ref"))
     there = existence_deltas(nodes).select(*KEY, F.lit(0).cast("long").alias("refs"), F.lit(1).cast("long").alias("exists"), F.col("loaded_at").alias("first_loaded"), never.alias("first_ref"))
     return merge_counts(refs, there)
 
@@ -63,8 +72,9 @@ def orphan_keys(counts: DataFrame, nodes: DataFrame, shared_nodes: DataFrame) ->
 
 def orphan_references(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFrame) -> DataFrame:
     """project_id, version, edge_id, endpoint, reason, loaded_at of every orphan or late reference."""
-    keys = write_table(orphan_keys(reference_counts(edges, nodes), nodes, shared_nodes), "orphan-keys")
-    live = reference_deltas(edges).filter(F.col("delta") > 0).drop("delta")
+    deliveries = write_table(delivered(edges).filter(F.col("src").isNotNull() | F.col("tgt").isNotNull()), "deliveries")  # read for the counts and for the references
+    keys = write_table(orphan_keys(counts_of(deliveries, nodes), nodes, shared_nodes), "orphan-keys")
+    live = reference_deltas(deliveries.filter(F.col("delta") > 0)).drop("delta")
     total = keys.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
     least = max(HOT_ROWS, HOT_SHARE * total)  # at most 1/HOT_SHARE keys reach the driver
     hot = [r[0] for r in keys.filter(F.col("refs") >= least).select(F.xxhash64(*KEY)).collect()]
