@@ -20,6 +20,13 @@ _LEX = re.compile(r"\s*(?:#[^\n]*\n\s*)*('(?:\\.|[^'])*'|@?[A-Za-z_]\w*(?:\^|!(?
 END = "<end>"
 ASI = "%asi"
 NL = 1 << 16  # added to a token id: a line break stands before it
+#: Tokens that end a stretch.
+STRETCH_ENDS = [";", "{", "}", "NEWLINE", "INDENT", "DEDENT"]
+#: Stretches remembered at most, and the mark of those that need more than one stack.
+MOST_LEAPS = 200_000
+#: Stretches that are tried together.
+TOGETHER = 4
+FORKS: dict = {}
 
 
 class Node:
@@ -168,6 +175,12 @@ class Grammar:
         self.asi = self.ids.get(ASI, -1)
         self.closers = {self.ids[t] for t in ("}", END) if t in self.ids}
         self.moves: list[dict[int, tuple | None]] = [{} for _ in self.term]
+        self.leaps: dict[tuple[int, str], dict] = {}
+        self.lines: dict[str, list[int]] = {}  # tokens of lines, kept by the lexers
+        self.watched: dict[Node, int] = {}  # nodes of the stack that a stretch begins with, by depth
+        self.deepest = 0  # so many of them have been looked at
+        ends = "".join(re.escape(chr(self.ids[t] | nl)) for t in STRETCH_ENDS if t in self.ids for nl in (0, NL))
+        self.cut = re.compile(f"[^{ends}]*[{ends}]|[^{ends}]+" if ends else "[^\\0]+|\\0", re.S).findall
 
     def _automaton(self, name, body, sets, any_ids) -> None:
         eps: list[list[int]] = []
@@ -326,102 +339,186 @@ class Grammar:
         return found
 
     def recognise(self, tokens: Sequence[int]) -> int:
-        """-1 if the tokens (closed by END) form the start symbol, else the index of the first token that fits nowhere."""
-        moves, root = self.moves, Node()
-        active: list[tuple[int, Node]] = [(self.start, root)]
-        for i, t in enumerate(tokens):
-            nodes: dict[int, Node] = {}
+        """-1 if the tokens (closed by END) form the start symbol, else the index of the first token that fits nowhere.
+
+        The tokens are taken in stretches that end with a bracket of a block or the end of a statement. What a stretch does to a
+        single stack is remembered: the return states it takes off, those it puts on, and the state it ends in.
+        """
+        active: list[tuple[int, Node]] = [(self.start, Node())]
+        i = at = 0
+        stretches = self.cut("".join(map(chr, tokens)))
+        while at < len(stretches):
+            taken = stretches[at]
             if len(active) == 1:
-                s, node = active[0]
-                while True:  # as long as one move is open, no descriptor is kept
-                    m = moves[s]
-                    a = m[t] if t in m else self.move(s, t)
-                    if a is None:
-                        return i
-                    if len(a) > 1:
+                # A stretch at whose end several stacks are left is taken together with those after it.
+                for more in range(at + 1, at + 1 + TOGETHER):
+                    after = self._leap(*active[0], taken)
+                    if after is not None or more >= len(stretches):
                         break
-                    a = a[0]
-                    k = a[0]
-                    if k == 0:
-                        s = a[1]
-                        active = [(s, node)]
-                        s = -1
-                        break
-                    if k == 2:
-                        e = node.edges
-                        if len(e) != 1:
-                            if not e:
-                                return i
-                            break
-                        s, node = e[0]
-                    elif k == 5:
-                        shared = False
-                        for b, to in a[1]:
-                            old = nodes.get(b)
-                            if old is not None:
-                                old.edges.append((to, node))
-                                shared = True
-                                break
-                            new = nodes[b] = Node()
-                            new.edges.append((to, node))
-                            node = new
-                        if shared:
-                            return i  # a left recursion without an exit on this token
-                        active = [(a[2], node)]
-                        s = -1
+                    taken += stretches[more]
+                if after is not None:
+                    active, i, at = [after], i + len(taken), more
+                    continue
+            for c in stretches[at]:
+                active = self._step(active, ord(c))
+                if active is None:
+                    return i
+                i += 1
+            at += 1
+        return -1
+
+    def _leap(self, s: int, node: Node, stretch: str) -> tuple[int, Node] | None:
+        """The state and stack after a stretch that begins and ends with one stack."""
+        known = self.leaps.get((s, stretch))
+        if known is FORKS:
+            return None
+        if known is None:
+            if len(self.leaps) > MOST_LEAPS:
+                self.leaps.clear()
+            known = self.leaps[s, stretch] = {}
+        for size, by_returns in known.items():
+            line, returns = [node], []
+            while len(returns) < size and len(line[-1].edges) == 1:
+                r, below = line[-1].edges[0]
+                returns.append(r)
+                line.append(below)
+            found = by_returns.get(tuple(returns)) if len(returns) == size else None
+            if found is not None:
+                at = line[found[0]]
+                for r in found[1]:
+                    new = Node()
+                    new.edges.append((r, at))
+                    at = new
+                return found[2], at
+        return self._learn(s, node, stretch, known)
+
+    def _learn(self, s: int, node: Node, stretch: str, known: dict) -> tuple[int, Node] | None:
+        """Take a stretch token by token and remember what it does to the stack, whatever forks meet again within it.
+
+        It holds for every stack with the same return states as far down as any branch has looked. None where several stacks are
+        left or a token fits nowhere.
+        """
+        line, depth = [node], {node: 0}
+        while len(line[-1].edges) == 1 and len(line) < 200:
+            line.append(line[-1].edges[0][1])
+            depth[line[-1]] = len(line) - 1
+        self.watched, self.deepest = depth, 0
+        active: list[tuple[int, Node]] | None = [(s, node)]
+        for c in stretch:
+            active = self._step(active, ord(c))
+            if active is None:
+                break
+        looked, self.watched = self.deepest, {}
+        if active is None:
+            return None
+        if len(active) == 1 and looked < len(line):
+            end, at = active[0]
+            on = []
+            while at not in depth and len(at.edges) == 1:
+                r, at = at.edges[0]
+                on.append(r)
+            if at in depth and depth[at] <= looked:
+                known.setdefault(looked, {})[tuple(x.edges[0][0] for x in line[:looked])] = (depth[at], tuple(reversed(on)), end)
+                return active[0]
+        self.leaps[s, stretch] = FORKS
+        return None
+
+    def _step(self, active: list[tuple[int, Node]], t: int) -> list[tuple[int, Node]] | None:
+        """The descriptors after a token, None if it fits nowhere."""
+        moves, watched = self.moves, self.watched
+        nodes: dict[int, Node] = {}
+        if len(active) == 1:
+            s, node = active[0]
+            while True:  # as long as one move is open, no descriptor is kept
+                m = moves[s]
+                a = m[t] if t in m else self.move(s, t)
+                if a is None:
+                    return None
+                if len(a) > 1:
+                    break
+                a = a[0]
+                k = a[0]
+                if k == 0:
+                    s = a[1]
+                    active = [(s, node)]
+                    s = -1
+                    break
+                if k == 2:
+                    if node in watched and watched[node] >= self.deepest:
+                        self.deepest = watched[node] + 1
+                    e = node.edges
+                    if len(e) != 1:
+                        if not e:
+                            return None
                         break
-                    elif k == 1:
-                        old = nodes.get(a[1])
+                    s, node = e[0]
+                elif k == 5:
+                    shared = False
+                    for b, to in a[1]:
+                        old = nodes.get(b)
                         if old is not None:
+                            old.edges.append((to, node))
+                            shared = True
                             break
-                        new = nodes[a[1]] = Node()
-                        new.edges.append((a[2], node))
-                        s, node = a[1], new
-                    else:  # 3, 4
-                        s = a[1]
-                if s == -1:
-                    continue
-                active = [(s, node)]
-            work, seen, after = list(active), set(active), {}
-            while work:
-                s, node = work.pop()
-                m = moves[s]
-                found = m[t] if t in m else self.move(s, t)
-                if found is None:
-                    continue
-                for a in found:
-                    k = a[0]
-                    if k == 0:
-                        after[(a[1], node)] = None
-                    elif k == 2:
-                        for d in node.edges:
-                            if d not in seen:
-                                seen.add(d)
-                                work.append(d)
-                    elif k == 1 or k == 5:
-                        at, fresh = node, True
-                        for b, to in ((a[1], a[2]),) if k == 1 else a[1]:
-                            edge = (to, at)
-                            at = nodes.get(b)
-                            if at is None:
-                                at = nodes[b] = Node()
+                        new = nodes[b] = Node()
+                        new.edges.append((to, node))
+                        node = new
+                    if shared:
+                        return None  # a left recursion without an exit on this token
+                    active = [(a[2], node)]
+                    s = -1
+                    break
+                elif k == 1:
+                    old = nodes.get(a[1])
+                    if old is not None:
+                        break
+                    new = nodes[a[1]] = Node()
+                    new.edges.append((a[2], node))
+                    s, node = a[1], new
+                else:  # 3, 4
+                    s = a[1]
+            if s == -1:
+                return active
+            active = [(s, node)]
+        work, seen, after = list(active), set(active), {}
+        while work:
+            s, node = work.pop()
+            m = moves[s]
+            found = m[t] if t in m else self.move(s, t)
+            if found is None:
+                continue
+            for a in found:
+                k = a[0]
+                if k == 0:
+                    after[(a[1], node)] = None
+                elif k == 2:
+                    if node in watched and watched[node] >= self.deepest:
+                        self.deepest = watched[node] + 1
+                    for d in node.edges:
+                        if d not in seen:
+                            seen.add(d)
+                            work.append(d)
+                elif k == 1 or k == 5:
+                    at, fresh = node, True
+                    for b, to in ((a[1], a[2]),) if k == 1 else a[1]:
+                        edge = (to, at)
+                        at = nodes.get(b)
+                        if at is None:
+                            at = nodes[b] = Node()
+                            at.edges.append(edge)
+                        else:
+                            if edge not in at.edges:
                                 at.edges.append(edge)
-                            else:
-                                if edge not in at.edges:
-                                    at.edges.append(edge)
-                                fresh = False
-                                if k == 5:
-                                    break
-                        if k == 5:
-                            if fresh:
-                                after[(a[2], at)] = None
-                        elif (a[1], at) not in seen:
-                            seen.add((a[1], at))
-                            work.append((a[1], at))
-                    elif (d := (a[1], node)) not in seen:
-                        seen.add(d)
-                        work.append(d)
-            if not after:
-                return i
-            active = list(after)
-        return -1
+                            fresh = False
+                            if k == 5:
+                                break
+                    if k == 5:
+                        if fresh:
+                            after[(a[2], at)] = None
+                    elif (a[1], at) not in seen:
+                        seen.add((a[1], at))
+                        work.append((a[1], at))
+                elif (d := (a[1], node)) not in seen:
+                    seen.add(d)
+                    work.append(d)
+        return list(after) or None

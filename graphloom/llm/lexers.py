@@ -26,14 +26,43 @@ _RUST = re.compile(
     re.X,
 )
 _NEST = re.compile(r"/\*|\*/")
+#: Lines whose tokens are kept at most.
+_KEPT = 200_000
+
+
+def _by_line(text: str, lex, g: Grammar) -> list[int]:
+    """Tokens of a text none of whose tokens may cross a line, with those of every line kept; LexError if one does."""
+    kept = g.lines
+    if len(kept) > _KEPT:
+        kept.clear()
+    out: list[int] = []
+    for line in text.split("\n"):
+        found = kept.get(line)
+        if found is None:
+            found = kept[line] = lex(line, g)
+        out += found
+    return out
+
+
+_RAW = re.compile(r'r#*"')
 
 
 def rust(text: str, g: Grammar) -> list[int]:
-    ids, other, out, i, n = g.ids, g.other, [], 0, len(text)
-    if text.startswith("﻿"):
-        i = 1
+    i = 1 if text.startswith("﻿") else 0
     if text.startswith("#!", i) and not re.match(r"#!\s*\[", text[i:]):
-        i = (text.find("\n", i) + 1) or n
+        i = (text.find("\n", i) + 1) or len(text)
+    text = text[i:]
+    if not _RAW.search(text):
+        # A string or comment that crosses a line is an error in its first line alone; then the text is read as a whole.
+        try:
+            return [*_by_line(text, _rust, g), g.ids[END]]
+        except LexError:
+            pass
+    return [*_rust(text, g), g.ids[END]]
+
+
+def _rust(text: str, g: Grammar) -> list[int]:
+    ids, other, out, i, n = g.ids, g.other, [], 0, len(text)
     lit, life, ident, match = ids["LIT"], ids["LIFETIME"], ids["IDENT"], _RUST.match
     while i < n:
         m = match(text, i)
@@ -63,7 +92,6 @@ def rust(text: str, g: Grammar) -> list[int]:
         elif kind != "ws":
             out.append(lit)
         i = end
-    out.append(ids[END])
     return out
 
 
@@ -82,9 +110,18 @@ _GO_ENDS = {"break", "continue", "fallthrough", "return", "++", "--", ")", "]",
 
 
 def go(text: str, g: Grammar) -> list[int]:
+    text = text.removeprefix("﻿")
+    if "/*" not in text:
+        # A string that crosses a line is an error in its first line alone; then the text is read as a whole.
+        try:
+            return [*_by_line(text, _go, g), g.ids[END]]
+        except LexError:
+            pass
+    return [*_go(text, g), g.ids[END]]
+
+
+def _go(text: str, g: Grammar) -> list[int]:
     ids, other, out, i, n = g.ids, g.other, [], 0, len(text)
-    if text.startswith("﻿"):
-        i = 1
     semi, number, string, char, ident, match = ids[";"], ids["NUMBER"], ids["STRING"], ids["CHAR"], ids["IDENT"], _GO.match
     ends = False
     while i < n:
@@ -112,7 +149,6 @@ def go(text: str, g: Grammar) -> list[int]:
             ends = True
     if ends:
         out.append(semi)
-    out.append(ids[END])
     return out
 
 

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from graphloom.llm import parsing
+from graphloom.llm import lexers, parsing
 from graphloom.llm.gll import END, Grammar
 
 GOOD = {
@@ -149,6 +149,43 @@ def test_against_brute_force():
             assert (g.recognise(_words(g, w)) < 0) == rules["S"](w), w
 
 
+def test_remembered_stretches_change_nothing():
+    """Random words, many of them alike, with and without what is remembered of stretches; the grammar forks within and across them."""
+    import random
+
+    rules = "S: X* ;\nX: E ';' | '{' S '}' | 'a' '{' S '}' 'b' ';' | 'a' '{' L '}' ;\nL: E ',' L | E | ;\nE: 'a' | 'b' E | E 'c' | '(' E ')' | 'a' '{' '}' ;"
+    plain, leaping = Grammar(rules, "S"), Grammar(rules, "S")
+    plain._leap = lambda *_: None
+    rng = random.Random(4)
+    pieces = ["a;", "ba;", "ac;", "{", "}", "a{", "}b;", "a,", "(a)c;", "a{};", "b", "c", ";", "a{a,a}"]
+    good = 0
+    for _ in range(4000):
+        word = "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))
+        want = plain.recognise(_words(plain, word))
+        assert leaping.recognise(_words(leaping, word)) == want, word
+        good += want < 0
+    assert good > 300 and leaping.leaps
+
+
+@pytest.mark.parametrize(("ext", "whole"), [("rs", lexers._rust), ("go", lexers._go)])
+def test_tokens_by_line_equal_tokens_of_the_whole(ext, whole):
+    lines = ["x := 1", "let s = 'a';", '"a" + "b"', '"open', "`raw", "// it's \"", "/* c */ a", "/* open", "*/", 'r#"a "b" c', '"#', "b'x'", "}", "'a: loop {", "", "\tf(1) //", 'b"x', "a /= 2"]
+    import random
+
+    rng, g = random.Random(7), parsing.dialects(ext)[0]
+
+    def tokens(lex, text):
+        try:
+            return list(lex(text, g))
+        except lexers.LexError:
+            return None
+
+    for _ in range(3000):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randrange(7)))
+        want = tokens(whole, text)
+        assert tokens(parsing.LANGUAGES[ext][0], text) == (None if want is None else [*want, g.ids[END]]), text
+
+
 def test_long_files_are_read_whole():
     body = "".join(f"pub fn f{i}(x: u64) -> u64 {{ x * {i} }}\n" for i in range(3000))
     assert not parsing.rejected("rs", body) and parsing.rejected("rs", body + "}")
