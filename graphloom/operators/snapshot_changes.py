@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.runtime import broadcast_if_small, hot_hashes, salted_join, union_all, write_table
+from graphloom.runtime import HOT_SHARE, broadcast_if_small, hot_hashes, salted_join, union_all, write_table
 from graphloom.tables import latest, norm_id, norm_path, pack_id, packed_edges, packed_nodes
 
 #: Mean number of keys in a chunk.
@@ -108,17 +108,19 @@ def path_key(path) -> F.Column:
 
 
 def resolved_edges(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFrame) -> DataFrame:
-    """project_id, version, s, t (path hashes), kind of the counting edges whose ends both resolve; not yet a set."""
+    """project_id, version, s, t (path hashes), kind of the counting edges whose ends both resolve, as a set."""
     at = latest(packed_nodes(nodes, path_key(norm_path(F.col("canonical_path"))).alias("at")), ["project_id", "version", "node"]).select("project_id", "version", "node", "at").filter(F.col("at").isNotNull())
     shared = shared_nodes.select(pack_id(norm_id(F.col("id"))).alias("node"), path_key(norm_path(F.col("canonical_path"))).alias("shared_at")).filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("shared_at").alias("shared_at"))
     shared = broadcast_if_small(shared)
     e = packed_edges(edges, F.coalesce("kind", F.lit("")).alias("kind"))
-    hot = [hot_hashes(e.select("project_id", "version", F.col(end).alias("node")).filter("node is not null"), ["project_id", "version", "node"]) for end in ("src", "tgt")]
+    # Hot ends of either side, told from all deliveries in one pass; one hot on one side only is salted on both.
+    ends = e.select("project_id", "version", F.explode(F.array("src", "tgt")).alias("node")).filter("node is not null")
+    hot = hot_hashes(ends, ["project_id", "version", "node"], HOT_SHARE / 2)
     e = latest(e, ["project_id", "version", "edge"]).filter(F.col("src").isNotNull() & F.col("tgt").isNotNull()).drop("loaded_at", "edge")
-    for end, name, spread, h in (("src", "s", "tgt", hot[0]), ("tgt", "t", "s", hot[1])):
+    for end, name, spread, h in (("src", "s", "tgt", hot), ("tgt", "t", "s", hot)):
         e = salted_join(e.withColumnRenamed(end, "node"), at, ["project_id", "version", "node"], "left", F.col(spread), h)
         e = e.join(shared, "node", "left").withColumn(name, F.coalesce("at", "shared_at")).drop("node", "at", "shared_at").filter(F.col(name).isNotNull())
-    return e.select("project_id", "version", "s", "t", "kind")
+    return e.select("project_id", "version", "s", "t", "kind").distinct()  # a set before it is ranged: ends joined by very many edges are one row
 
 
 def edge_changes(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
