@@ -34,12 +34,17 @@ def signature_transforms(sigs: DataFrame) -> DataFrame:
     return s.filter(project_local(F.col("source")) & project_local(F.col("target")) & (F.col("source") != F.col("target"))).distinct()
 
 
-def cross_module_flows(relations: DataFrame, sigs: DataFrame) -> DataFrame:
-    """source, target (modules), type: values handed over calls between modules, in the direction they go."""
+def called_signatures(relations: DataFrame, sigs: DataFrame) -> DataFrame:
+    """source, target, m1, p1, r1, m2, p2, r2: calls with module, parameters and returned type at both ends."""
     calls = relations.filter(F.col("kind") == "calls").select("source", "target").distinct()
     a = sigs.select(F.col("qualified_name").alias("source"), F.col("module").alias("m1"), F.col("params").alias("p1"), F.col("returns").alias("r1"))
     b = sigs.select(F.col("qualified_name").alias("target"), F.col("module").alias("m2"), F.col("params").alias("p2"), F.col("returns").alias("r2"))
-    c = calls.join(a, "source").join(b, "target").filter(F.col("m1") != F.col("m2"))
+    return calls.join(a, "source").join(b, "target")
+
+
+def cross_module_flows(relations: DataFrame, sigs: DataFrame) -> DataFrame:
+    """source, target (modules), type: values handed over calls between modules, in the direction they go."""
+    c = called_signatures(relations, sigs).filter(F.col("m1") != F.col("m2"))
     push = c.filter(F.array_contains("p2", F.col("r1"))).select(F.col("m1").alias("source"), F.col("m2").alias("target"), F.col("r1").alias("type"))
     pull = c.filter(F.array_contains("p1", F.col("r2"))).select(F.col("m2").alias("source"), F.col("m1").alias("target"), F.col("r2").alias("type"))
     return push.union(pull).distinct()
@@ -67,10 +72,25 @@ def map_to_graph(items: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
     return nodes, edges, warnings
 
 
-def reparent(items: DataFrame) -> DataFrame:
-    """qualified_name, parent, new_parent of items whose parent is unknown and whose short name is unique among the others."""
+def reparent(items: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """qualified_name, parent, new_parent of items whose parent is unknown: the type of the parent's short name that is the only one
+    in the item's crate; else the only one anywhere; of several the only one in a crate that this one depends on; else the
+    only one with the longest equal end of its path, of two names at least.
+
+    items: crate, qualified_name, sub_kind, parent; dependencies: crate, dependency (qualified names of crates).
+    """
     known = items.select(F.col("qualified_name").alias("parent")).distinct()
-    lost = items.filter("parent is not null").join(known, "parent", "left_anti").select("qualified_name", "parent")
-    short = items.select(F.substring_index("qualified_name", "::", -1).alias("short"), F.col("qualified_name").alias("new_parent")).distinct()
-    one = short.groupBy("short").agg(F.min("new_parent").alias("new_parent"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    return lost.withColumn("short", F.substring_index("parent", "::", -1)).join(one, "short").filter(F.col("new_parent") != F.col("qualified_name")).select("qualified_name", "parent", "new_parent")
+    lost = items.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("crate"))).select("crate", "qualified_name", "parent").distinct().join(known, "parent", "left_anti")
+    types = items.filter(F.col("sub_kind").isin("struct", "enum", "trait", "type_alias", "type-alias")).select(F.substring_index("qualified_name", "::", -1).alias("short"), F.col("qualified_name").alias("type"), F.col("crate").alias("holder")).distinct()
+    parents = lost.select("crate", "parent").distinct().withColumn("short", F.substring_index("parent", "::", -1))
+    c = parents.join(types, "short").join(dependencies.select("crate", F.col("dependency").alias("holder"), F.lit(True).alias("dep")).distinct(), ["crate", "holder"], "left")
+    own, theirs = F.reverse(F.split("parent", "::")), F.reverse(F.split("type", "::"))
+    same = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(own) - 1, F.size(theirs))), lambda k: (F.slice(own, F.lit(1), k) == F.slice(theirs, F.lit(1), k))), lambda x: x))
+    c = c.select("crate", "parent", "type", ((F.col("holder") == F.col("crate")) & F.startswith("parent", F.concat("crate", F.lit("::")))).alias("here"), F.coalesce("dep", F.lit(False)).alias("dep"), same.alias("same"))
+    ends = c.groupBy("crate", "parent", "same").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).groupBy("crate", "parent").agg(F.max(F.struct("same", "n", "type")).alias("end"))
+    per = c.groupBy("crate", "parent").agg(
+        F.count(F.lit(1)).alias("n"), F.min("type").alias("only"), F.count_if("here").alias("n_here"), F.min(F.when(F.col("here"), F.col("type"))).alias("at_home"), F.count_if("dep").alias("n_dep"), F.min(F.when(F.col("dep"), F.col("type"))).alias("of_dep")
+    )
+    found = F.when(F.col("n_here") == 1, F.col("at_home")).when(F.col("n") == 1, F.col("only")).when(F.col("n_dep") == 1, F.col("of_dep")).when((F.col("end.same") >= 2) & (F.col("end.n") == 1), F.col("end.type"))
+    new = per.join(ends, ["crate", "parent"]).select("crate", "parent", found.alias("new_parent")).filter("new_parent is not null")
+    return lost.join(new, ["crate", "parent"]).select("qualified_name", "parent", "new_parent")

@@ -430,80 +430,58 @@ def diff_snapshots(g):
 
 # --- type flow --------------------------------------------------------------------------------------------------------------------
 
-_ITEMS = [
-    ("app::api::load", "unit", "function", "load", "app::api", '{"param_types":[{"name":"id","type":"app::Id"}],"return_type":"app::Row"}'),
-    ("app::api::get_row", "unit", "function", "get_row", "app::api", '{"param_types":[{"name":"id","type":"app::Id"}],"return_type":"app::Row"}'),
-    ("app::db::find", "unit", "function", "find", "app::db", '{"param_types":[{"name":"r","type":"app::Row"},{"name":"k","type":"String"}],"return_type":"app::Hit"}'),
-    ("app::db::save", "unit", "method", "save", None, '{"param_types":[{"name":"h","type":"app::Hit"}]}'),
-    ("app::Row", "unit", "struct", "Row", "app", None),
-    ("app::conv", "unit", "impl", "conv", "app::Row", '{"trait":"From","impl_for":"app::Hit"}'),
-    ("app::conv2", "unit", "impl", "conv2", "app::Row", '{"trait":"Display","impl_for":"app::Hit"}'),
-    ("app::lost::thing", "unit", "function", "thing", "gone::Row", None),
-]
-_RELATIONS = [("app::api::load", "app::db::find", "calls"), ("app::db::find", "app::api::load", "calls"), ("app::api::load", "app::api::get_row", "calls"), ("app::db::find", "app::Row", "depends"), ("app::db::find", "nowhere::X", "depends"), ("app::db::find", "app::Row", "depends")]
-_ITEM_SCHEMA = "qualified_name string, kind string, sub_kind string, name string, parent string, metadata string"
-
-
-def _items(g):
-    return g.spark.createDataFrame(_ITEMS, _ITEM_SCHEMA), g.spark.createDataFrame(_RELATIONS, "source string, target string, kind string")
 
+def _parsed(g):
+    """Items and relations of all source files."""
+    return it.parse_files(it.counting_files(g.raw("source_files")))
 
-def _values(rows):
-    return ", ".join("(" + ", ".join("null" if v is None else "'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows)
 
-
-_FLOW = (
-    "with items as (select * from (values " + _values(_ITEMS) + ") v(qualified_name, kind, sub_kind, name, parent, metadata)), rel as (select * from (values " + _values(_RELATIONS) + ") v(source, target, kind)), "
-    r"sig as (select qualified_name, coalesce(parent, nullif(regexp_extract(qualified_name, '^(.*)::[^:]*$', 1), ''), qualified_name) as module, name, coalesce(json_extract_string(metadata, '$.param_types[*].type'), []) params, json_extract_string(metadata, '$.return_type') returns from items where sub_kind in ('function', 'method')), s as (select * from sig where len(params) > 0 or returns is not null) "
-)
-
-
-@query(_FLOW + "select qualified_name, module, name, array_to_string(params, ',') params, returns from s")
+@query()
 def flow_signatures(g):
-    s = tf.signatures(_items(g)[0])
-    return s.withColumn("params", F.array_join("params", ","))
+    return tf.signatures(_parsed(g)[0]).withColumn("params", F.array_join("params", ","))
 
 
-@query(_FLOW + "select distinct parent as source, json_extract_string(metadata, '$.impl_for') target from items where json_extract_string(metadata, '$.trait') in ('From', 'TryFrom') and json_extract_string(metadata, '$.impl_for') is not null and parent is not null")
+@query()
 def flow_from_transforms(g):
-    return tf.from_transforms(_items(g)[0])
+    return tf.from_transforms(_parsed(g)[0])
 
 
-@query(_FLOW + "select distinct p.x as source, returns target from s, unnest(params) p(x) where returns is not null and contains(p.x, '::') and contains(returns, '::') and p.x <> returns and not (regexp_matches(name, '^(get|is|has)_') and len(params) <= 1)")
+@query()
 def flow_signature_transforms(g):
-    return tf.signature_transforms(tf.signatures(_items(g)[0]))
-
-
-_CROSS = ", c as (select distinct a.module m1, a.params p1, a.returns r1, b.module m2, b.params p2, b.returns r2 from rel join s a on a.qualified_name = rel.source join s b on b.qualified_name = rel.target where rel.kind = 'calls' and a.module <> b.module) select m1 as source, m2 target, r1 as type from c where list_contains(p2, r1) union select m2, m1, r2 from c where list_contains(p1, r2)"
+    return tf.signature_transforms(tf.signatures(_parsed(g)[0]))
 
 
-@query(_FLOW.rstrip() + _CROSS)
+@query()
 def flow_cross_module(g):
-    i, r = _items(g)
+    i, r = _parsed(g)
     return tf.cross_module_flows(r, tf.signatures(i))
 
 
-@query(_FLOW.rstrip() + _CROSS)
+@query()
 def join_type_flow_signatures(g):
-    return flow_cross_module(g)
+    """Calls with the signatures at both ends."""
+    i, r = _parsed(g)
+    return tf.called_signatures(r, tf.signatures(i)).select("source", "target", F.col("r1").alias("given"), F.array_join("p2", ",").alias("taken"))
 
 
 @query()
 def flow_map_to_graph(g):
-    return tf.map_to_graph(*_items(g))[0]
+    return tf.map_to_graph(*_parsed(g))[0]
 
 
-_REL_SQL = _FLOW.rstrip() + ", k as (select distinct qualified_name from items) select rel.source, rel.target, rel.kind, case when a.qualified_name is null then rel.source else rel.target end unresolved from rel left join k a on a.qualified_name = rel.source left join k b on b.qualified_name = rel.target where a.qualified_name is null or b.qualified_name is null"
-
-
-@query(_REL_SQL)
+@query()
 def join_relations_to_items(g):
-    return tf.map_to_graph(*_items(g))[2]
+    """Relations with an end that no item is."""
+    return tf.map_to_graph(*_parsed(g))[2]
 
 
-@query(_FLOW.rstrip() + ", lost as (select qualified_name, parent from items where parent is not null and parent not in (select qualified_name from items)), sn as (select regexp_extract(qualified_name, '[^:]*$') short, min(qualified_name) q from items group by all having count(distinct qualified_name) = 1) select lost.qualified_name, lost.parent, sn.q new_parent from lost join sn on sn.short = regexp_extract(lost.parent, '[^:]*$') where sn.q <> lost.qualified_name")
+@query()
 def join_orphan_reparent(g):
-    return tf.reparent(_items(g)[0])
+    """Items under a parent that no file declares, with the directory of a package as its crate."""
+    i, r = _parsed(g)
+    crate = F.substring_index("qualified_name", "::", 2)
+    deps = r.filter("kind = 'depends'").select(F.substring_index("source", "::", 2).alias("crate"), F.substring_index("target", "::", 2).alias("dependency")).distinct()
+    return tf.reparent(i.withColumn("crate", crate), deps)
 
 
 @query()
@@ -590,8 +568,8 @@ select project_id, version, path, problem, true is_error from bad where problem
 @query(_VALID)
 def src_validate_document(g):
     """The nodes as delivered, before their paths are brought to the normal form."""
-    nodes = g.raw("nodes").filter("canonical_path is not null and id is not null").select(*SNAP, norm_id(F.col("id")).alias("id"), "canonical_path").distinct().drop("id")
-    return ic.check_rows(nodes, rl.path_edges(g.edges, g.nodes).select(*SNAP, F.col("source_path").alias("source"), F.col("target_path").alias("target")), SNAP)
+    nodes = g.raw("nodes").filter("canonical_path is not null and id is not null").select(*SNAP, norm_id(F.col("id")).alias("id"), "canonical_path").distinct()
+    return ic.check_rows(nodes.drop("id"), rl.path_edges(g.edges, nodes).select(*SNAP, F.col("source_path").alias("source"), F.col("target_path").alias("target")), SNAP)
 
 
 @query(BASE + "select canonical_path, coalesce(name, regexp_extract(canonical_path, '[^/]*$')) as name, coalesce(sub_kind, kind) sub_kind, coalesce(provenance, 'design') provenance from n where canonical_path is not null")

@@ -8,6 +8,7 @@ call. Qualified names join the module (from the path) and the owners with '::';
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEM_SCHEMA = "path string, qualified_name string, kind string, sub_kind string, name string, parent string, language string, source_ref string, tags array<string>"
+from graphloom.runtime import write_table
+
+ITEM_SCHEMA = "path string, qualified_name string, kind string, sub_kind string, name string, parent string, language string, source_ref string, tags array<string>, metadata string"
 RELATION_SCHEMA = "path string, source string, target string, kind string"
 OUT_SCHEMA = f"part string, {ITEM_SCHEMA}, source string, target string"
 
@@ -27,13 +30,106 @@ class Parsed:
     items: list[dict] = field(default_factory=list)
     relations: list[dict] = field(default_factory=list)
 
-    def item(self, qn: str, sub_kind: str, parent: str, line: int, tags: list[str] | None = None, kind: str = "unit") -> None:
-        self.items.append({"qualified_name": qn, "kind": kind, "sub_kind": sub_kind, "name": qn.rsplit("::", 1)[-1], "parent": parent, "line": line, "tags": tags or []})
+    def item(self, qn: str, sub_kind: str, parent: str, line: int, tags: list[str] | None = None, kind: str = "unit", signature: tuple[list[tuple[str, str]], str | None] | None = None, **meta: str) -> None:
+        """signature: (name, type) of the parameters and the returned type, as written; ``typed`` brings them to qualified names."""
+        self.items.append({"qualified_name": qn, "kind": kind, "sub_kind": sub_kind, "name": qn.rsplit("::", 1)[-1], "parent": parent, "line": line, "tags": tags or [], "signature": signature, "meta": meta})
 
     def relation(self, source: str, target: str, kind: str) -> None:
         self.relations.append({"source": source, "target": target, "kind": kind})
 
 
+    def typed(self, module: str, imported: dict[str, str] | None = None) -> Parsed:
+        """Metadata of the items: types without wrappers, qualified by the file's own declarations and its imports."""
+        known = {r["target"].rsplit("::", 1)[-1]: r["target"] for r in self.relations if r["kind"] == "depends" and r["source"] == module}
+        known |= {i["name"]: i["qualified_name"] for i in self.items if i["sub_kind"] in ("struct", "enum", "trait", "class", "interface", "type-alias")}
+        known |= imported or {}
+        for i in self.items:
+            if i["sub_kind"] == "impl":
+                i["parent"] = known.get(i["parent"], i["parent"])
+            params, back = i.pop("signature") or ([], None)
+            meta = {k: known.get(v, v) for k, v in i.pop("meta").items()}
+            kept = [{"name": n, "type": known.get(t, t)} for n, w in params if (t := plain_type(w))]
+            back = plain_type(back) if back else None
+            meta |= ({"param_types": kept} if kept else {}) | ({"return_type": known.get(back, back)} if back else {})
+            i["metadata"] = json.dumps(meta) if meta else None
+        # Calls of the file's own functions and of imported names get the names that items have.
+        own = {i["name"]: i["qualified_name"] for i in self.items if i["sub_kind"] == "function" and i["parent"] == module}
+        for r in self.relations:
+            if r["kind"] == "calls":
+                first, dots, rest = r["target"].partition("::")
+                r["target"] = (own.get(first) or (imported or {}).get(first, first)) if not dots else f"{(imported or {}).get(first, first)}::{rest}"
+        return self
+
+
+#: Types that hold one of another type (fixed values), and those that carry no data of the project.
+_WRAPPERS = {"Option", "Result", "Vec", "Box", "Arc", "Rc", "Promise", "Array", "Optional", "List", "list", "Sequence", "Iterable", "Iterator", "List", "Set", "Collection", "Readonly"}
+_NO_TYPES = {"String", "str", "bool", "char", "usize", "isize", "()", "Self", "self", "string", "number", "boolean", "void", "any", "unknown", "undefined", "null", "never", "object", "int", "float", "bytes", "None", "error", "byte", "rune", "Object", "Integer", "Long", "Double", "Boolean", "long", "double", "dict", "set", "tuple"}
+_SIGNS = re.compile(r"^(?:&\s*(?:'\w+\s+)?(?:mut\s+)?|mut\s+|dyn\s+|impl\s+|readonly\s+|final\s+|\*|\[\d*\]|\.\.\.|\(\s*(?=[^()]*\)$))")
+
+
+def plain_type(written: str) -> str | None:
+    """The type inside references, lists and wrappers, with '::' between names; None if it carries no data of the project."""
+    t = written.strip()
+    while t:
+        bare = _SIGNS.sub("", t).strip()
+        if bare != t:
+            t = bare.rstrip(")") if t[0] == "(" else bare
+        elif t.endswith("[]"):
+            t = t[:-2].rstrip()
+        elif (m := re.match(r"((?:\w+(?:::|\.))*)(\w+)\s*[<\[](.*)[>\]]$", t, re.S)) and m[2] in _WRAPPERS:
+            t = next(iter(_split(m[3])), "").strip()
+        else:
+            break
+    m = re.match(r"(?:[A-Za-z_$][\w$]*(?:::|\.))*[A-Za-z_$][\w$]*", t)
+    name = m[0].replace(".", "::") if m else ""
+    return name if name and name not in _NO_TYPES and not re.fullmatch(r"[iuf](?:8|16|32|64|128)|u?int\d+|float\d+", name) else None
+
+
+def _split(text: str) -> Iterator[str]:
+    """Parts between commas that no bracket holds."""
+    depth = begin = 0
+    for k, c in enumerate(text):
+        depth += (c in "(<[{") - (c in ")]}" or (c == ">" and text[k - 1 : k] not in ("-", "=")))
+        if c == "," and depth == 0:
+            yield text[begin:k]
+            begin = k + 1
+    if text[begin:].strip():
+        yield text[begin:]
+
+
+_PARAM = {"rust": re.compile(r"\s*(?:mut\s+)?(\w+)\s*:\s*(.+)", re.S), "typescript": re.compile(r"\s*(?:public\s+|private\s+|readonly\s+)*(?:\.\.\.)?([\w$]+)\??\s*:\s*([^=]+)", re.S), "go": re.compile(r"\s*(\w+)\s+(.+)", re.S), "java": re.compile(r"\s*(?:final\s+|@\w+\s+)*([\w.<>\[\], ?]+?)\s+(\w+)\s*$", re.S)}
+_BACK = {"rust": re.compile(r"\s*->\s*(.+?)\s*(?:\{|;|\bwhere\b|$)", re.S), "typescript": re.compile(r"\s*:\s*(.+?)\s*(?:\{|=>|;|$)", re.S), "go": re.compile(r"\s*\(?\s*(?:\w+\s+(?=[\w*\[]))?([\w.*\[\]]+)")}
+
+
+def _signature(language: str, bare: str, at: int) -> tuple[list[tuple[str, str]], str | None] | None:
+    """Parameters and returned type of the declaration whose name ends at ``at``."""
+    opens = bare.find("(", at - 1)
+    if opens < 0 or re.search(r"[{};]", bare[at:opens]):
+        return None
+    depth, k = 0, opens
+    while k < len(bare):
+        depth += (bare[k] == "(") - (bare[k] == ")")
+        if depth == 0:
+            break
+        k += 1
+    params = []
+    waiting: list[str] = []
+    for part in _split(bare[opens + 1 : k]):
+        m = _PARAM[language].fullmatch(part)
+        if m:
+            name, type_ = (m[2], m[1]) if language == "java" else (m[1], m[2])
+            params += [(w, type_) for w in waiting] + [(name, type_)]  # Go: names before share the type
+            waiting = []
+        elif language == "go" and re.fullmatch(r"\s*\w+\s*", part):
+            waiting.append(part.strip())
+    stop = min((x for x in (bare.find(c, k) for c in "{;\n") if x >= 0), default=len(bare))
+    if language == "java":  # the type stands before the name
+        m = re.search(r"([\w.]+(?:\s*<[^;{}()]*>)?(?:\[\])*)\s+\w+\s*$", bare[max(bare.rfind(c, 0, opens) for c in ";{}\n") + 1 : opens])
+    else:
+        m = _BACK[language].match(bare[k + 1 : stop])
+    return params, m[1] if m else None
+
+
 def module_of(path: str) -> str:
     """Qualified module name of a file: its path without extension and source directories."""
     p = PurePosixPath(path)
@@ -56,13 +152,15 @@ def parse_python(text: str, path: str) -> Parsed:
     except (SyntaxError, ValueError):
         return out
 
+    imported: dict[str, str] = {}
+
     def visit(body: list[ast.stmt], owner: str, in_class: bool) -> None:
         for node in body:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                 if node.name.startswith("_") and node.name != "__init__":
                     continue
                 qn = f"{owner}::{node.name}"
-                out.item(qn, "method" if in_class else "function", owner, node.lineno, ["test"] if test_file or node.name.startswith("test_") else [])
+                out.item(qn, "method" if in_class else "function", owner, node.lineno, ["test"] if test_file or node.name.startswith("test_") else [], signature=([(x.arg, ast.unparse(x.annotation)) for x in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if x.annotation], ast.unparse(node.returns) if node.returns else None))
                 for call in ast.walk(node):
                     if isinstance(call, ast.Call) and (target := _dotted(call.func)):
                         out.relation(qn, target.replace(".", "::"), "calls")
@@ -80,12 +178,14 @@ def parse_python(text: str, path: str) -> Parsed:
                 base = module.split("::")[: -node.level] if node.level else []
                 if node.level and not base and node.module is None:
                     continue
-                out.relation(module, "::".join([*base, *(node.module.split(".") if node.module else [])]), "depends")
+                target = "::".join([*base, *(node.module.split(".") if node.module else [])])
+                out.relation(module, target, "depends")
+                imported.update({a.asname or a.name: f"{target}::{a.name}" for a in node.names})
             elif isinstance(node, ast.If | ast.Try):
                 visit(node.body, owner, in_class)
 
     visit(tree.body, module, False)
-    return out
+    return out.typed(module, imported)
 
 
 def _dotted(node: ast.expr) -> str | None:
@@ -174,6 +274,9 @@ def _parse_braces(text: str, path: str, language: str) -> Parsed:
                 t = re.search(r"impl\b(?:\s*<[^{;]*?>)?\s+([\w:]+)(?:<[^{;]*?>)?\s+for\s", head)
                 if t:
                     out.relation(waiting[0], t[1], "implements")
+                    made = re.search(r"\b(From|TryFrom)\s*<\s*([^{;]*?)\s*>\s+for\s", head)
+                    if made and (source := plain_type(made[2])):
+                        out.item(f"{waiting[0]}::{made[1]}<{source}>", "impl", source, line_at(m.start()), trait=made[1], impl_for=waiting[0].rsplit("::", 1)[-1])
                 continue
             inside = next((x for x in reversed(stack) if x), None)
             if inside and inside[1] in ("function", "method", "constructor") and sub in ("function", "type-alias"):
@@ -182,7 +285,7 @@ def _parse_braces(text: str, path: str, language: str) -> Parsed:
                 continue
             qn = f"{owner}::{name}"
             is_method = sub == "function" and inside is not None and inside[1] in ("impl", "trait", "class")
-            out.item(qn, "method" if is_method and language != "rust" else sub, owner, line_at(m.start()), _tags(language, bare[since : m.start()], name, path))
+            out.item(qn, "method" if is_method and language != "rust" else sub, owner, line_at(m.start()), _tags(language, bare[since : m.start()], name, path), signature=_signature(language, bare, m.end()) if sub in ("function", "method", "constructor") else None)
             if language in ("typescript", "java") and sub in ("class", "interface"):
                 opens = bare.find("{", m.end())
                 head = bare[m.end() : opens if opens >= 0 else len(bare)]
@@ -198,6 +301,18 @@ def _parse_braces(text: str, path: str, language: str) -> Parsed:
                 out.relation(owner, c[1].replace(".", "::"), "calls")
     for target in _imports(language, bare, text, module):
         out.relation(module, target, "depends")
+    return out.typed(module, _imported(text, module) if language == "typescript" else None)
+
+
+def _imported(text: str, module: str) -> dict[str, str]:
+    """Qualified names of the names that a script imports from files of its package."""
+    out = {}
+    for names, target in re.findall(r"\bimport\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['\"](\.[^'\"]+)['\"]", text):
+        base = "::".join([module.split("::")[0], *re.sub(r"^(\.{1,2}/)+", "", re.sub(r"\.(tsx?|jsx?|svelte)$", "", target)).split("/")])
+        for n in names.split(","):
+            first, _, last = n.strip().removeprefix("type ").partition(" as ")
+            if first:
+                out[(last or first).strip()] = f"{base}::{first.strip()}"
     return out
 
 
@@ -251,6 +366,7 @@ def parse_svelte(text: str, path: str) -> Parsed:
     out = Parsed()
     module = module_of(path)
     out.item(module, "component", module.rpartition("::")[0], 1)
+    out.typed(module)
     for content, offset, _ in script_blocks(text):
         p = _parse_braces(content, path, "typescript")
         for i in p.items:
@@ -269,7 +385,7 @@ LANGUAGE_OF = {"py": "python", "svelte": "svelte", "rs": "rust", "ts": "typescri
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[str, str], Parsed]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """items and relations of files (path, content); each file is parsed once per use, in Arrow batches."""
+    """items and relations of files (path, content). Each file is parsed once, in Arrow batches; what is found is written, then split."""
     table = PARSERS if parsers is None else parsers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,12 +398,12 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[str, str], Parsed
                     continue
                 p = table[ext](text, path)
                 lang = LANGUAGE_OF.get(ext, ext)
-                rows += [("item", path, i["qualified_name"], i["kind"], i["sub_kind"], i["name"], i["parent"], lang, f"{path}:{i['line']}", i["tags"], None, None) for i in p.items]
-                rows += [("relation", path, None, r["kind"], None, None, None, lang, None, None, r["source"], r["target"]) for r in p.relations]
+                rows += [("item", path, i["qualified_name"], i["kind"], i["sub_kind"], i["name"], i["parent"], lang, f"{path}:{i['line']}", i["tags"], i.get("metadata"), None, None) for i in p.items]
+                rows += [("relation", path, None, r["kind"], None, None, None, lang, None, None, None, r["source"], r["target"]) for r in p.relations]
             yield pd.DataFrame(rows, columns=columns)
 
-    both = files.select("path", "content").mapInPandas(run, OUT_SCHEMA)
-    items = both.filter("part = 'item'").select("path", "qualified_name", "kind", "sub_kind", "name", "parent", "language", "source_ref", "tags")
+    both = write_table(files.select("path", "content").mapInPandas(run, OUT_SCHEMA), "parsed")
+    items = both.filter("part = 'item'").select("path", "qualified_name", "kind", "sub_kind", "name", "parent", "language", "source_ref", "tags", "metadata")
     relations = both.filter("part = 'relation'").select("path", "source", "target", "kind")
     return items, relations
 

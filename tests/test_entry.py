@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["p2_found", "p3_found", "p4_found", "p6_found", "src_workspace_deps", "flt_view_filter", "rec_lca_path", "agg_meta_edges", "agg_rollup_service", "win_next_sibling", "con_evaluate_design", "join_manifest_diff", "fn_to_kebab_case", "flow_signatures", "snk_web_sequence"]
+SOME = ["p2_found", "p3_found", "p4_found", "p6_found", "src_workspace_deps", "flt_view_filter", "rec_lca_path", "agg_meta_edges", "agg_rollup_service", "win_next_sibling", "con_evaluate_design", "join_manifest_diff", "fn_to_kebab_case", "con_evaluate", "agg_flow_edges", "agg_aggregated_edges", "con_score", "snk_web_sequence"]
 
 
 def test_names():

@@ -1,5 +1,7 @@
 """Documents, stores, manifests, parsers and diagrams."""
 
+import json
+
 import pytest
 from graphs import EDGES, NODES, edge, node
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from hypothesis import strategies as st
 from graphloom.graph import SNAP
 from graphloom.operators import relations as rl
 from graphloom.operators import trees as tr
+from graphloom.operators import typeflow as tf
 from graphloom.operators.incremental import analyse
 from graphloom.operators.snapshot_changes import snapshot_pairs
 from graphloom.sources import export as ex
@@ -112,6 +115,68 @@ def test_parsers():
     assert [(i["name"], i["sub_kind"]) for i in go.items] == [("S", "struct"), ("Do", "method"), ("TestX", "function")] and go.items[2]["tags"] == ["test"]
 
 
+ITEMS = "qualified_name string, kind string, sub_kind string, name string, parent string, metadata string"
+
+
+def test_type_flow(spark):
+    items = spark.createDataFrame(
+        [
+            ("app::api::load", "unit", "function", "load", "app::api", '{"param_types":[{"name":"id","type":"app::Id"}],"return_type":"app::Row"}'),
+            ("app::api::get_row", "unit", "function", "get_row", "app::api", '{"param_types":[{"name":"id","type":"app::Id"}],"return_type":"app::Row"}'),
+            ("app::db::find", "unit", "function", "find", "app::db", '{"param_types":[{"name":"r","type":"app::Row"},{"name":"k","type":"String"}],"return_type":"app::Hit"}'),
+            ("app::db::save", "unit", "method", "save", None, '{"param_types":[{"name":"h","type":"app::Hit"}]}'),
+            ("app::Row", "unit", "struct", "Row", "app", None),
+            ("app::conv", "unit", "impl", "conv", "app::Row", '{"trait":"From","impl_for":"app::Hit"}'),
+            ("app::conv2", "unit", "impl", "conv2", "app::Row", '{"trait":"Display","impl_for":"app::Hit"}'),
+        ],
+        ITEMS,
+    )
+    calls = [("app::api::load", "app::db::find", "calls"), ("app::db::find", "app::api::load", "calls"), ("app::api::load", "app::api::get_row", "calls"), ("app::db::find", "app::Row", "depends"), ("app::db::find", "nowhere::X", "depends"), ("app::db::find", "app::Row", "depends")]
+    relations = spark.createDataFrame(calls, "source string, target string, kind string")
+    sigs = tf.signatures(items)
+    assert sorted((r["qualified_name"], r["module"], r["returns"]) for r in sigs.collect()) == [("app::api::get_row", "app::api", "app::Row"), ("app::api::load", "app::api", "app::Row"), ("app::db::find", "app::db", "app::Hit"), ("app::db::save", "app::db", None)]
+    assert [tuple(r) for r in tf.from_transforms(items).collect()] == [("app::Row", "app::Hit")]
+    assert sorted(map(tuple, tf.signature_transforms(sigs).collect())) == [("app::Id", "app::Row"), ("app::Row", "app::Hit")]
+    assert [tuple(r) for r in tf.cross_module_flows(relations, sigs).collect()] == [("app::api", "app::db", "app::Row")]
+    assert tf.called_signatures(relations, sigs).count() == 3
+    nodes, edges, warnings = tf.map_to_graph(items, relations)
+    assert nodes.count() == 7 and [(r["unresolved"], r["kind"]) for r in warnings.collect()] == [("nowhere::X", "depends")]
+    assert {(r["source_path"], r["target_path"], r["kind"]) for r in edges.collect()} >= {("/app/db/find", "/app/row", "depends"), ("/app/api/load", "/app/db/find", "calls")}
+
+
+def test_reparenting(spark):
+    rows = [
+        ("a", "a::types::Row", "struct", "a::types"), ("a", "a::api::Row::new", "method", "a::api::Row"),  # the only Row of its crate
+        ("b", "b::Hit", "enum", "b"), ("a", "a::api::Hit::go", "method", "a::api::Hit"),  # the only Hit anywhere
+        ("b", "b::Key", "struct", "b"), ("c", "c::Key", "struct", "c"), ("a", "a::x::Key::of", "method", "a::x::Key"),  # two, but a depends on c
+        ("b", "b::protocol::Record", "struct", "b::protocol"), ("d", "d::other::Record", "struct", "d::other"), ("a", "a::client::protocol::Record::f", "method", "a::client::protocol::Record"),  # by its path
+        ("b", "b::Pair", "struct", "b"), ("d", "d::Pair", "struct", "d"), ("a", "a::z::Pair::f", "method", "a::z::Pair"),  # open
+        ("a", "a::api::None::f", "method", "a::api::None"), ("a", "a::f", "function", "a"),
+    ]
+    items = spark.createDataFrame(rows, "crate string, qualified_name string, sub_kind string, parent string")
+    deps = spark.createDataFrame([("a", "c"), ("d", "b")], "crate string, dependency string")
+    got = {(r["parent"], r["new_parent"]) for r in tf.reparent(items, deps).collect()}
+    want = {("a::api::Row", "a::types::Row"), ("a::api::Hit", "b::Hit"), ("a::x::Key", "c::Key"), ("a::client::protocol::Record", "b::protocol::Record")}
+    assert {x for x in got if x[0] in {"a::api::Row", "a::api::Hit", "a::x::Key", "a::client::protocol::Record", "a::z::Pair", "a::api::None"}} == want
+
+
+def test_signatures_out_of_sources():
+    def meta(ext, text, path):
+        return {i["name"]: json.loads(i["metadata"]) for i in it.PARSERS[ext](text, path).items if i["metadata"]}
+
+    rs = meta("rs", "use ws::db::Row;\npub struct Hit;\nimpl From<Row> for Hit { fn from(r: Row) -> Self { Hit } }\npub fn find(r: &Vec<Row>, n: usize, o: Option<Box<Hit>>) -> Result<Hit, E> { go(r) }\nfn get_x(&self) -> String { a }\n", "crates/x/src/a.rs")
+    hit = "crates::x::a::Hit"
+    assert rs["find"] == {"param_types": [{"name": "r", "type": "ws::db::Row"}, {"name": "o", "type": hit}], "return_type": hit} and rs["From<Row>"] == {"trait": "From", "impl_for": hit} and "get_x" not in rs
+    ts = meta("ts", "import { Row } from './db';\nexport class Hit {}\nexport function find(r: Row[], n?: number): Promise<Hit> { return go(r) }\n", "packages/x/src/a.ts")
+    assert ts == {"find": {"param_types": [{"name": "r", "type": "packages::db::Row"}], "return_type": "packages::x::a::Hit"}}
+    go = meta("go", "package a\ntype Hit struct { x int }\nfunc Find(a, b *Hit, n int) (*Hit, error) {\n}\nfunc (s *Hit) Do(r []Hit) string {\n}\n", "cmd/a/a.go")
+    assert go["Find"] == {"param_types": [{"name": "a", "type": "cmd::a::Hit"}, {"name": "b", "type": "cmd::a::Hit"}], "return_type": "cmd::a::Hit"} and go["Do"] == {"param_types": [{"name": "r", "type": "cmd::a::Hit"}]}
+    py = meta("py", "from a.b import Row\nclass Hit: ...\ndef f(r: list[Row], n: int) -> Hit: ...\n", "x/m.py")
+    assert py == {"f": {"param_types": [{"name": "r", "type": "a::b::Row"}], "return_type": "x::m::Hit"}}
+    java = meta("java", "package a;\nimport p.q.Row;\npublic class W {\n  public W size(final Row x, int c) { return x; }\n}\n", "src/main/java/a/W.java")
+    assert java["size"]["param_types"] == [{"name": "x", "type": "p::q::Row"}] and java["size"]["return_type"].endswith("::W")
+
+
 def test_incremental(spark):
     m = spark.createDataFrame([("p", 1, "a.py", "h1", "u", "python"), ("p", 1, "b.py", "h2", "w", "python"), ("p", 2, "a.py", "h9", "u", "python"), ("p", 2, "b.py", "h2", "w", "python")], "project_id string, version long, path string, hash string, unit_name string, language string")
     files = spark.createDataFrame([("a.py", "def f(): ...\ndef g(): ...\n"), ("b.py", "def h(): ...\n")], "path string, content string")
