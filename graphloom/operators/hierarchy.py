@@ -32,6 +32,8 @@ def parent_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """project_id, version, node, parent (null for roots), as a written table."""
     n = packed_nodes(nodes).select(*SNAP, "node").distinct()
     e = packed_edges(edges, (F.col("kind") == "contains").alias("holds"))
+    # Deliveries of other kinds are only needed to tell which delivery counts, so their ends stay behind.
+    e = e.withColumns({end: F.when(F.col("holds"), F.col(end)) for end in ("src", "tgt")})
     # Hot parents are told from all deliveries: those that do not count can only add keys to salt.
     hot = hot_hashes(e.filter(F.col("holds") & F.col("src").isNotNull()).select(*SNAP, F.col("src").alias("node")), [*SNAP, "node"])
     e = latest(e, [*SNAP, "edge"]).filter(F.col("holds") & F.col("src").isNotNull() & F.col("tgt").isNotNull())
