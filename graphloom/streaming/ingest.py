@@ -69,12 +69,22 @@ class OrphanCounts:
         return hit.select("project_id", "version", unpack_id(F.col("ref")).alias("id"), "refs")
 
 
-def stream_orphans(counts: OrphanCounts, edge_folder: str, checkpoint: str, nodes: DataFrame, available_now: bool = True) -> StreamingQuery:
-    """Advance the counts with each batch of edge deliveries; the nodes enter with the first."""
-    edges = counts.spark.readStream.schema(EDGE_DELIVERIES).json(edge_folder)
+def stream_orphans(counts: OrphanCounts, edge_folder: str, checkpoint: str, nodes: DataFrame, available_now: bool = True, node_folder: str | None = None) -> StreamingQuery:
+    """Advance the counts with each batch of deliveries. ``nodes`` enter with the first; those that arrive in ``node_folder`` later
+    clear the orphans that waited for them."""
+    spark = counts.spark
+    arrived = spark.readStream.schema(EDGE_DELIVERIES).json(edge_folder).withColumn("_node", F.lit(False))
+    if node_folder is not None:
+        late = spark.readStream.schema(NODE_DELIVERIES).json(node_folder).withColumn("_node", F.lit(True))
+        arrived = arrived.unionByName(late, allowMissingColumns=True)
 
     def step(batch: DataFrame, number: int) -> None:
-        counts.advance(number, batch, nodes if number == 0 else nodes.limit(0))
+        batch = batch.persist()
+        new = batch.filter("_node").select("id", "project_id", "version", "loaded_at")
+        if number == 0:
+            new = new.unionByName(nodes.select("id", "project_id", "version", "loaded_at"))
+        counts.advance(number, batch.filter("not _node"), new)
+        batch.unpersist()
 
-    writer = edges.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = arrived.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

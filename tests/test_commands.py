@@ -68,10 +68,14 @@ def test_streams(spark, tmp_path):
     counts = OrphanCounts(spark, str(tmp_path / "counts"))
     box = tmp_path / "edges"
     box.mkdir()
+    later = tmp_path / "nodes"
+    later.mkdir()
     fields = ("id", "source", "target", "kind", "provenance", "metadata", "project_id", "version", "loaded_at")
     for k, e in enumerate([edge("1", "a", "ghost"), edge("2", "a", "ghost"), edge("3", "a", "a")]):
         (box / f"{k}.json").write_text(json.dumps(dict(zip(fields, (*e[:-1], e[-1].isoformat()), strict=True))) + "\n")
-        stream_orphans(counts, str(box), str(tmp_path / "cp2"), nodes).awaitTermination()
+        stream_orphans(counts, str(box), str(tmp_path / "cp2"), nodes, node_folder=str(later)).awaitTermination()
     assert [tuple(r) for r in counts.orphans(2).collect()] == [("p", 1, "ghost", 2)]
-    counts.advance(3, spark.createDataFrame([], nodes.schema).select("id").limit(0).selectExpr("id", "id source", "id target", "id kind", "id project_id", "cast(null as long) version", "cast(null as timestamp) loaded_at"), nodes.selectExpr("'ghost' id", "canonical_path", "kind", "project_id", "version", "loaded_at"))
+    # A node that arrives later clears the orphan.
+    (later / "n.json").write_text(json.dumps({"id": "ghost", "canonical_path": "/g", "kind": "unit", "project_id": "p", "version": 1, "loaded_at": "2024-01-02T00:00:00"}) + "\n")
+    stream_orphans(counts, str(box), str(tmp_path / "cp2"), nodes, node_folder=str(later)).awaitTermination()
     assert counts.orphans(3).count() == 0
