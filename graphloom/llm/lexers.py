@@ -153,8 +153,7 @@ def _go(text: str, g: Grammar) -> list[int]:
 
 
 _JS = re.compile(
-    r"""(?P<ws>[^\S\n\r  ]+|﻿)
-|(?P<nl>[\n\r  ]+)
+    r"""(?:[^\S\n\r  ]+|﻿)?(?:(?P<nl>[\n\r  ]+)
 |(?P<line>//[^\n\r  ]*|<!--[^\n\r]*)
 |(?P<com>/\*[\s\S]*?\*/)
 |(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
@@ -163,7 +162,8 @@ _JS = re.compile(
 |(?P<priv>\#(?:[^\W\d]|\$)[\w$]*)
 |(?P<op>\.\.\.|===|!==|\*\*=|&&=|\|\|=|\?\?=|=>|==|!=|\+\+|--|\*\*|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|%=|&=|\|=|\^=|[-+*%&|^!~?:=.,;<>@(){}\[\]])
 |(?P<slash>/)
-|(?P<tick>`)""",
+|(?P<tick>`)
+|(?P<ws>[^\S\n\r  ]+|﻿))""",
     re.X,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
@@ -263,7 +263,8 @@ def _js(text: str, g: Grammar, elements: bool) -> list[int]:
         if kind == "id":
             w = m["id"]
             ahead = _AHEAD.get(w) if prev not in (".", "?.") else None
-            put(ids["J" + w] if ahead and ahead.match(text, end) else ids.get(w, ident))
+            out.append((ids["J" + w] if ahead and ahead.match(text, end) else ids.get(w, ident)) | nl)
+            nl = 0
             value = w in _BEFORE_VALUE and prev != "."
             prev = w
         elif kind == "op":
@@ -305,7 +306,8 @@ def _js(text: str, g: Grammar, elements: bool) -> list[int]:
             else:
                 if w in "<>" and text[end : end + 1] in (w, "="):
                     w = "J" + w
-                put(ids.get(w, other))
+                out.append(ids.get(w, other) | nl)
+                nl = 0
                 value = w not in (")", "]", "++", "--") and not (w == "!" and not value)
             prev = w
         elif kind in ("ws",):
@@ -318,7 +320,7 @@ def _js(text: str, g: Grammar, elements: bool) -> list[int]:
                 nl = NL
         elif kind == "slash":
             if value:
-                r = _REGEX.match(text, i)
+                r = _REGEX.match(text, m.start(kind))
                 if r is None:
                     raise LexError(i)
                 put(regex)
