@@ -40,3 +40,8 @@ def _lines(df):
 def test_dot_edges_without_hierarchy(save, monkeypatch):
     _no_hierarchy(monkeypatch)
     assert _lines(rest.snk_export_dot_edges(save(NODES_, EDGES_))) == ['    app_cli -> app_my_core [label="depends"];', '    x -> app_cli [label="calls"];']
+
+
+def test_mermaid_edges_without_hierarchy(save, monkeypatch):
+    _no_hierarchy(monkeypatch)
+    assert _lines(rest.snk_export_mermaid_edges(save(NODES_, EDGES_))) == ["    app_cli -->|depends| app_my_core", "    x -->|calls| app_cli"]
