@@ -45,3 +45,11 @@ def test_dot_edges_without_hierarchy(save, monkeypatch):
 def test_mermaid_edges_without_hierarchy(save, monkeypatch):
     _no_hierarchy(monkeypatch)
     assert _lines(rest.snk_export_mermaid_edges(save(NODES_, EDGES_))) == ["    app_cli -->|depends| app_my_core", "    x -->|calls| app_cli"]
+
+
+def test_c4_relations_without_hierarchy(save, monkeypatch):
+    """Of two parents both are boundaries, as in the SQL, though only one of them places the child."""
+    _no_hierarchy(monkeypatch)
+    ns = [*NODES_, node("zoo", "/zoo")]
+    es = [*EDGES_, edge("9", "zoo", "core"), edge("10", "zoo", "cli", "calls"), edge("11", "app", "cli", "calls")]
+    assert _lines(rest.snk_web_c4(save(ns, es))) == ['    Rel(cli, core, "depends")', '    Rel(cli, ghost, "calls")']
