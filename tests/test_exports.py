@@ -53,3 +53,13 @@ def test_c4_relations_without_hierarchy(save, monkeypatch):
     ns = [*NODES_, node("zoo", "/zoo")]
     es = [*EDGES_, edge("9", "zoo", "core"), edge("10", "zoo", "cli", "calls"), edge("11", "app", "cli", "calls")]
     assert _lines(rest.snk_web_c4(save(ns, es))) == ['    Rel(cli, core, "depends")', '    Rel(cli, ghost, "calls")']
+
+
+def test_equal_times_are_told_by_metadata(save):
+    """Deliveries of one time differ in how their JSON is written; the largest text counts, null last, in any order of rows."""
+    texts = ['{"a":1}', '{"a": 1}', None, '{ "a":1}']
+    ns = [(*node(f" N{k % 40}", "/a")[:9], texts[(k // 40 + k) % 4], *node("", "/a")[10:]) for k in range(160)]
+    es = [(*edge(f"E{k % 40} ", "a", "b")[:5], texts[(k // 40 + k) % 4], *edge("", "a", "b")[6:]) for k in range(160)]
+    g = save(ns, es)
+    for df in (g.nodes, g.edges):
+        assert sorted((r["id"][0], r["metadata"] or "") for r in df.collect()) == [(df.first()["id"][0], max(x for x in texts if x))] * 40
