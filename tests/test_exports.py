@@ -3,7 +3,9 @@
 import pytest
 
 from graphloom.graph import Graph
+from graphloom.operators import trees
 from graphloom.plans import reference_rest as rest
+from graphloom.runtime import write_table
 from graphloom.sources import export as ex
 from graphs import edge, frames, node
 
@@ -63,3 +65,28 @@ def test_equal_times_are_told_by_metadata(save):
     g = save(ns, es)
     for df in (g.nodes, g.edges):
         assert sorted((r["id"][0], r["metadata"] or "") for r in df.collect()) == [(df.first()["id"][0], max(x for x in texts if x))] * 40
+
+
+MERMAID = ["flowchart TD", '    subgraph app["/app"]', '        subgraph app_cli["/app/cli"]', '            app_cli_deep["/app/cli/deep"]', "        end", '        app_my_core["/app/my-core"]', "    end", "    app_cli -->|depends| app_my_core"]
+
+
+def _drawn(save, monkeypatch, query):
+    """The lines of a diagram of trees of three levels beside a cycle of eight nodes, and the longest list that was written for it."""
+    sizes = []
+
+    def write(df, name):
+        out = write_table(df, name)
+        if "line" in out.columns:
+            sizes.append(out.selectExpr("max(size(line))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(trees, "write_table", write)
+    ring = [node(f"r{i}") for i in range(8)]
+    turn = [edge(f"t{i}", f"r{i}", f"r{(i + 1) % 8}") for i in range(8)]
+    df = query(save([*NODES_[:3], node("deep", "/app/cli/deep"), *ring], [*EDGES_[:2], EDGES_[4], edge("d", "cli", "deep"), *turn]))
+    return [r["line"] for r in df.collect()], max(sizes)
+
+
+def test_flowchart_lists_do_not_grow_round_cycles(save, monkeypatch):
+    lines, longest = _drawn(save, monkeypatch, rest.snk_web_flowchart)
+    assert lines == MERMAID and longest <= 3
