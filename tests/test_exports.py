@@ -90,3 +90,8 @@ def _drawn(save, monkeypatch, query):
 def test_flowchart_lists_do_not_grow_round_cycles(save, monkeypatch):
     lines, longest = _drawn(save, monkeypatch, rest.snk_web_flowchart)
     assert lines == MERMAID and longest <= 3
+
+
+def test_mermaid_lists_do_not_grow_round_cycles(save, monkeypatch):
+    lines, longest = _drawn(save, monkeypatch, rest.snk_export_mermaid)
+    assert lines == MERMAID and longest <= 3
