@@ -95,3 +95,11 @@ def test_flowchart_lists_do_not_grow_round_cycles(save, monkeypatch):
 def test_mermaid_lists_do_not_grow_round_cycles(save, monkeypatch):
     lines, longest = _drawn(save, monkeypatch, rest.snk_export_mermaid)
     assert lines == MERMAID and longest <= 3
+
+
+def test_dot_lists_do_not_grow_round_cycles(save, monkeypatch):
+    lines, longest = _drawn(save, monkeypatch, rest.snk_export_dot)
+    assert longest <= 3 and lines[3:] == [
+        "    subgraph cluster_app {", '        label="/app";', "        subgraph cluster_app_cli {", '            label="/app/cli";', '            app_cli_deep [label="/app/cli/deep"];', "        }",
+        '        app_my_core [label="/app/my-core"];', "    }", '    app_cli -> app_my_core [label="depends"];', "}",
+    ]
